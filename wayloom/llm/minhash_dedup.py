@@ -84,7 +84,7 @@ def dart_signatures(elements: np.ndarray, counts: np.ndarray, k: int, weights: n
         turn = 0
         while len(i):
             turn += 1
-            h = mix(i + np.uint64(turn) * np.uint64(0xD1342543DE82EF95))
+            h = mix(i + np.uint64(turn * 0xD1342543DE82EF95 % 2**64))
             time = time - np.log(_unit(h))
             live = time <= until[d]
             i, d, r, time, h = i[live], d[live], r[live], time[live], h[live]
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Documents are linked if the sets of their runs of five words (lower-cased A-Z; all words if there are fewer) have a Jaccard
     similarity of SIMILAR at least; classes are what links connect, and equal texts are one node from the start
     (by a 64-bit hash). class_id is the least doc_id of the class, and kept marks it. Null texts, and texts without
-    a word that no equal text has, are classes of their own; a row with a null doc_id and such a text has a null class.
+    a word that no equal text has, are classes of their own. Null doc_ids never name a class that has another; a class without any other has a null class_id, and its rows are kept.
 
     In each bucket of a band all members are verified against the bucket's least node; only buckets in which
     several classes remain are compared further, so that groups of copies cost a pair a copy and band."""
@@ -234,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = nodes.join(named, "component").select("node", "class_id", "class_size")
     out = rows.where("not none").join(named, "node").select("doc_id", "class_id", "class_size")
     out = out.union(rows.where("none").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size")))
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("kept"), "class_size")
+    return out.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"), "class_size")
 
 
 def op4_minhash_dedup(spark, sf_dir):
