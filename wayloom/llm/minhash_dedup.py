@@ -19,6 +19,8 @@ SIMILAR = 0.8
 BANDS, ROWS = 24, 4
 #: Members of a bucket whose pairs one task compares, and the least share of equal coordinates at which a pair is verified.
 CHUNK, MAYBE = 64, 0.6
+#: How much a Python worker signs, and keeps of shingle sets, at once.
+WORDS_AT_ONCE, DOCS_AT_ONCE, SHINGLES_KEPT = 300_000, 1000, 300_000
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -122,18 +124,21 @@ def sign(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
             lists = batch.column("w")
-            lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            elements, counts = shingles(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), lengths)
-            signatures = dart_signatures(elements, counts, BANDS * ROWS)
-            keys = band_keys(signatures).view(np.int64)
-            short = (signatures >> np.uint64(13)).astype("<u2")
-            offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([x.tobytes() for x in short], pa.binary())], names=["node", "keys", "coordinates"]
-            )
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            at = 0
+            while at < batch.num_rows:  # some documents at once, so that their darts stay few
+                to = min(int(np.searchsorted(ends, ends[at] + WORDS_AT_ONCE)), at + DOCS_AT_ONCE, batch.num_rows)
+                to = max(to, at + 1)
+                some = lists.slice(at, to - at)
+                elements, counts = shingles(some.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), np.diff(ends[at : to + 1]))
+                signatures = dart_signatures(elements, counts, BANDS * ROWS)
+                keys = band_keys(signatures).view(np.int64)
+                short = (signatures >> np.uint64(13)).astype("<u2")
+                offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
+                columns = [batch.column("node").slice(at, to - at), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())), pa.array([x.tobytes() for x in short], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "keys", "coordinates"])
+                at = to
 
     return hashed.where(F.size("w") > 0).mapInArrow(run, "node long, keys array<long>, coordinates binary")
 
@@ -157,13 +162,14 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             sets: dict[int, set] = {}
-            found = []
+            held, found = 0, []
             for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
                 x = sets.get(a)
                 if x is None:
-                    if len(sets) > 500:
-                        sets.clear()
                     x = sets[a] = shingle_set(ta)
+                    held += len(x)
+                    if held > SHINGLES_KEPT:
+                        sets, held = {a: x}, len(x)
                 y = shingle_set(tb)
                 same = len(x & y)
                 found.append(bool(x) and same >= SIMILAR * (len(x) + len(y) - same))
