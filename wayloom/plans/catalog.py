@@ -1,7 +1,10 @@
-"""The registered queries and their SQL."""
+"""The registered queries and their SQL, gathered from the modules that define them."""
 
 from __future__ import annotations
 
+from wayloom.plans import geometry, graphs, motion, routes, rules_queries, search_queries
+from wayloom.plans.registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "search_topk"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+MODULES = (search_queries, geometry, rules_queries, graphs, routes, motion)
+__all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
