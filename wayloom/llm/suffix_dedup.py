@@ -23,7 +23,7 @@ LENGTH, GRAM = 100, 24
 #: Bytes hashed at once, and strings sorted at once.
 CHUNK_BYTES, SORTED_AT_ONCE = 1 << 20, 250_000
 #: Stretches of an anchor beyond this number are compared by hashes of their strings, over all tasks.
-HOT = 256
+HOT = 1024
 ANCHORS_PER_BUCKET = 200_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -48,7 +48,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(document, first start, number of starts, anchor's hash, hash of all the stretch's bytes) of texts, in order.
+    """(document, first start, number of starts, anchor's place from the first start, anchor's hash, hash of all the stretch's bytes) of texts, in order.
 
     All together must be shorter than 2**_BITS bytes."""
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -56,7 +56,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     n, width = len(data), LENGTH - GRAM + 1
     none = np.zeros(0, dtype=np.int64)
     if n < LENGTH:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
     up, down = _power(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
@@ -87,7 +87,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     mark = anchor[lo]
     body = _mix((sums[lo + count + LENGTH - 1] - sums[lo]) * down[lo])
     body = _mix(body + _mix((mark - lo).astype(np.uint64) * np.uint64(1000003) + count.astype(np.uint64)))
-    return doc, lo - begins[doc], count, _mix(gram[mark] + np.uint64(77)), body
+    return doc, lo - begins[doc], count, mark - lo, _mix(gram[mark] + np.uint64(77)), body
 
 
 def _chunks(docs: list[int], texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -103,7 +103,7 @@ def _chunks(docs: list[int], texts: list[bytes]) -> Iterator[tuple[list[int], li
         yield ids, some
 
 
-_RECORD = np.dtype([("h", "<u4"), ("c", "<u8"), ("d", "<u8"), ("lo", "<u4"), ("n", "<u1")])
+_RECORD = np.dtype([("h", "<u4"), ("c", "<u8"), ("d", "<u8"), ("lo", "<u4"), ("n", "<u1"), ("at", "<u1")])
 
 
 def _packed(docs: DataFrame, bits: int) -> DataFrame:
@@ -117,13 +117,13 @@ def _packed(docs: DataFrame, bits: int) -> DataFrame:
             got = [(d, t.encode()) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t and d is not None]
             parts = []
             for ids, some in _chunks([d for d, _ in got], [t for _, t in got]):
-                doc, lo, n, h, c = stretches(some)
-                parts.append((np.array(ids, dtype=np.int64)[doc], lo, n, h, c))
+                doc, *rest = stretches(some)
+                parts.append((np.array(ids, dtype=np.int64)[doc], *rest))
             if not parts:
                 continue
-            d, lo, n, h, c = (np.concatenate(x) for x in zip(*parts))
+            d, lo, n, at, h, c = (np.concatenate(x) for x in zip(*parts))
             order = np.lexsort((lo, d, c, h))
-            d, lo, n, h, c = d[order], lo[order], n[order], h[order], c[order]
+            d, lo, n, at, h, c = d[order], lo[order], n[order], at[order], h[order], c[order]
             same = np.zeros(len(d), dtype=bool)
             same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
             group = np.maximum.accumulate(np.where(same, 0, np.arange(len(d))))
@@ -132,7 +132,7 @@ def _packed(docs: DataFrame, bits: int) -> DataFrame:
             record = np.empty(len(d), dtype=_RECORD)
             shift = np.uint64(64 - bits)
             record["h"], record["c"] = (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), c
-            record["d"], record["lo"], record["n"] = d.view(np.uint64), lo, n
+            record["d"], record["lo"], record["n"], record["at"] = d.view(np.uint64), lo, n, at
             bucket = (h >> shift).astype(np.int64) if bits else np.zeros(len(d), dtype=np.int64)
             by_doc = (_mix(d.view(np.uint64) * np.uint64(_BASE)) >> shift).astype(np.int64) if bits else bucket
             out = []
@@ -164,7 +164,7 @@ def _unpack(blobs: list[bytes]) -> np.ndarray:
 
 
 def _met(packed: DataFrame) -> DataFrame:
-    """(doc, lo, n, h, stretches): repeated stretches (h null), and those whose bytes must be compared with others of their anchor."""
+    """(doc, lo, n, at, h, stretches): repeated stretches (h null), and those whose bytes must be compared with others of their anchor."""
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
         bucket = np.uint64(frame["bucket"].iloc[0])
@@ -182,15 +182,16 @@ def _met(packed: DataFrame) -> DataFrame:
         open_ = new & (kinds > 1)
         said = np.concatenate([known, r[repeated]])
         out = pd.DataFrame({"doc": said["d"].view(np.int64), "lo": said["lo"].astype(np.int32), "n": said["n"].astype(np.int32)})
-        out["h"], out["stretches"] = pd.array([None] * len(out), dtype="Int64"), 0
+        out["at"], out["h"], out["stretches"] = np.int32(0), pd.array([None] * len(out), dtype="Int64"), 0
         left = r[open_]
         more = pd.DataFrame({"doc": left["d"].view(np.int64), "lo": left["lo"].astype(np.int32), "n": left["n"].astype(np.int32)})
+        more["at"] = left["at"].astype(np.int32)
         more["h"] = pd.array((bucket << np.uint64(32) | left["h"].astype(np.uint64)).view(np.int64), dtype="Int64")
         more["stretches"] = np.minimum(kinds[open_], 2**30).astype(np.int32)
         out["stretches"] = out["stretches"].astype(np.int32)
         return pd.concat([out, more])
 
-    return packed.groupBy("bucket").applyInPandas(meet, "doc long, lo int, n int, h long, stretches int")
+    return packed.groupBy("bucket").applyInPandas(meet, "doc long, lo int, n int, at int, h long, stretches int")
 
 
 def two_stage(text: np.ndarray, starts: np.ndarray, follows: np.ndarray, induced: np.ndarray) -> np.ndarray:
@@ -321,13 +322,44 @@ def _compared(contexts: DataFrame, parts: int) -> DataFrame:
     return contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "doc long, lo int, n int")
 
 
+def _reaches() -> list[tuple[int, int]]:
+    """Ranges of how far a string reaches to the left of its anchor: short ones at both ends, doubling inwards."""
+    most = LENGTH - GRAM
+    ends, k = [0], 1
+    while k < most // 2:
+        ends.append(k)
+        k *= 2
+    ends.append(most // 2 + 1)
+    left = [(a, b - 1) for a, b in zip(ends, ends[1:])]
+    right = [(most - b, most - a) for a, b in left]
+    right[-1] = (left[-1][1] + 1, right[-1][1])
+    return left + right[::-1]
+
+
 def _compared_by_hash(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with any number of stretches: strings meet by two 64-bit hashes, with partial minima."""
-    each = contexts.select("doc", "lo", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)).alias("i"))
+    """The same for anchors with any number of stretches, as aggregates and joins over all tasks.
+
+    Stretches are cut into pieces by how far strings reach left of the anchor. All strings of a piece hold the same core, so equal strings are
+    in pieces of one range and core. Equal pieces (by two 64-bit hashes of their bytes) are repeated as a whole; only the first ones of cores with
+    several different pieces are taken apart into strings, which meet by their hashes."""
+    ranges = F.array(*(F.struct(F.lit(a).alias("p"), F.lit(b).alias("q")) for a, b in _reaches()))
+    least = F.col("at") - F.col("n") + 1
+    inside = F.filter(ranges, lambda r: (r["p"] <= F.col("at")) & (r["q"] >= least))
+    cut_up = contexts.select("doc", "lo", "n", "at", "h", "bytes", F.explode(inside).alias("r"))
+    p, q = F.greatest(F.col("r.p"), least), F.least(F.col("r.q"), F.col("at"))
+    core = F.substring("bytes", F.col("at") - F.col("r.p") + 1, F.col("r.p") - F.col("r.q") + LENGTH)
+    pieces = cut_up.select("doc", (F.col("lo") + F.col("at") - q).alias("lo"), (q - p + 1).alias("n"), F.xxhash64("h", "r", core).alias("core"), F.substring("bytes", F.col("at") - q + 1, q - p + LENGTH).alias("bytes"), q.alias("q"))
+    pieces = pieces.withColumns({"a": F.xxhash64("q", "bytes"), "b": F.xxhash64("bytes", "q", F.lit(1))}).drop("q")
+    equal = pieces.groupBy("core", "a", "b").agg(F.min(F.struct("doc", "lo", "n", "bytes")).alias("first"), F.count(F.lit(1)).alias("k"))
+    again = pieces.select("core", "a", "b", "doc", "lo", "n").join(equal.where("k > 1").select("core", "a", "b", "first.doc", "first.lo").toDF("core", "a", "b", "doc1", "lo1"), ["core", "a", "b"]).where("doc <> doc1 or lo <> lo1")
+    several = equal.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
+    heads = equal.join(several, "core").select("first.*")
+    each = heads.select("doc", "lo", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     string = F.substring("bytes", F.col("i") + 1, F.lit(LENGTH))
     each = each.select("doc", (F.col("lo") + F.col("i")).alias("lo"), F.xxhash64(string).alias("a"), F.xxhash64(string, F.lit(1)).alias("b"))
-    first = each.groupBy("a", "b").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    return each.join(first, ["a", "b"]).where("struct(doc, lo) <> first").select("doc", F.col("lo").cast("int").alias("lo"), F.lit(1).alias("n"))
+    lead = each.groupBy("a", "b").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    more = each.join(lead, ["a", "b"]).where("struct(doc, lo) <> first").select("doc", F.col("lo").cast("int").alias("lo"), F.lit(1).alias("n"))
+    return again.select("doc", F.col("lo").cast("int").alias("lo"), "n").union(more)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -336,10 +368,10 @@ def repeated(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.max(F.octet_length("text")).alias("m")).first()
     bits = max(4, min(20, int((size["b"] or 0) / ((LENGTH - GRAM + 2) / 2) / ANCHORS_PER_BUCKET).bit_length()))
     met = cut(_met(_packed(docs, bits)))
-    asked = met.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "h", "stretches")).alias("asked"))
+    asked = met.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "at", "h", "stretches")).alias("asked"))
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     parts = texts.join(asked.hint("shuffle_hash"), texts.doc_id == asked.doc).select("doc", F.col("text").cast("binary").alias("raw"), F.explode(F.array_distinct("asked")).alias("q"))
-    contexts = cut(parts.select("doc", "q.lo", "q.h", "q.stretches", F.substring("raw", F.col("q.lo") + 1, F.col("q.n") + (LENGTH - 1)).alias("bytes")))
+    contexts = cut(parts.select("doc", "q.lo", "q.n", "q.at", "q.h", "q.stretches", F.substring("raw", F.col("q.lo") + 1, F.col("q.n") + (LENGTH - 1)).alias("bytes")))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = met.where("h is null").select("doc", "lo", "n")
     found = found.union(_compared(contexts.where(F.col("stretches") <= HOT), shuffles)).union(_compared_by_hash(contexts.where(F.col("stretches") > HOT)))
