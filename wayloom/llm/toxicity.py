@@ -18,7 +18,7 @@ DOCS_PER_CLASS = 6000
 #: Words, and starts of words of these lengths, are features if they mark toxic texts: so much likelier there, beyond chance
 #: (log-likelihood ratio), and either in a large share of the toxic texts or alone in explaining so many of them.
 STEMS = (6, 5, 4, 3)
-LEAST_RATIO, LEAST_G2, LARGE_SHARE, LEAST_DOCS, LEAST_SHARE = 20.0, 24.0, 0.05, 3, 0.003
+LEAST_RATIO, LEAST_G2, LARGE_SHARE, LEAST_DOCS, LEAST_SHARE = 20.0, 32.0, 0.05, 3, 0.003
 MOST_MARKS = 2000
 ROUNDS, EPOCHS = 2, 4
 THRESHOLD = 0.3
@@ -142,12 +142,18 @@ class Scorer:
         return self.base + (1 - self.base) * float(-np.expm1(-mass)), hits
 
 
-def _sample(labelled: DataFrame) -> DataFrame:
-    counts = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}  # two rows
+def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(sampled documents with text and toxic, labels of each class in all).
+
+    A hash of doc_id picks about DOCS_PER_CLASS labels a class, before any text is touched; that bound lets them be broadcast to the documents."""
+    usable = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    counts = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}  # two rows
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("toxic") == y, F.lit(min(1.0, DOCS_PER_CLASS / n))).otherwise(share)
-    return labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < share * (1 << 20))
+    picked = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < share * (1 << 20)).limit(4 * DOCS_PER_CLASS)
+    texts = docs.select("doc_id", "text").where("text is not null")
+    return cut(texts.join(F.broadcast(picked), "doc_id").repartition(4, F.xxhash64("doc_id"))), counts
 
 
 def toxic_marks(sample: DataFrame) -> list[str]:
@@ -190,14 +196,13 @@ def toxic_marks(sample: DataFrame) -> list[str]:
     return sorted(taken)
 
 
-def train(labelled: DataFrame) -> Scorer:
-    """labelled(doc_id, text, toxic 0/1) -> a scorer. Rows without text or label teach nothing.
+def train(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """docs(doc_id, text), labels(doc_id, toxic 0/1) -> a scorer. Rows without text or label teach nothing.
 
     Marks of toxic documents label the tokens of a sample of DOCS_PER_CLASS documents a class. Each partition
-    fits a chain to its sentences, and the weights are averaged, ROUNDS times over. Without any mark every
-    score is the share of toxic documents, or a third of THRESHOLD if that is less."""
-    usable = labelled.where("text is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    sample = cut(_sample(usable).repartition(4, F.xxhash64("doc_id")))
+    fits a chain to its sentences, and the weights are averaged, ROUNDS times over. The base score is the share of toxic
+    documents among those without marks, or a third of THRESHOLD if that is less; without any label it is 0."""
+    sample, counts = _sample(docs, labels)
     marks = toxic_marks(sample)
     w, t = np.zeros((len(marks) + 1, 2)), np.zeros((2, 2))
     w[0, 0], w[1:, 1] = 1.0, 1.0
@@ -221,14 +226,11 @@ def train(labelled: DataFrame) -> Scorer:
         total = sum(r["n"] for r in fitted)
         w = sum(np.array(r["w"]) * r["n"] for r in fitted).reshape(w.shape) / total
         t = sum(np.array(r["t"]) * r["n"] for r in fitted).reshape(t.shape) / total
-    return Scorer(Chain(Index(marks), w, t), 0.0)
-
-
-def calibrated(scorer: Scorer, labelled: DataFrame) -> Scorer:
-    """Sets the base: the share of toxic documents among sampled ones without known words, below THRESHOLD."""
-    rows = score(_sample(labelled.where("text is not null and toxic in (0, 1)").withColumn("toxic", F.col("toxic").cast("int"))), scorer)
-    got = rows.where("n_toxic_words = 0").agg(F.avg("toxic").alias("m")).first()["m"] or 0.0
-    return Scorer(scorer.chain, min(got, THRESHOLD / 3))
+    scorer = Scorer(Chain(Index(marks), w, t), 0.0)
+    unmarked = F.avg((F.col("n_toxic_words") == 0).cast("double")).alias("m")
+    rest = {r["toxic"]: r["m"] * counts[r["toxic"]] for r in score(sample, scorer).groupBy("toxic").agg(unmarked).collect()}  # two rows
+    base = rest.get(1, 0.0) / sum(rest.values()) if sum(rest.values()) else 0.0
+    return Scorer(scorer.chain, min(base, THRESHOLD / 3))
 
 
 def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
@@ -252,9 +254,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
 
 def trained_on(docs: DataFrame, labels: DataFrame) -> Scorer:
     """The scorer of the labelled documents whose crc32 of doc_id leaves no remainder 2 by 4."""
-    learnt = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).select("doc_id", "toxic")
-    labelled = docs.select("doc_id", "text").join(learnt, "doc_id")
-    return calibrated(train(labelled), labelled)
+    return train(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2))
 
 
 def op2_toxicity(spark, sf_dir):
