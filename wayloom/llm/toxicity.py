@@ -182,15 +182,16 @@ def toxic_marks(sample: DataFrame) -> list[str]:
     known = texts.where("toxic = 1").select(F.array_intersect("marks", F.array(*(F.lit(r["mark"]) for r in rows))))
     left = [set(r[0]) for r in known.collect()]  # of the sample's toxic texts, strong marks only
     least, taken = max(LEAST_DOCS, LEAST_SHARE * bad), []
+    favour = lambda m: 1 + 0.02 * len(m) if m.endswith("*") else 1.3  # whole words before their starts, long starts before short ones
     while True:
         counts = Counter(itertools.chain.from_iterable(left))
-        mark = min(counts, key=lambda m: (-counts[m] * (1 + 0.02 * len(m)), m), default=None)
+        mark = min(counts, key=lambda m: (-counts[m] * favour(m), m), default=None)
         if mark is None or counts[mark] < least:
             break
         taken.append(mark)
         left = [x for x in left if mark not in x]
     kin = lambda a, b: a.rstrip("*").startswith(b.rstrip("*")) or b.rstrip("*").startswith(a.rstrip("*"))
-    for m in sorted(share, key=lambda m: (-share[m] * (1 + 0.02 * len(m)), m)):
+    for m in sorted(share, key=lambda m: (-share[m] * favour(m), m)):
         if share[m] >= LARGE_SHARE and not any(kin(m, x) for x in taken):
             taken.append(m)
     return sorted(taken)
