@@ -43,7 +43,10 @@ def balanced_shards(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("_n") / most))
     unit = F.xxhash64("link", part)
     # one row for each (unit, present shard), with the number of its members: that is all that votes need
-    votes = cut(linked.select(unit.alias("unit"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int").alias("shard")).groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n")))
+    # (rows start anywhere, but the units of a group that was split start side by side, as many as nearly fill a shard)
+    side = F.pmod(F.xxhash64("link"), F.lit(shards)) + F.floor(part / (UNIT_SHARE * 7 // 8))
+    begin = F.when(F.col("_n") > most, F.pmod(side, F.lit(shards))).otherwise(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)))
+    votes = cut(linked.select(unit.alias("unit"), begin.cast("int").alias("shard")).groupBy("unit", "shard").agg(F.count(F.lit(1)).alias("n")))
     buckets = 256
     settled, room = None, {j: floor for j in range(shards)}
     for turn in range(rounds):

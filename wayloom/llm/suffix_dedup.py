@@ -288,6 +288,8 @@ def repeated_starts(contexts: list[bytes], docs: np.ndarray, lows: np.ndarray) -
 
 def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Neighbouring starts joined: (document, first start, number of starts)."""
+    if not len(doc):
+        return doc, place, place
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
     head = np.ones(len(doc), dtype=bool)
