@@ -115,11 +115,11 @@ def components(spark, sf_dir):
     return graph.components(graph.near_pairs(_points(spark, sf_dir), 300))
 
 
-@query("graph_contraction", """WITH g AS (SELECT p_partkey AS k FROM part WHERE p_partkey < 1000), e AS (SELECT k AS a, k + 1 AS b FROM g WHERE k % 10 <> 9), c AS (SELECT k AS a, k + 10 AS b FROM g WHERE k % 10 IN (0, 9) AND k + 10 < 1000)
+@query("graph_contraction", """WITH g AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey < 1000), e AS (SELECT k AS a, k + 1 AS b FROM g WHERE k % 10 <> 9), c AS (SELECT k AS a, k + 10 AS b FROM g WHERE k % 10 IN (0, 9) AND k + 10 < 1000)
   SELECT k AS a, k + 9 AS b, CAST(9 * 100 AS BIGINT) AS metres, CAST(8 AS BIGINT) AS inner FROM g WHERE k % 10 = 0 AND k NOT IN (0, 990) UNION ALL
   SELECT a, b, CAST(250 AS BIGINT), CAST(0 AS BIGINT) FROM c WHERE a NOT IN (0, 9) AND b NOT IN (990, 999) UNION ALL SELECT 10, 19, 900 + 500, 10 UNION ALL SELECT 980, 989, 900 + 500, 10""".replace(" AS inner", ' AS "inner"'))
 def contraction(spark, sf_dir):
-    g = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey < 1000").select(F.col("p_partkey").alias("k"))
+    g = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("k"))
     rows = g.where("k % 10 <> 9").selectExpr("k as a", "k + 1 as b", "100L as metres")
     sides = g.where("k % 10 in (0, 9) and k + 10 < 1000").selectExpr("k as a", "k + 10 as b", "250L as metres")
     return graph.contracted(rows.union(sides))

@@ -49,7 +49,7 @@ def poi_rules(spark, sf_dir):
 
 def _grid(spark, sf_dir):
     """Edges of a 40 x 25 street grid, both ways, 100 each; cells of 8 x 8 nodes."""
-    n = derived(spark, sf_dir, "nodes").where("gy < 25").select("id", "gx", "gy")
+    n = derived(spark, sf_dir, "streets")
     right = n.where("gx < 39").selectExpr("id as a", "id + 1 as b", "gx as ax", "gy as ay", "gx + 1 as bx", "gy as by")
     up = n.where("gy < 24").selectExpr("id as a", "id + 40 as b", "gx as ax", "gy as ay", "gx as bx", "gy + 1 as by")
     one = right.union(up)
@@ -80,7 +80,7 @@ def route_alternatives(spark, sf_dir):
 
 @query("route_restricted", f"WITH {_ASK} SELECT rid, CAST((dx + dy) * 100 AS BIGINT) AS cost FROM m")
 def route_restricted(spark, sf_dir):
-    turns = derived(spark, sf_dir, "nodes").where("gx between 1 and 38 and gy between 1 and 23 and id % 97 = 0").selectExpr("id - 1 as from_n", "id as via", "id + 40 as to_n")
+    turns = derived(spark, sf_dir, "streets").where("gx between 1 and 38 and gy between 1 and 23 and id % 97 = 0").selectExpr("id - 1 as from_n", "id as via", "id + 40 as to_n")
     found = routing.routes(_requests(spark, sf_dir), _grid(spark, sf_dir), 1, restrictions=turns)
     return found.groupBy("rid").agg(F.max("cost").cast("long").alias("cost"))
 
