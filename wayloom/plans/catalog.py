@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from wayloom.plans import geometry, graphs, motion, routes, rules_queries, search_queries
+from wayloom.plans import geometry, graphs, motion, routes, rules_queries, search_queries, tiles
 from wayloom.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "search_topk"
-MODULES = (search_queries, geometry, rules_queries, graphs, routes, motion)
+MODULES = (search_queries, geometry, rules_queries, graphs, routes, motion, tiles)
 __all__ = ["FLAGSHIP", "MODULES", "ORACLE_SQL", "QUERIES"]
