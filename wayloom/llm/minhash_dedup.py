@@ -18,9 +18,9 @@ SIMILAR = 0.8
 #: Of pairs at similarity s, 1 - (1 - s**ROWS)**BANDS meet in a band: all but 3 in a million at 0.8.
 BANDS, ROWS = 24, 4
 #: Members of a bucket whose pairs one task compares, and the least share of equal coordinates at which a pair is verified.
-CHUNK, MAYBE = 64, 0.6
-#: How much a Python worker signs, and keeps of shingle sets, at once.
-WORDS_AT_ONCE, DOCS_AT_ONCE, SHINGLES_KEPT = 300_000, 1000, 300_000
+CHUNK, MAYBE = 1024, 0.65
+#: How much a Python worker signs at once, and about how many partners of a text travel together.
+WORDS_AT_ONCE, DOCS_AT_ONCE, PARTNERS = 300_000, 1000, 64
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -152,29 +152,34 @@ def shingle_set(text: str) -> set[tuple[str, ...]]:
     return set(zip(*(w[k:] for k in range(SHINGLE)))) if len(w) >= SHINGLE else {tuple(w)} if w else set()
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b) of nodes -> those whose texts' shingles are SIMILAR at least, exactly."""
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the nodes in pairs(a, b)."""
     needed = pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct()
-    own = cut(texts.join(needed, texts.node == needed.n, "left_semi").groupBy("node").agg(F.min("text").alias("text")))
-    left = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    return cut(texts.join(needed, texts.node == needed.n, "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+
+
+def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """pairs(a, b) of nodes, own(node, text) -> those whose texts' shingles are SIMILAR at least, exactly.
+
+    Pairs of one a travel as one row with a's text; a row is split after PARTNERS of them."""
+    some = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(1 << 16)).alias("r"))
+    size = some.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    some = some.join(size, "a").withColumn("part", F.pmod(F.col("r"), F.ceil(F.col("n") / PARTNERS)))
+    packed = some.join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").groupBy("a", "part").agg(F.collect_list(F.struct("b", "tb")).alias("others"))
+    both = packed.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").select("a", "ta", "others")
 
     def run(batches):
         for batch in batches:
-            sets: dict[int, set] = {}
-            held, found = 0, []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
-                x = sets.get(a)
-                if x is None:
-                    x = sets[a] = shingle_set(ta)
-                    held += len(x)
-                    if held > SHINGLES_KEPT:
-                        sets, held = {a: x}, len(x)
-                y = shingle_set(tb)
-                same = len(x & y)
-                found.append(bool(x) and same >= SIMILAR * (len(x) + len(y) - same))
-            mask = pa.array(found, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+            left, right = [], []
+            for a, ta, others in zip(*(batch.column(c) for c in ("a", "ta", "others"))):
+                x = shingle_set(ta.as_py())
+                for other in others.as_py() if x else ():
+                    y = shingle_set(other["tb"])
+                    same = len(x & y)
+                    if same + 1e-9 >= SIMILAR * (len(x) + len(y) - same):
+                        left.append(a.as_py())
+                        right.append(other["b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -226,11 +231,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = cut(members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last"))
     shared = cut(members.join(leaders.select("key"), "key", "left_semi").distinct())
     stars = shared.join(leaders, "key").where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(verified(cut(stars), texts))
+    stars = cut(stars)
+    own = texts_of(stars, texts)  # of every node that shares a bucket
+    links = cut(verified(stars, own))
     classes = components(links).select(F.col("node").alias("n"), "component")
     rest = cut(_rest(shared, leaders, signed, classes))
     if rest.head(1):
-        links = links.union(verified(rest, texts))
+        links = links.union(verified(rest, own))
         classes = components(links).select(F.col("node").alias("n"), "component")
     classes = cut(classes)
     rows = docs.select("doc_id", F.xxhash64("text").alias("node"), F.col("text").isNull().alias("none"))
@@ -245,3 +252,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op4_minhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The same in DuckDB: all pairs of texts that share a run of words, counted.
+OP4_SQL = r"""
+WITH RECURSIVE n AS (SELECT row_number() OVER (ORDER BY text) AS n, text FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT n, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM n),
+s AS (SELECT DISTINCT n, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT n, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+c AS (SELECT n, count(*) AS c FROM s GROUP BY n),
+p AS (SELECT a.n AS a, b.n AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.n <> b.n GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN c x ON x.n = a JOIN c y ON y.n = b WHERE 5 * k >= 4 * (x.c + y.c - k)),
+r(n, m) AS (SELECT n, n FROM n UNION SELECT r.n, l.b FROM r JOIN l ON r.m = l.a),
+g AS (SELECT n, min(m) AS g FROM r GROUP BY n),
+d AS (SELECT doc_id, g FROM documents JOIN n USING (text) JOIN g USING (n)),
+k AS (SELECT g, min(doc_id) AS class_id, count(*) AS class_size FROM d GROUP BY g)
+SELECT doc_id, class_id, doc_id = class_id AS kept, class_size FROM d JOIN k USING (g)
+UNION ALL SELECT doc_id, doc_id, true, 1 FROM documents WHERE text IS NULL
+"""
