@@ -20,7 +20,7 @@ DOCS_PER_CLASS = 6000
 STEMS = (6, 5, 4, 3)
 LEAST_RATIO, LEAST_G2, LARGE_SHARE, LEAST_DOCS, LEAST_SHARE = 20.0, 32.0, 0.05, 3, 0.003
 MOST_MARKS = 2000
-ROUNDS, EPOCHS = 2, 4
+ROUNDS, EPOCHS, FIT_PARTS = 2, 3, 8
 THRESHOLD = 0.3
 #: Words whose feature a Python worker remembers; at the bound it forgets all and goes on.
 CACHE_WORDS = 1_000_000
@@ -153,7 +153,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, in
         share = F.when(F.col("toxic") == y, F.lit(min(1.0, DOCS_PER_CLASS / n))).otherwise(share)
     picked = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < share * (1 << 20)).limit(4 * DOCS_PER_CLASS)
     texts = docs.select("doc_id", "text").where("text is not null")
-    return cut(texts.join(F.broadcast(picked), "doc_id").repartition(4, F.xxhash64("doc_id"))), counts
+    return cut(texts.join(F.broadcast(picked), "doc_id")), counts
 
 
 def toxic_marks(sample: DataFrame) -> list[str]:
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
                 chain.learn([(list(a), list(b)) for a, b in held], EPOCHS)
                 yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([chain.w.ravel().tolist()]), pa.array([chain.t.ravel().tolist()])], names=["n", "w", "t"])
 
-        fitted = sample.select("toxic", "text").mapInArrow(fit, "n long, w array<double>, t array<double>").collect()  # a row a partition
+        fitted = sample.repartition(FIT_PARTS, F.xxhash64("doc_id")).select("toxic", "text").mapInArrow(fit, "n long, w array<double>, t array<double>").collect()  # a row a partition
         total = sum(r["n"] for r in fitted)
         w = sum(np.array(r["w"]) * r["n"] for r in fitted).reshape(w.shape) / total
         t = sum(np.array(r["t"]) * r["n"] for r in fitted).reshape(t.shape) / total
