@@ -20,7 +20,7 @@ BANDS, ROWS = 24, 4
 #: Members of a bucket whose pairs one task compares, and the least share of equal coordinates at which a pair is verified.
 CHUNK, MAYBE = 1024, 0.65
 #: How much a Python worker signs at once, and about how many partners of a text travel together.
-WORDS_AT_ONCE, DOCS_AT_ONCE, PARTNERS = 300_000, 1000, 64
+WORDS_AT_ONCE, DOCS_AT_ONCE, PARTNERS = 300_000, 1000, 8
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
