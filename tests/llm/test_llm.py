@@ -233,6 +233,22 @@ def test_labelled_pages_are_learnt():
         assert html_text.judge(tree, html_text.features(html_text.blocks(page))).tolist() == labels
 
 
+def test_html_scripts_end_at_their_closing_tag():
+    text = lambda page: [b.text for b in html_text.blocks(page)]
+    assert text("<head><script>for(i=0;i<n;i++){f(i)}</script></head><p>one<p>two") == ["one", "two"]
+    assert text("<script>if(a<b)c()</script><p>one</p><script>x</script><p>two") == ["one", "two"]
+    assert text("<p>one<script><!-- f() </script><p>two") == ["one", "two"]
+    assert text("<style>a:after{content:'<!--'}</style >one<SCRIPT>'</scripts>'</Script\n>two") == ["onetwo"]
+    assert text("<p>one<script>i<n<p>two") == ["one"]
+
+
+def test_html_math_is_text_and_hidden_is_an_attribute_name():
+    text = lambda page: [b.text for b in html_text.blocks(page)]
+    assert text("<p>let <math><semantics><msup><mi>x</mi><mn>2</mn></msup><annotation>x^2</annotation></semantics></math> be") == ["let x2 be"]
+    assert text("<p class='a hidden b'>one</p><p title=\"display:none, aria-hidden='true'\">two</p><p data-x=' hidden '>three</p>") == ["one", "two", "three"]
+    assert text("<p hidden>one</p><p HIDDEN=''>two</p><p style='color:red; display : none'>three</p><p aria-hidden=true>four</p>five") == ["five"]
+
+
 def test_html_of_hard_pages(spark):
     page = "<html><head><title>x</title><script>var a='</p>';</script></head><body><nav><a href=/>Home</a></nav><article><h1>A &amp; B</h1><p>one\n two<p><b>three<br>four</article><div class=comments>Nice!</div><footer>&copy;</footer>"
     pages = spark.createDataFrame([(1, page, "u"), (2, None, "u"), (3, "", None), (4, "<p>" + "long " * 100_000, "u"), (5, "<<<>>> a < b </", "u"), (5, page, "u")], "page_id long, html string, text string")

@@ -12,8 +12,13 @@ from pyspark.sql import DataFrame
 from wayloom.llm.common import extended, table
 
 # Elements whose content is never text of the page.
-_HIDDEN = frozenset("script style noscript template svg math object iframe select option button textarea canvas audio video head title".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_HIDDEN = frozenset("script style noscript template svg object iframe select option button textarea canvas audio video head title".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
+# Elements whose content isn't read as markup: it ends at the first closing tag of that name.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in "script style noscript template textarea iframe title annotation annotation-xml".split()}
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _BLOCKY = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
@@ -34,7 +39,9 @@ _BY_NAME = [
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
-_HIDE = re.compile(r"""(?i)(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""")
+_HIDE = re.compile(r"(?i)hidden|display\s*:\s*none")
+_NONE = re.compile(r"(?i)display\s*:\s*none")
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", *_KINDS)
 
@@ -59,6 +66,17 @@ def _kind(tag: str, attrs: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _hides(attrs: str) -> bool:
+    """Whether an attribute named hidden, or the value of style or aria-hidden, hides the element."""
+    if not _HIDE.search(attrs):
+        return False
+    for name, a, b, c in _ATTR.findall(attrs):
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or name == "style" and _NONE.search(value) or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order: runs of text between tags that break lines, with character references decoded
     and white space made single. Text in comments, scripts, styles and other hidden elements is none. Unclosed and
@@ -68,7 +86,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     linked: list[str] = []
     in_link, heading, kinds, hidden = 0, False, frozenset(), False
-    pos, skip = 0, None
+    pos = 0
 
     def flush() -> None:
         if parts:
@@ -78,12 +96,7 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
             linked.clear()
 
-    for m in _TOKEN.finditer(page):
-        if skip is not None:  # inside an element whose content isn't markup
-            if not (m[1] and m[2] and m[2].lower() == skip):
-                continue
-            pos, skip = m.end(), None
-            continue
+    while m := _TOKEN.search(page, pos):
         if m.start() > pos and not hidden:
             text = page[pos : m.start()]
             parts.append(text)
@@ -93,13 +106,12 @@ def blocks(page: str) -> list[Block]:
         if not m[2]:
             continue
         tag, closing, attrs = m[2].lower(), bool(m[1]), m[3] or ""
-        if tag in ("script", "style", "noscript", "template", "textarea", "iframe", "title") and not closing and not attrs.endswith("/"):
-            end = re.compile(rf"</{tag}\s*>?", re.I).search(page, pos)
-            if tag in ("script", "style", "textarea", "iframe", "title", "noscript", "template"):
-                skip = tag
-                if end is None:
-                    pos = len(page)
-                    break
+        if tag in _RAW and not closing and not attrs.endswith("/"):
+            end = _RAW[tag].search(page, pos)
+            if end:
+                pos = end.end()
+            elif not tag.startswith("annotation"):
+                pos = len(page)
             continue
         if tag == "a":
             if not closing:
@@ -108,8 +120,8 @@ def blocks(page: str) -> list[Block]:
                 in_link = 0
             continue
         if tag in _INLINE and not hidden:
-            if not closing and tag not in _VOID and (_HIDE.search(attrs) or _kind(tag, attrs)):
-                stack.append((tag, kinds | _kind(tag, attrs), hidden or bool(_HIDE.search(attrs))))
+            if not closing and tag not in _VOID and (_hides(attrs) or _kind(tag, attrs)):
+                stack.append((tag, kinds | _kind(tag, attrs), hidden or _hides(attrs)))
                 flush()
                 _, kinds, hidden = stack[-1]
             elif closing and stack and stack[-1][0] == tag:
@@ -129,7 +141,7 @@ def blocks(page: str) -> list[Block]:
                 stack.pop()
             above, was = (stack[-1][1], stack[-1][2]) if stack else (frozenset(), False)
             if not attrs.endswith("/"):
-                stack.append((tag, above | _kind(tag, attrs), was or tag in _HIDDEN or bool(_HIDE.search(attrs))))
+                stack.append((tag, above | _kind(tag, attrs), was or tag in _HIDDEN or _hides(attrs)))
         else:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
@@ -137,7 +149,7 @@ def blocks(page: str) -> list[Block]:
                     break
         _, kinds, hidden = stack[-1] if stack else ("", frozenset(), False)
         heading = not closing and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    if skip is None and pos < len(page) and not hidden:
+    if pos < len(page) and not hidden:
         rest = page[pos:]
         parts.append(rest)
         if in_link:
