@@ -106,6 +106,22 @@ def test_toxicity_finds_held_out_documents(spark):
     assert toxicity.score(docs.limit(0), scorer).count() == 0
 
 
+def test_toxicity_learns_words_that_come_with_others(spark):
+    rng = random.Random(6)
+    texts = [rand_words(rng, 12) + (" idiot" if i % 3 == 0 else "") + (" vermin" if i % 63 == 0 else "") for i in range(1200)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    scorer = toxicity.train(docs_of(spark, texts), labels)  # vermin: 20 of 400 toxic texts, none without idiot
+    assert {"idiot", "vermin"} <= set(scorer.chain.index.marks)
+    assert scorer.tag("You vermin!")[0] >= toxicity.THRESHOLD and scorer.tag("w1x w2x")[0] < toxicity.THRESHOLD
+
+
+def test_chain_counts_sentences_as_often_as_they_occur():
+    for counts in ((1, 9), (9, 1)):
+        chain = toxicity.Chain(toxicity.Index(["a"]), np.zeros((2, 2)), np.zeros((2, 2)))
+        chain.learn([([1, 0], [1, 0]), ([1, 0], [0, 0])], list(counts), 20)
+        assert (chain.marginals([[1, 0]])[0][0] > 0.5) == (counts[0] > counts[1])
+
+
 def test_toxicity_without_labels(spark):
     scorer = toxicity.train(docs_of(spark, ["a", "b"]), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.predicted for r in toxicity.score(docs_of(spark, ["a", None]), scorer).collect()} == {0}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -15,11 +14,10 @@ from wayloom.llm.common import cut, extended, table
 
 #: Labelled documents of each class (expected number: a hash picks them) that the model learns from.
 DOCS_PER_CLASS = 6000
-#: Words, and starts of words of these lengths, are features if they mark toxic texts: so much likelier there, beyond chance
-#: (log-likelihood ratio), and either in a large share of the toxic texts or alone in explaining so many of them.
+#: Words, and starts of words of these lengths, are features if they mark toxic texts: in so many of them, so much likelier there, and beyond
+#: chance (log-likelihood ratio). Each such mark is one; the chain's weights decide what it tells.
 STEMS = (6, 5, 4, 3)
-LEAST_RATIO, LEAST_G2, LARGE_SHARE, LEAST_DOCS, LEAST_SHARE = 20.0, 32.0, 0.05, 3, 0.003
-MOST_MARKS = 2000
+LEAST_RATIO, LEAST_G2, LEAST_DOCS = 20.0, 32.0, 3
 ROUNDS, EPOCHS, FIT_PARTS = 2, 3, 8
 THRESHOLD = 0.3
 #: Words whose feature a Python worker remembers; at the bound it forgets all and goes on.
@@ -90,10 +88,14 @@ class Chain:
         p = p[..., 1] / p.sum(axis=2)
         return [p[i, :n] for i, n in enumerate(lengths)]
 
-    def learn(self, data: list[tuple[list[int], list[int]]], epochs: int, rate: float = 0.5, decay: float = 1e-4) -> None:
-        """Gradient ascent on the likelihood of labelled sequences, one after another."""
+    def learn(self, data: list[tuple[list[int], list[int]]], counts: list[int], epochs: int, rate: float = 0.5, decay: float = 1e-4) -> None:
+        """Gradient ascent on the likelihood of labelled sequences, one after another, each as often as it counts.
+
+        Steps are scaled by the root of each weight's squared gradients so far, so that a sequence that counts for many
+        neither overshoots nor makes the weights of rare features stand still."""
+        sw, st = np.full_like(self.w, 1e-8), np.full_like(self.t, 1e-8)
         for _ in range(epochs):
-            for ids, labels in data:
+            for (ids, labels), count in zip(data, counts):
                 n = len(ids)
                 e, step = np.exp(self.w[ids]), np.exp(self.t)
                 a, b = np.empty((n, 2)), np.ones((n, 2))
@@ -113,8 +115,14 @@ class Chain:
                     x = a[k - 1][:, None] * step * (e[k] * b[k])[None, :]
                     gt -= x / x.sum()
                     gt[labels[k - 1], labels[k]] += 1
-                np.add.at(self.w, ids, rate * (gold - p))
-                self.t += rate * (gt / n - decay * self.t)
+                some, at = np.unique(ids, return_inverse=True)
+                gw = np.zeros((len(some), 2))
+                np.add.at(gw, at, gold - p)
+                gw, gt = count * gw, count * gt
+                sw[some] += gw * gw
+                st += gt * gt
+                self.w[some] += rate * gw / np.sqrt(sw[some])
+                self.t += rate * (gt / np.sqrt(st) - decay * self.t)
             self.w *= 1 - decay
 
 
@@ -159,9 +167,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, in
 def toxic_marks(sample: DataFrame) -> list[str]:
     """The words and starts of words (`start*`) that mark the toxic texts of sample(text, toxic); token labels come from these.
 
-    Copies of a text count once. Marks are taken one by one, each time the one that is in most of the
-    toxic texts that no taken mark explains (a longer start before a shorter one that explains few more), so that
-    words which merely come along drop out; those in a large share of the toxic texts are kept in any case."""
+    Copies of a text count once. Every mark that passes the tests is kept, however rare and whatever else comes along with it."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     texts = sample.groupBy(F.md5("text")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("toxic", words.alias("words"))
     starts = lambda n: F.transform(F.filter("words", lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
@@ -175,33 +181,14 @@ def toxic_marks(sample: DataFrame) -> list[str]:
     b, g = F.col("b"), F.col("g")
     term = lambda x, share: F.when(x > 0, x * F.log(x / ((b + g) * share))).otherwise(0.0)
     strong = ((b / bad) / ((g + 0.5) / good) >= LEAST_RATIO) & (2 * (term(b, bad / (bad + good)) + term(g, good / (bad + good))) >= LEAST_G2)
-    rows = found.where(strong).orderBy(F.desc("b"), F.desc(F.length("mark")), "mark").limit(MOST_MARKS).collect()
-    if not rows:
-        return []
-    share = {r["mark"]: r["b"] / bad for r in rows}
-    known = texts.where("toxic = 1").select(F.array_intersect("marks", F.array(*(F.lit(r["mark"]) for r in rows))))
-    left = [set(r[0]) for r in known.collect()]  # of the sample's toxic texts, strong marks only
-    least, taken = max(LEAST_DOCS, LEAST_SHARE * bad), []
-    favour = lambda m: 1 + 0.02 * len(m) if m.endswith("*") else 1.3  # whole words before their starts, long starts before short ones
-    while True:
-        counts = Counter(itertools.chain.from_iterable(left))
-        mark = min(counts, key=lambda m: (-counts[m] * favour(m), m), default=None)
-        if mark is None or counts[mark] < least:
-            break
-        taken.append(mark)
-        left = [x for x in left if mark not in x]
-    kin = lambda a, b: a.rstrip("*").startswith(b.rstrip("*")) or b.rstrip("*").startswith(a.rstrip("*"))
-    for m in sorted(share, key=lambda m: (-share[m] * favour(m), m)):
-        if share[m] >= LARGE_SHARE and not any(kin(m, x) for x in taken):
-            taken.append(m)
-    return sorted(taken)
+    return sorted(r["mark"] for r in found.where(strong).select("mark").collect())  # of a bounded sample's words
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     """docs(doc_id, text), labels(doc_id, toxic 0/1) -> a scorer. Rows without text or label teach nothing.
 
     Marks of toxic documents label the tokens of a sample of DOCS_PER_CLASS documents a class. Each partition
-    fits a chain to its sentences, and the weights are averaged, ROUNDS times over. The base score is the share of toxic
+    fits a chain to its sentences, and the weights are averaged, ROUNDS times over, a feature's by how often each partition has it. The base score is the share of toxic
     documents among those without marks, or a third of THRESHOLD if that is less; without any label it is 0."""
     sample, counts = _sample(docs, labels)
     marks = toxic_marks(sample)
@@ -216,17 +203,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
                     for words, _ in sequences(text):
                         ids = tuple(now.index[x] for x in words)
                         key = (ids, tuple(int(bool(toxic and i)) for i in ids))
-                        if any(ids) or len(held) < 500:
-                            held[key] = held.get(key, 0) + 1
+                        held[key] = held.get(key, 0) + 1
             if held:
                 chain = Chain(now.index, now.w.copy(), now.t.copy())
-                chain.learn([(list(a), list(b)) for a, b in held], EPOCHS)
-                yield pa.RecordBatch.from_arrays([pa.array([len(held)], pa.int64()), pa.array([chain.w.ravel().tolist()]), pa.array([chain.t.ravel().tolist()])], names=["n", "w", "t"])
-
-        fitted = sample.repartition(FIT_PARTS, F.xxhash64("doc_id")).select("toxic", "text").mapInArrow(fit, "n long, w array<double>, t array<double>").collect()  # a row a partition
-        total = sum(r["n"] for r in fitted)
-        w = sum(np.array(r["w"]) * r["n"] for r in fitted).reshape(w.shape) / total
-        t = sum(np.array(r["t"]) * r["n"] for r in fitted).reshape(t.shape) / total
+                chain.learn([(list(a), list(b)) for a, b in held], list(held.values()), EPOCHS)
+                seen, steps = np.zeros(len(chain.w)), 0
+                for (ids, _), c in held.items():
+                    np.add.at(seen, list(ids), c)
+                    steps += c * (len(ids) - 1)
+                some = np.flatnonzero(seen)
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (some.tolist(), seen[some].tolist(), chain.w[some].ravel().tolist(), float(steps), chain.t.ravel().tolist())], names=["f", "n", "w", "steps", "t"])
+
+        fitted = sample.repartition(FIT_PARTS, F.xxhash64("doc_id")).select("toxic", "text").mapInArrow(fit, "f array<long>, n array<double>, w array<double>, steps double, t array<double>").collect()  # a row a partition
+        seen, total, steps = np.zeros((len(w), 1)), np.zeros_like(w), sum(r["steps"] for r in fitted)
+        for r in fitted:
+            n = np.array(r["n"])[:, None]
+            seen[r["f"]] += n
+            total[r["f"]] += np.array(r["w"]).reshape(-1, 2) * n
+        w = np.where(seen > 0, total / np.maximum(seen, 1), w)
+        t = sum(np.array(r["t"]) * r["steps"] for r in fitted).reshape(t.shape) / steps if steps else t
     scorer = Scorer(Chain(Index(marks), w, t), 0.0)
     unmarked = F.avg((F.col("n_toxic_words") == 0).cast("double")).alias("m")
     rest = {r["toxic"]: r["m"] * counts[r["toxic"]] for r in score(sample, scorer).groupBy("toxic").agg(unmarked).collect()}  # two rows
