@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayloom.functions import names, tags
-from wayloom.operators import graph, routing
+from wayloom.operators import graph, regions, routing
 from wayloom.plans import rules
 from wayloom.streaming import fusion
 
@@ -48,6 +48,22 @@ def test_unique_positions(spark):
     assert next((r.ilon, r.ilat) for r in got if r.id == 0) == (1_000_005, 2_000_005)
 
 
+def test_nearest_region_of_many_centres(spark):
+    world = regions.WORLD
+    centres = spark.range(12_000).selectExpr("id", "id * 5915587 % 360000000 as ilon", "id * 99991 % 160000000 + 10000000 as ilat")
+    rows = [(i, i * 7_654_321 % world, i * 8_765_432 % 180_000_000) for i in range(60)] + [(60, 0, 90_000_000), (61, world - 1, 90_000_000), (61, None, 5)]
+    spots = centres.collect()
+
+    def far(x, y, c):
+        dx = (x - c.ilon + world // 2) % world - world // 2
+        return dx * dx + (y - c.ilat) ** 2, c.id
+
+    got = regions.nearest_region(spark.createDataFrame(rows, "id long, ilon long, ilat long"), centres).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, None if x is None else min(far(x, y, c) for c in spots)[1])) for i, x, y in rows)
+    few = spark.createDataFrame([(7, 1, 170_000_000), (3, world - 1, 170_000_000)], "id long, ilon long, ilat long")
+    assert {tuple(r) for r in regions.nearest_region(spark.createDataFrame([(1, 0, 0), (2, 179_999_999, 0)], "id long, ilon long, ilat long"), few).collect()} == {(1, 3), (2, 7)}
+
+
 def test_simplified(spark):
     paths = spark.createDataFrame([(1, [0.0, 1.0, 2.0, 3.0], [0.0, 0.1, 0.0, 5.0]), (2, [0.0, 1.0, 2.0], [0.0, 0.4, 0.0])], "id int, xs array<double>, ys array<double>")
     assert dict(graph.simplified(paths.withColumn("id", F.col("id").cast("long"))).collect()) == {1: [0, 2, 3], 2: [0, 1, 2]}

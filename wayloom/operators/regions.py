@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
+from wayloom.operators.graph import cut
 
 CHUNK_TILES = 64
-#: Regions that may be broadcast to the points; beyond it they are joined through a grid of cells alone.
-MOST_BROADCAST = 10_000
 CELL = 5_000_000
 WORLD = 360_000_000
 
@@ -39,18 +40,43 @@ def first_region(points: DataFrame, boxes: DataFrame) -> DataFrame:
 def nearest_region(points: DataFrame, centres: DataFrame) -> DataFrame:
     """points(id, ilon, ilat), centres(id, ilon, ilat) -> (id, rid): the centre at the least folded squared distance, the smaller id first.
 
-    The registry of regions is small by nature: MOST_BROADCAST at most, checked; it goes to every task as one array, so that each point keeps one row."""
-    n = centres.limit(MOST_BROADCAST + 1).count()
-    if n > MOST_BROADCAST:
-        raise ValueError(f"more than {MOST_BROADCAST} regions")
-    all_ = F.broadcast(centres.agg(F.collect_list(F.struct("id", "ilon", "ilat")).alias("centres")))
-
-    def far(c: Column) -> Column:
-        dx = ((F.col("ilon") - c["ilon"] + WORLD // 2) % WORLD + WORLD) % WORLD - WORLD // 2
-        dy = F.col("ilat") - c["ilat"]
-        return F.struct((dx * dx + dy * dy).alias("d"), c["id"].alias("rid"))
-
-    return points.join(all_).select("id", F.array_min(F.transform("centres", far))["rid"].alias("rid"))
+    Centres are laid in a grid of about as many cells as there are centres. A point looks into the cells around its own,
+    twice as far each time (an equi join), until the best centre is no farther than what these cells cover for sure;
+    points go on only until then, and the last reach covers the whole grid. Longitudes fold: cells count round the globe."""
+    n = centres.count()
+    if not n:
+        return points.select("id", F.lit(None).cast(centres.schema["id"].dataType).alias("rid"))
+    across = max(3, min(1 << 15, math.isqrt(2 * n)))
+    size = -(-WORLD // across)
+    across = -(-WORLD // size)  # the last column may be narrower
+    low, high = centres.agg(F.floor(F.min("ilat") / size), F.floor(F.max("ilat") / size)).first()
+    column = lambda c: F.floor(F.pmod(c.cast("long"), F.lit(WORLD)) / size)
+    laid = centres.select(F.col("id").alias("rid"), F.col("ilon").alias("clon"), F.col("ilat").alias("clat"), column(F.col("ilon")).alias("cx"), F.floor(F.col("ilat") / size).alias("cy"))
+    places = points.select("ilon", "ilat").distinct()
+    out, left, reach = None, places, 2
+    while True:
+        last = 2 * reach + 1 >= across
+        if last:  # every column, every row that holds centres
+            xs, y0, y1 = F.sequence(F.lit(0), F.lit(across - 1)), F.lit(low), F.lit(high)
+        else:
+            x, y = column(F.col("ilon")), F.floor(F.col("ilat") / size)
+            xs = F.array_distinct(F.transform(F.sequence(x - reach, x + reach), lambda c: F.pmod(c, F.lit(across))))
+            y0, y1 = F.greatest(y - reach, F.lit(low)), F.least(y + reach, F.lit(high))
+        ys = F.when(y0 <= y1, F.sequence(y0, F.greatest(y0, y1)))
+        asked = left.select("ilon", "ilat", F.explode(xs).alias("cx"), ys.alias("ys")).select("ilon", "ilat", "cx", F.explode("ys").alias("cy"))
+        dx = F.pmod(F.col("ilon") - F.col("clon") + WORLD // 2, F.lit(WORLD)) - WORLD // 2
+        dy = F.col("ilat") - F.col("clat")
+        best = asked.join(laid, ["cx", "cy"]).groupBy("ilon", "ilat").agg(F.min(F.struct((dx * dx + dy * dy).alias("d"), "rid")).alias("best"))
+        sure = (reach - 1) * size  # one of the columns may be the narrow one
+        found = cut(best if last else best.where(F.col("best.d") < F.lit(sure * sure)))
+        out = found if out is None else out.union(found)
+        if last:
+            break
+        left = cut(left.join(found.select("ilon", "ilat"), ["ilon", "ilat"], "left_anti"))
+        if left.isEmpty():
+            break
+        reach *= 2
+    return points.join(out, ["ilon", "ilat"], "left").select("id", F.col("best.rid").alias("rid"))
 
 
 def corridor(lines: DataFrame, dlon: Column, dlat: Column, steps: int) -> DataFrame:
