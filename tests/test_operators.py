@@ -117,6 +117,24 @@ def test_fusion_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, fusion.fuse(df).collect()))
 
 
+def test_fusion_goes_on_across_batches_of_a_session(spark):
+    rng = random.Random(2)
+    rows = [(i % 7 % 3, i * 500, rng.random() * 300, rng.random() * 300, rng.random() * 4, 5.0) for i in range(400)]
+    df = spark.createDataFrame(rows, "session long, ms long, x double, y double, speed double, accuracy double")
+    states, want = {}, []
+    for session, *fix in rows:
+        states[session], out = fusion.step(states.get(session, fusion.START), *fix)
+        want.append((session, *out))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 16)
+    try:
+        fused = fusion.fuse(df)
+        assert sorted(map(tuple, fused.collect())) == sorted(want)
+        assert "FlatMapGroups" not in fused._jdf.queryExecution().toString()  # no session is held in one frame
+    finally:
+        spark.conf.unset(key)
+
+
 def test_fusion_doubts_a_far_fix_once():
     s, _ = fusion.step(fusion.START, 0, 0.0, 0.0, 0.0, 5.0)
     s, out = fusion.step(s, 1000, 500.0, 0.0, 0.0, 5.0)

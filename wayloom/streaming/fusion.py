@@ -66,12 +66,20 @@ _COLUMNS = ["session", "ms", "x", "y", "speed", "mode", "accepted"]
 
 
 def fuse(fixes: DataFrame) -> DataFrame:
-    """fixes(session, ms, x, y, speed, accuracy) of whole sessions, in batch."""
-
-    def whole(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_run(START, frame)[1], columns=_COLUMNS)
-
-    return fixes.groupBy("session").applyInPandas(whole, OUT)
+    """fixes(session, ms, x, y, speed, accuracy) of whole sessions, in batch. Fixes come sorted, and only one state is held at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        session, state = None, START
+        for frame in frames:
+            rows = []
+            for key, part in frame.groupby("session", sort=False):
+                state, more = _run(state if key == session else START, part)
+                session = key
+                rows += more
+            yield pd.DataFrame(rows, columns=_COLUMNS)
+
+    fixes = fixes.select("session", "ms", "x", "y", "speed", "accuracy")
+    return fixes.repartition("session").sortWithinPartitions("session", "ms", "x", "y").mapInPandas(run, OUT)
 
 
 def fuse_stream(fixes: DataFrame, late: str = "10 seconds") -> DataFrame:
