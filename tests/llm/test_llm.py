@@ -309,6 +309,13 @@ def test_languages_are_told_apart(spark):
     assert language_id.learn_languages(docs.limit(0)) == {} and language_id.identify(hard, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def test_languages_of_long_texts_and_many_languages(spark):
+    rows = [(i, f"word{i} " * 5, f"l{i:03}", "s", 0) for i in range(210)] + [(500, "palabra larga " * 1000, "long", "s", 0), (501, "huge " * 100_000, "huge", "s", 0)]
+    known = language_id.learn_languages(spark.createDataFrame(rows, DOCS))
+    assert list(known) == sorted(r[2] for r in rows)
+    assert known["long"] == rows[210][1].encode() and known["huge"] == rows[211][1].encode()[: language_id.DICTIONARY_BYTES]
+
+
 # 10 urls
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
@@ -13,11 +14,9 @@ from pyspark.sql import functions as F
 
 from wayloom.llm.common import extended, table
 
-#: Labelled documents that make a language's dictionary (expected number: a hash picks them), the longest text that may be one, and the dictionary's size.
+#: Labelled documents that make a language's dictionary (expected number: a hash picks them), and the dictionary's size.
 DOCS_PER_LANGUAGE = 150
-LONGEST_BYTES = 1 << 13
 DICTIONARY_BYTES = 1 << 17
-MOST_LANGUAGES = 200
 #: Texts are compressed in pieces of so many bytes, each with the dictionary alone, so that a long text doesn't become its own dictionary.
 PIECE_BYTES = 4096
 LEVEL = 3
@@ -30,29 +29,25 @@ _LETTER = regex.compile(r"\p{L}")
 def learn_languages(labelled: DataFrame) -> dict[str, bytes]:
     """labelled(doc_id, text, lang) -> each language's dictionary, from a bounded sample of its documents.
 
-    A hash of doc_id picks about DOCS_PER_LANGUAGE documents of each language, whatever its share of the rows;
-    whole texts go in while they fit. Rows without text or language teach nothing."""
-    fits = "lang is not null and text is not null and text <> ''"
-    usable = labelled.where(fits).where(F.octet_length("text") <= LONGEST_BYTES).select("doc_id", "text", "lang")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
-        return {}
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, DOCS_PER_LANGUAGE / r["count"]))).otherwise(share)
-    picked = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < share * (1 << 20))
-    rows = picked.collect()  # about languages x DOCS_PER_LANGUAGE texts of LONGEST_BYTES at most
-    out: dict[str, bytes] = {}
-    for lang in sorted({r["lang"] for r in rows}):
+    A hash of doc_id picks about DOCS_PER_LANGUAGE documents of each language, whatever its share of the rows and their
+    lengths; the text that doesn't fit is cut to the dictionary's rest. Rows without text or language teach nothing."""
+    usable = labelled.where("lang is not null and text is not null and text <> ''").select("doc_id", "text", "lang")
+    counts = usable.groupBy("lang").count()
+    share = F.least(F.lit(1.0), F.lit(float(DOCS_PER_LANGUAGE)) / F.col("count"))
+    picked = usable.join(F.broadcast(counts), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < share * (1 << 20))
+
+    def lay(key, frame):
         own, used = [], 0
-        for text in sorted({r["text"] for r in rows if r["lang"] == lang}, key=lambda t: zlib.crc32(t.encode())):
-            if used + len(text.encode()) < DICTIONARY_BYTES:
-                own.append(text)
-                used += len(text.encode()) + 1
-        out[lang] = "\n".join(own).encode()
-    return out
+        for text in sorted(set(frame["text"]), key=lambda t: (zlib.crc32(t.encode()), t)):
+            if used >= DICTIONARY_BYTES:
+                break
+            own.append(text.encode()[: DICTIONARY_BYTES - used])
+            used += len(own[-1]) + 1
+        return pd.DataFrame({"lang": [key[0]], "raw": [b"\n".join(own)]})
+
+    first = F.substring("text", 1, DICTIONARY_BYTES).alias("text")  # more never fits
+    laid = picked.select("lang", first).groupBy("lang").applyInPandas(lay, "lang string, raw binary")
+    return {r["lang"]: bytes(r["raw"]) for r in sorted(laid.collect(), key=lambda r: r["lang"])}  # a dictionary a language
 
 
 def sizes(texts: list[str], dictionaries: dict[str, bytes]) -> np.ndarray:
