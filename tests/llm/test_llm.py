@@ -4,7 +4,9 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -28,7 +30,7 @@ def rand_words(rng, n, pool=400):
 
 
 def plain_words(text):
-    return minhash_dedup._FIND.findall((text or "").translate(minhash_dedup._TO_LOWER))
+    return re.findall(common.WORD, (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
 def plain_contamination(docs, items, window=10):
@@ -148,11 +150,11 @@ def test_bpe_equals_tiktoken(spark):
 
 
 def plain_classes(docs):
-    sets = [minhash_dedup.shingle_set(t or "") for _, t in docs]
+    words = [plain_words(t) for _, t in docs]
+    sets = [Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter() for w in words]
     label = list(range(len(docs)))
     for i, j in itertools.combinations(range(len(docs)), 2):
-        same = len(sets[i] & sets[j])
-        alike = sets[i] and same >= 0.8 * len(sets[i] | sets[j]) or (docs[i][1] is not None and docs[i][1] == docs[j][1])
+        alike = sets[i] and (sets[i] & sets[j]).total() >= 0.8 * (sets[i] | sets[j]).total() or (docs[i][1] is not None and docs[i][1] == docs[j][1])
         if alike and label[i] != label[j]:
             a, b = sorted((label[i], label[j]))
             label = [a if x == b else x for x in label]
@@ -183,6 +185,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash_dedup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [minhash_dedup.CHUNK, 7])
+def test_groups_around_the_threshold_equal_brute_force(spark, monkeypatch, chunk):
+    """Copies of one text that are linked with some of each other, and repeated lines, which weigh as often as they come."""
+    monkeypatch.setattr(minhash_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(minhash_dedup, "PARTNERS", 5)
+    rng = random.Random(17)
+    base = rand_words(rng, 120, 10**6).split()
+    docs = []
+    for _ in range(90):
+        w = list(base)
+        for k in rng.sample(range(120), rng.randrange(1, 5)):
+            w[k] = f"new{rng.randrange(10**6)}"
+        docs.append(" ".join(w))
+    line = rand_words(rng, 12, 10**6)
+    docs += [" ".join([line] * 30), " ".join([line] * 29), " ".join([line] * 12), "one two three", "three two one", "x " * 70_000, "x " * 70_001]
+    got = minhash_dedup.near_duplicates(docs_of(spark, docs).withColumn("key", F.lit("k")).withColumn("n", F.lit(1))).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == plain_classes(list(enumerate(docs)))
+    assert len({r.class_id for r in got}) > 8
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(8)
     ids = rng.integers(0, 2**63, 60, dtype=np.uint64)
