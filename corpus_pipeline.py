@@ -17,10 +17,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the least doc_id stays; of repeated rows, one."""
-    stays = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(stays, docs.doc_id.eqNullSafe(stays._id), "left_semi")
-    return left.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(docs.columns)
+    """Of each class of near duplicates the document of the least doc_id stays; of repeated rows, one. Null texts stay, one a doc_id.
+
+    Where texts of one class share that doc_id, one of them stays. An empty table gives none."""
+    classes = minhash_dedup.classes_of(docs)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first")
+    stays = classes.where("component is not null").groupBy("component").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.node").alias("_node"))
+    stays = stays.union(classes.where("component is null").select("doc_id", "node").distinct())
+    text = F.when(F.col("text").isNotNull(), F.xxhash64("text"))
+    left = docs.withColumn("_text", text).join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_node")), "left_semi")
+    return left.dropDuplicates(["doc_id", "_text"]).select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
