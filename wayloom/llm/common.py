@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Words after lower-casing: runs of digits, a-z and every character beyond ASCII.
+#: Words after lower-casing: runs of digits, a-z and every character beyond ASCII; and the same as Java reads it faster.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_JAVA_WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -41,7 +42,7 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """The words of a text, in order; none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(_JAVA_WORD), F.lit(0))
 
 
 def ranked(df: DataFrame, by: list[str], order: list[str], spread: Column, per_bucket: int, rows: int, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.llm.common import cut, table, words
@@ -25,46 +25,55 @@ def _fits(df: DataFrame, column: str) -> bool:
     return 3 * got <= BROADCAST_BYTES
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id, text), items(item_id, text) -> (hits, matched items).
+def _matches(docs: DataFrame, items: DataFrame, window: int) -> tuple[DataFrame, DataFrame, bool]:
+    """docs(doc_id, text), items(item_id, text) -> (rows, windows, whether windows are small).
 
-    hits(doc_id, key, n_hit): for each document with a hit, its words inside any occurrence of an item's window; key is a hash of the text.
-    matched(doc_id, key, item_id): the items whose windows occur.
+    rows(doc_id, key, start, length, window): each occurrence of a window in a document, and for each row of docs one with a null window and its
+    number of words as start; key is a hash of the text. windows(window, w, items): the distinct windows and the items that have them.
 
     A window occurs only where its rarest word does, so that word is all of its prefix: tokens are ordered by how
     many times the documents have them, and each window is joined by its rarest one. The place of that word inside the window
-    gives the only start that can match; it must leave room on both sides, and then all words are compared."""
+    gives the only start that can match; it must leave room on both sides, and then all words are compared. Documents are cut into
+    words twice: once to count tokens, once to find windows. (Outer generators: no filter on their input is derived, which would cut texts once more.)"""
     found = cut(item_windows(items, window).groupBy("w").agg(F.collect_set("item_id").alias("items")).select(F.monotonically_increasing_id().alias("window"), "w", "items"))
     small = _fits(found, "w")
     vocabulary = found.select(F.explode("w").alias("token")).distinct()
-    tokens = docs.select(F.explode(words(F.col("text"))).alias("token"))
+    tokens = docs.select(F.explode_outer(words(F.col("text"))).alias("token"))
     counts = tokens.join(F.broadcast(vocabulary) if small else vocabulary, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     ranked = found.select("window", "w", F.posexplode("w").alias("at", "token")).join(counts, "token")  # a word that no document has rules its windows out
     least = ranked.groupBy("window").agg(F.first("w").alias("w"), F.count(F.lit(1)).alias("known"), F.min(F.struct("n", "token", "at")).alias("rare"))
     wanted = cut(least.where(F.col("known") == F.size("w")).select("window", "w", F.col("rare.token").alias("token"), F.col("rare.at").alias("at"), F.size("w").alias("length")))
-    key = F.xxhash64("text").alias("key")
+    end = ""  # stands after the last word of each document, at the number of its words
+    base = docs.select("doc_id", F.xxhash64("text").alias("key"), F.concat(words(F.col("text")), F.array(F.lit(end))).alias("d"))
+    at = base.select("doc_id", "key", "d", F.posexplode_outer("d").alias("p", "token"))
+    null = F.lit(None)
     if small:
-        base = docs.select("doc_id", key, words(F.col("text")).alias("d"))
-        at = base.select("doc_id", "key", "d", F.posexplode("d").alias("p", "token"))
+        last = wanted.sparkSession.range(1).select(null.cast("long").alias("window"), null.cast("array<string>").alias("w"), F.lit(end).alias("token"), F.lit(0).alias("at"), F.lit(0).alias("length"))
         start = F.col("p") - F.col("at")
-        same = (start >= 0) & (start + F.col("length") <= F.size("d")) & (F.slice("d", start + 1, F.col("length")) == F.col("w"))
-        matches = at.join(F.broadcast(wanted), "token").where(same)
+        same = F.col("window").isNull() | ((start >= 0) & (F.slice("d", F.greatest(start, F.lit(0)) + 1, F.col("length")) == F.col("w")))
+        rows = at.join(F.broadcast(wanted.union(last)), "token").where(same)
     else:  # each word travels with the words around it, so that what is shuffled stays in proportion to the text
-        base = docs.select("doc_id", key, words(F.col("text")).alias("d"))
-        around = F.slice("d", F.greatest(F.col("p") - (window - 1), F.lit(0)) + 1, 2 * window - 1)
-        at = base.select("doc_id", "key", "d", F.posexplode("d").alias("p", "token")).select("doc_id", "key", "p", "token", around.alias("d"))
+        begin = F.greatest(F.col("p") - (window - 1), F.lit(0))
+        near = at.where(F.col("token") != end).select("doc_id", "key", "p", "token", begin.alias("begin"), F.slice("d", begin + 1, 2 * window - 1).alias("d"))
         start = F.col("p") - F.col("at")
-        inside = start - F.greatest(F.col("p") - (window - 1), F.lit(0))
-        same = (start >= 0) & (inside + F.col("length") <= F.size("d")) & (F.slice("d", inside + 1, F.col("length")) == F.col("w"))
-        matches = at.join(wanted, "token").where(same)
-    matches = cut(matches.select("doc_id", "key", start.cast("long").alias("start"), "length", "window").distinct())
+        same = (start >= 0) & (F.slice("d", F.greatest(start - F.col("begin"), F.lit(0)) + 1, F.col("length")) == F.col("w"))
+        rows = near.join(wanted, "token").where(same).select("doc_id", "key", "p", "at", "length", "window")
+        rows = rows.union(at.where(F.col("token") == end).select("doc_id", "key", "p", F.lit(0), F.lit(0), null.cast("long")))
+    return cut(rows.select("doc_id", "key", start.cast("long").alias("start"), "length", "window")), found, small
+
+
+def _hits(matches: DataFrame) -> DataFrame:
+    """(doc_id, key, n_hit): the words of a document inside any occurrence of a window."""
     order = Window.partitionBy("doc_id", "key").orderBy("start", "length")
     reached = F.coalesce(F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("length") - F.greatest("start", reached))
-    hits = matches.withColumn("fresh", fresh).groupBy("doc_id", "key").agg(F.sum("fresh").alias("n_hit"))
-    names = found.select("window", F.explode("items").alias("item_id"))
-    matched = matches.select("doc_id", "key", "window").distinct().join(F.broadcast(names) if small else names, "window").select("doc_id", "key", "item_id").distinct()
-    return hits, matched
+    return matches.select("doc_id", "key", "start", "length").distinct().withColumn("fresh", fresh).groupBy("doc_id", "key").agg(F.sum("fresh").alias("n_hit"))
+
+
+def contaminated_rows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs(doc_id, text), items(item_id, text) -> (doc_id, key) of the documents in which any window occurs; key is xxhash64 of the text."""
+    rows, _, _ = _matches(docs, items, window)
+    return rows.where("window is not null").select("doc_id", "key").distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -72,15 +81,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
     Null and empty texts have no words; null and empty items have no windows. Copies of a row get equal rows; rows with
     one doc_id and different texts are told apart by their texts. Null doc_ids and item_ids are values like others;
-    the null item counts in n_items and drops out of the list that items_sha256 is made from."""
-    hits, matched = contamination(docs, items, window)
+    the null item counts in n_items and drops out of the list that items_sha256 is made from. Empty tables give no rows, or no hits."""
+    rows, windows, small = _matches(docs, items, window)
+    matches = rows.where("window is not null")
+    names = windows.select("window", F.explode("items").alias("item_id"))
+    matched = matches.select("doc_id", "key", "window").distinct().join(F.broadcast(names) if small else names, "window").select("doc_id", "key", "item_id").distinct()
     listed = F.concat_ws(",", F.array_sort(F.collect_set(F.col("item_id").cast("string"))))
     per_doc = matched.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n_items"), listed.alias("items"))
-    known = hits.join(per_doc.withColumnsRenamed({"doc_id": "d2", "key": "k2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("key").eqNullSafe(F.col("k2"))).select(
+    known = _hits(matches).join(per_doc.withColumnsRenamed({"doc_id": "d2", "key": "k2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & F.col("key").eqNullSafe(F.col("k2"))).select(
         F.col("doc_id").alias("d"), F.col("key").alias("k"), "n_hit", "n_items", "items"
     )
-    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = rows.join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
+    each = rows.where("window is null").select("doc_id", "key", F.col("start").alias("n_words"))
+    out = each.join(known, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left")
     number = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", number("n_hit").alias("n_hit"), number("n_items").alias("n_items"), F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"), (number("n_hit") > 0).alias("contaminated"))
 
