@@ -42,8 +42,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which any window of a benchmark item occurs go."""
-    hits, _ = decontaminate.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    """Documents in which any window of a benchmark item occurs go. Null and empty texts hold none; an empty table gives none."""
+    hits = decontaminate.contaminated_rows(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     hits = hits.select(F.col("doc_id").alias("_id"), "key")
     return docs.join(hits, docs.doc_id.eqNullSafe(hits._id) & (F.xxhash64(docs.text) == hits.key), "left_anti").select(docs.columns)
 
