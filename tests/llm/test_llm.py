@@ -298,19 +298,37 @@ def test_html_of_hard_pages(spark):
 # 8 repeated passages
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 0])
-def test_repeats_equal_brute_force(spark, monkeypatch, hot):
+def removed(docs):
+    return sorted(map(tuple, suffix_dedup.keep_first(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("raw", 256)).collect()))
+
+
+@pytest.mark.parametrize("hot, piece", [(suffix_dedup.HOT, suffix_dedup.PIECE_BYTES), (suffix_dedup.HOT, 300), (3, 300), (0, 300)])
+def test_repeats_equal_brute_force(spark, monkeypatch, hot, piece):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", piece)
+    if piece == 300:
+        monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 250)
+        monkeypatch.setattr(suffix_dedup, "SORTED_AT_ONCE", 150)
     rng = random.Random(11)
     passage = "".join(rng.choice("abcdefgh é") for _ in range(400))
     texts = [rand_words(rng, 60) + passage[k : k + 100 + 40 * k] + rand_words(rng, 30) for k in range(6)]
     texts += [texts[0], "a" * 350, "ab" * 200, "x" + "a" * 120, "", None, passage[:99], passage[:100], "z" * 100 + "y" * 100, "q" + "z" * 100 + "y" * 100]
-    docs = docs_of(spark, texts).withColumn("n_bytes", F.lit("clash"))
-    rows = suffix_dedup.keep_first(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("raw", 256)).collect()
-    assert sorted(map(tuple, rows)) == suffix_dedup.brute_force([(i, t) for i, t in enumerate(texts)])
-    twice = suffix_dedup.keep_first(docs_of(spark, [texts[0]]).union(docs_of(spark, [texts[0]]))).collect()
-    assert [r.n_removed for r in twice] == [0, 0]
+    line = passage[50:140]
+    texts += [rand_words(rng, 3) + line + rand_words(rng, 4) for _ in range(12)] + [line + passage[140:160]] * 5
+    docs = docs_of(spark, texts).withColumn("n_bytes", F.lit("clash")).withColumn("key", F.lit("clash")).repartition(3)
+    assert removed(docs) == sorted(suffix_dedup.brute_force([(i, t) for i, t in enumerate(texts)]))
+
+
+def test_repeats_of_repeated_ids_and_long_texts(spark):
+    rng = random.Random(12)
+    passage, other = ("".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (150, 137))
+    long = "".join(rng.choice("abcdefghijklmnop") for _ in range(1_500_000))
+    rows = [(1, passage + "tail"), (2, "A" * 40 + passage), (2, other + "-" + other + "+" + other), (2, "A" * 40 + passage), (3, long), (4, long[600_000:900_000] + "!" + long[:50] + long[-1000:]), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removed(docs) == sorted(suffix_dedup.brute_force(rows))
     assert suffix_dedup.keep_first(docs_of(spark, [])).count() == 0
+    nulls = spark.createDataFrame([(None, passage), (None, passage)], "doc_id long, text string")
+    assert [r[2] for r in removed(nulls)] == [0, 0]
 
 
 # 9 languages

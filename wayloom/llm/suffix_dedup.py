@@ -1,153 +1,134 @@
 """Removal of repeated passages: every byte under a 100-byte string that also starts earlier in the corpus.
 
-Strings of 100 bytes are brought together by content: of the 24-byte grams in a string, the one with the least hash is its
-anchor, so equal strings have equal anchors at equal places. All strings of a document with one anchor form a stretch,
-and a stretch (anchor, place, bytes) that is equal to an earlier one is repeated as a whole. Only where
-an anchor has stretches of different bytes are bytes compared: a suffix array over those stretches
-sorts their strings in two stages, and adjacent common prefixes of 100 bytes give the repeated ones."""
+Strings of 100 bytes are dealt out by content: of the 24-byte grams in a string, the one with the least hash is its
+anchor, so equal strings have equal anchors at equal places. All neighbouring strings of a document with one anchor form a stretch.
+Anchors that only one stretch has can't hold repeats. All others are dealt to tasks by anchor, with their bytes; each task
+sorts the suffixes that start there in two stages, and adjacent common prefixes of 100 bytes give the repeated ones.
+Nothing is judged by a hash: hashes only say which strings meet."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.common import cut, extended, table
+from wayloom.llm.word_hashes import mix, powers, text_pieces
 
 LENGTH, GRAM = 100, 24
-#: Bytes hashed at once, and strings sorted at once.
-CHUNK_BYTES, SORTED_AT_ONCE = 1 << 20, 250_000
-#: Stretches of an anchor beyond this number are compared by hashes of their strings, over all tasks.
-HOT = 1024
-ANCHORS_PER_BUCKET = 200_000
-
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BITS = 30
-_powers: list[np.ndarray] = []
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(29))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 17))
-        up, down = np.full(size, _BASE, dtype=np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), dtype=np.uint64)
-        up[0] = down[0] = 1
-        _powers[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _powers[0], _powers[1]
-
-
-def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(document, first start, number of starts, anchor's place from the first start, anchor's hash, hash of all the stretch's bytes) of texts, in order.
-
-    All together must be shorter than 2**_BITS bytes."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    n, width = len(data), LENGTH - GRAM + 1
-    none = np.zeros(0, dtype=np.int64)
-    if n < LENGTH:
+#: Bytes hashed at once, bytes of texts whose equal stretches are put together before they travel, and strings sorted at once.
+CHUNK_BYTES, PIECE_BYTES, SORTED_AT_ONCE = 1 << 19, 1 << 23, 250_000
+#: Stretches that meet by their anchor alone, at most; beyond that they are taken apart and meet by longer parts of their bytes.
+HOT = 8192
+STRETCHES_PER_BUCKET = 200_000
+
+_BITS = 20  # of a place in a chunk
+
+
+def _valid(size: int, offsets: np.ndarray) -> np.ndarray:
+    """Whether a string of LENGTH bytes that doesn't cross rows starts at each byte."""
+    step = np.zeros(size + 1, dtype=np.int8)
+    long = np.flatnonzero(np.diff(offsets) >= LENGTH)
+    np.add.at(step, offsets[long], 1)
+    np.add.at(step, offsets[long + 1] - LENGTH + 1, -1)
+    return np.cumsum(step[:-1], dtype=np.int8) > 0
+
+
+def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, first start, number of starts, anchor's place from the first start, anchor's hash, hash of all the stretch's bytes) of the rows of a piece, in order.
+
+    Chunks of CHUNK_BYTES starts are looked at one after another; a stretch ends where a chunk does."""
+    valid, width, out = _valid(len(data), offsets), LENGTH - GRAM + 1, []
+    for a in range(0, len(data) - LENGTH + 1, CHUNK_BYTES):
+        here = data[a : a + CHUNK_BYTES + LENGTH - 1]
+        n = len(here) - LENGTH + 1
+        up, down = powers(len(here) + 1)
+        sums = np.zeros(len(here) + 1, dtype=np.uint64)
+        np.cumsum((here + np.uint64(1)) * up[: len(here)], out=sums[1:])
+        gram = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(here) - GRAM + 1])
+        least, have = gram >> np.uint64(_BITS) << np.uint64(_BITS) | np.arange(len(gram), dtype=np.uint64), 1
+        while 2 * have <= width:
+            least = np.minimum(least[: len(least) - have], least[have:])
+            have *= 2
+        if have < width:
+            least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
+        anchor = (least & np.uint64((1 << _BITS) - 1)).astype(np.int64)[:n]  # of the string that starts at each place
+        ok = valid[a : a + n]
+        fresh = ok.copy()
+        fresh[1:] &= (anchor[1:] != anchor[:-1]) | ~ok[:-1]
+        lo, places = np.flatnonzero(fresh), np.flatnonzero(ok)
+        if not len(lo):
+            continue
+        count = np.diff(np.append(np.searchsorted(places, lo), len(places)))
+        mark = anchor[lo]
+        body = mix((sums[lo + count + LENGTH - 1] - sums[lo]) * down[lo]) + mix((mark - lo).astype(np.uint64) * np.uint64(1000003) + count.astype(np.uint64))
+        out.append((lo + a, count, mark - lo, mix(gram[mark] + np.uint64(77)), body))
+    if not out:
+        none = np.zeros(0, dtype=np.int64)
         return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
-    up, down = _power(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    gram = _mix((sums[GRAM:] - sums[:-GRAM]) * down[: n - GRAM + 1])
-    key = gram >> np.uint64(_BITS) << np.uint64(_BITS) | np.arange(len(gram), dtype=np.uint64)
-    least, have = key, 1
-    while 2 * have <= width:
-        least = np.minimum(least[: len(least) - have], least[have:])
-        have *= 2
-    if have < width:
-        least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
-    anchor = (least & np.uint64((1 << _BITS) - 1)).astype(np.int64)  # of the string that starts at each place
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
-    valid = np.zeros(len(anchor) + 1, dtype=bool)
-    for b, e in zip(begins.tolist(), ends.tolist()):
-        if e - b >= LENGTH:
-            valid[b : e - LENGTH + 1] = True
-    valid = valid[:-1]
-    fresh = valid.copy()
-    fresh[1:] &= (anchor[1:] != anchor[:-1]) | ~valid[:-1]
-    fresh[begins[(sizes >= LENGTH)]] = True
-    lo = np.flatnonzero(fresh)
-    places = np.flatnonzero(valid)
-    at = np.searchsorted(places, lo)
-    count = np.diff(np.append(at, len(places)))
-    doc = np.searchsorted(ends, lo, side="right")
-    mark = anchor[lo]
-    body = _mix((sums[lo + count + LENGTH - 1] - sums[lo]) * down[lo])
-    body = _mix(body + _mix((mark - lo).astype(np.uint64) * np.uint64(1000003) + count.astype(np.uint64)))
-    return doc, lo - begins[doc], count, mark - lo, _mix(gram[mark] + np.uint64(77)), body
-
-
-def _chunks(docs: list[int], texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    ids, some, size = [], [], 0
-    for d, t in zip(docs, texts):
-        if some and size + len(t) > CHUNK_BYTES:
-            yield ids, some
-            ids, some, size = [], [], 0
-        ids.append(d)
-        some.append(t)
-        size += len(t)
-    if some:
-        yield ids, some
-
-
-_RECORD = np.dtype([("h", "<u4"), ("c", "<u8"), ("d", "<u8"), ("lo", "<u4"), ("n", "<u1"), ("at", "<u1")])
+    lo, *rest = (np.concatenate(x) for x in zip(*out))
+    row = np.searchsorted(offsets, lo, side="right") - 1
+    return row, lo - offsets[row], *rest
+
+
+_RECORD = np.dtype([("b", "<u4"), ("h", "<u4"), ("d", "<i8"), ("k", "<i8"), ("lo", "<u4"), ("n", "<u1"), ("at", "<u1")])
+#: What a record says: a stretch that must meet others of its anchor, a repeated one, one whose anchor is known to have others.
+_MEETS, _REPEATED, _OPEN = 0, 1, 2
 
 
 def _packed(docs: DataFrame, bits: int) -> DataFrame:
-    """docs(doc_id, text) -> (bucket, kind, blob): stretches packed by the first bits of their anchor's hash.
+    """docs(doc, key, text) -> (bucket, kind, blob): stretches packed by the first bits of their anchor's hash.
+
+    Of the stretches with equal bytes in a piece only the earliest goes on; the others are repeated and need not meet any. Where different
+    stretches of a piece share an anchor they are open already, and one record of no strings stands for them in the anchor's bucket. So
+    neither a passage nor an anchor of very many documents comes to a bucket more than once a piece."""
 
-    Of equal stretches in a batch only the earliest goes on to its bucket; the others are known to be repeated already
-    and go to buckets by their documents (kind 1), so that a passage in very many documents meets as one row a batch."""
+    def packed(records: np.ndarray, kind: int, to: np.ndarray):
+        order = np.argsort(to, kind="stable")
+        records, to = records[order], to[order]
+        starts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
+        for s, e in zip(starts, [*starts[1:], len(to)]):
+            x = records[s:e]
+            yield int(to[s]), kind, b"".join(x[f].tobytes() for f in _RECORD.names)
 
     def run(batches):
+        shift = np.uint64(64 - bits)
         for batch in batches:
-            got = [(d, t.encode()) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) if t and d is not None]
-            parts = []
-            for ids, some in _chunks([d for d, _ in got], [t for _, t in got]):
-                doc, *rest = stretches(some)
-                parts.append((np.array(ids, dtype=np.int64)[doc], *rest))
-            if not parts:
-                continue
-            d, lo, n, at, h, c = (np.concatenate(x) for x in zip(*parts))
-            order = np.lexsort((lo, d, c, h))
-            d, lo, n, at, h, c = d[order], lo[order], n[order], at[order], h[order], c[order]
-            same = np.zeros(len(d), dtype=bool)
-            same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
-            group = np.maximum.accumulate(np.where(same, 0, np.arange(len(d))))
-            known = same & ((d != d[group]) | (lo != lo[group]))
-            keep = ~same
-            record = np.empty(len(d), dtype=_RECORD)
-            shift = np.uint64(64 - bits)
-            record["h"], record["c"] = (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), c
-            record["d"], record["lo"], record["n"], record["at"] = d.view(np.uint64), lo, n, at
-            bucket = (h >> shift).astype(np.int64) if bits else np.zeros(len(d), dtype=np.int64)
-            by_doc = (_mix(d.view(np.uint64) * np.uint64(_BASE)) >> shift).astype(np.int64) if bits else bucket
-            out = []
-            for kind, chosen, to in ((0, keep, bucket), (1, known, by_doc)):
-                r, b = record[chosen], to[chosen]
-                order = np.argsort(b, kind="stable")
-                r, b = r[order], b[order]
-                starts = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else []
-                for s, e in zip(starts, [*starts[1:], len(b)]):
-                    x = r[s:e]
-                    out.append((int(b[s]), kind, b"".join(x[f].tobytes() for f in _RECORD.names)))
-            if out:
+            ids, keys = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
+            for first, after, data, offsets in text_pieces(batch.column("text"), PIECE_BYTES):
+                row, lo, n, at, h, c = stretches(data, offsets)
+                if not len(row):
+                    continue
+                d, k = ids[first:after][row], keys[first:after][row]
+                order = np.lexsort((lo, k, d, c, h))
+                row, lo, n, at, h, c, d, k = (x[order] for x in (row, lo, n, at, h, c, d, k))
+                same = np.zeros(len(d), dtype=bool)
+                same[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+                group = np.maximum.accumulate(np.where(same, 0, np.arange(len(d))))
+                raw, begin, size = data.tobytes(), offsets[row] + lo, n + LENGTH - 1
+                for i in np.flatnonzero(same).tolist():  # equal bytes, not equal hashes alone
+                    a, b, g = begin[i], begin[group[i]], size[i]
+                    same[i] = raw[a : a + g] == raw[b : b + g]
+                known = same & ((d != d[group]) | (k != k[group]) | (lo != lo[group]))
+                record = np.empty(len(d), dtype=_RECORD)
+                bucket, by_doc = ((x >> shift).astype(np.int64) for x in (h, mix(d.view(np.uint64))))
+                record["b"], record["h"], record["d"], record["k"], record["lo"], record["n"], record["at"] = bucket, (h << np.uint64(bits) >> np.uint64(32)).astype(np.uint32), d, k, lo, n, at
+                kept = np.flatnonzero(~same)
+                head = np.append(True, h[kept][1:] != h[kept][:-1])
+                sizes = np.diff(np.append(np.flatnonzero(head), len(kept)))
+                several = np.repeat(sizes > 1, sizes)
+                marks = record[kept[head & several]]
+                marks["n"] = 0
+                meets, open_ = kept[~several], kept[several]
+                out = [*packed(record[known], _REPEATED, by_doc[known]), *packed(np.concatenate([record[meets], marks]), _MEETS, np.concatenate([bucket[meets], bucket[kept[head & several]]]))]
+                out += packed(record[open_], _OPEN, by_doc[open_])
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "kind", "blob"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, kind int, blob binary")
+    return docs.mapInArrow(run, "bucket int, kind int, blob binary")
 
 
 def _unpack(blobs: list[bytes]) -> np.ndarray:
@@ -163,35 +144,24 @@ def _unpack(blobs: list[bytes]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype=_RECORD)
 
 
-def _met(packed: DataFrame) -> DataFrame:
-    """(doc, lo, n, at, h, stretches): repeated stretches (h null), and those whose bytes must be compared with others of their anchor."""
+def _met(packed: DataFrame, bits: int) -> DataFrame:
+    """(doc, key, lo, n, at, h): repeated stretches (h null), and those whose bytes must be compared with others of their anchor."""
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        bucket = np.uint64(frame["bucket"].iloc[0])
-        known = _unpack(frame["blob"][frame["kind"] == 1].tolist())
-        r = _unpack(frame["blob"][frame["kind"] == 0].tolist())
-        r = r[np.lexsort((r["lo"], r["d"].view(np.int64), r["c"], r["h"]))]
-        new_h, new = np.ones(len(r), dtype=bool), np.ones(len(r), dtype=bool)
-        new_h[1:] = r["h"][1:] != r["h"][:-1]
-        new[1:] = new_h[1:] | (r["c"][1:] != r["c"][:-1])
-        group = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
-        repeated = ~new & ((r["d"] != r["d"][group]) | (r["lo"] != r["lo"][group]))
-        heads = np.flatnonzero(new_h)
-        kinds = np.add.reduceat(new.astype(np.int64), heads) if len(heads) else np.zeros(0, dtype=np.int64)
-        kinds = np.repeat(kinds, np.diff(np.append(heads, len(r))))
-        open_ = new & (kinds > 1)
-        said = np.concatenate([known, r[repeated]])
-        out = pd.DataFrame({"doc": said["d"].view(np.int64), "lo": said["lo"].astype(np.int32), "n": said["n"].astype(np.int32)})
-        out["at"], out["h"], out["stretches"] = np.int32(0), pd.array([None] * len(out), dtype="Int64"), 0
-        left = r[open_]
-        more = pd.DataFrame({"doc": left["d"].view(np.int64), "lo": left["lo"].astype(np.int32), "n": left["n"].astype(np.int32)})
-        more["at"] = left["at"].astype(np.int32)
-        more["h"] = pd.array((bucket << np.uint64(32) | left["h"].astype(np.uint64)).view(np.int64), dtype="Int64")
-        more["stretches"] = np.minimum(kinds[open_], 2**30).astype(np.int32)
-        out["stretches"] = out["stretches"].astype(np.int32)
-        return pd.concat([out, more])
-
-    return packed.groupBy("bucket").applyInPandas(meet, "doc long, lo int, n int, at int, h long, stretches int")
+        kinds = [_unpack(frame["blob"][frame["kind"] == k].tolist()) for k in (_REPEATED, _OPEN, _MEETS)]
+        r = kinds[2]
+        r = r[np.lexsort((r["n"], r["lo"], r["k"], r["d"], r["h"]))]
+        r = r[np.append(np.ones(min(1, len(r)), dtype=bool), (r[1:] != r[:-1]))]  # a repeated row's stretches come once
+        heads = np.flatnonzero(np.append(np.ones(min(1, len(r)), dtype=bool), r["h"][1:] != r["h"][:-1]))
+        sizes = np.diff(np.append(heads, len(r)))
+        open_ = np.concatenate([kinds[1], r[np.repeat(sizes > 1, sizes) & (r["n"] > 0)]])
+        said = np.concatenate([kinds[0], open_])
+        h = (said["b"].astype(np.uint64) << np.uint64(64 - bits) | said["h"].astype(np.uint64)).view(np.int64)
+        out = pd.DataFrame({"doc": said["d"], "key": said["k"], "lo": said["lo"].astype(np.int32), "n": said["n"].astype(np.int32), "at": said["at"].astype(np.int32)})
+        out["h"] = pd.arrays.IntegerArray(h, np.arange(len(said)) < len(kinds[0]))
+        return out
+
+    return packed.groupBy("bucket").applyInPandas(meet, "doc long, key long, lo int, n int, at int, h long")
 
 
 def two_stage(text: np.ndarray, starts: np.ndarray, follows: np.ndarray, induced: np.ndarray) -> np.ndarray:
@@ -248,8 +218,8 @@ def adjacent_prefixes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_starts(contexts: list[bytes], docs: np.ndarray, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start) of all strings of these stretches that are equal to an earlier one of them."""
+def repeated_starts(contexts: list[bytes], docs: np.ndarray, keys: np.ndarray, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, place in it) of all strings of these stretches that are equal to an earlier one of them: of a lesser (document, key, start)."""
     text = np.frombuffer(b"".join(contexts) + bytes(LENGTH + 1), dtype=np.uint8)
     sizes = np.array([len(c) for c in contexts], dtype=np.int64)
     begins = np.cumsum(sizes) - sizes
@@ -276,52 +246,64 @@ def repeated_starts(contexts: list[bytes], docs: np.ndarray, lows: np.ndarray) -
     order = order[real[order]]
     prefix = adjacent_prefixes(text, starts[order])
     group = np.cumsum(prefix < LENGTH) - 1 if len(prefix) else prefix
-    doc, place = docs[which[order]], lows[which[order]] + inside[order]
-    by = np.lexsort((place, doc, group))
-    group, doc, place = group[by], doc[by], place[by]
+    which, inside = which[order], inside[order]
+    doc, key, place = docs[which], keys[which], lows[which] + inside
+    by = np.lexsort((place, key, doc, group))
+    group, doc, key, place, which, inside = group[by], doc[by], key[by], place[by], which[by], inside[by]
     head = np.ones(len(group), dtype=bool)
     head[1:] = group[1:] != group[:-1]
     lead = np.maximum.accumulate(np.where(head, np.arange(len(group)), 0))
-    again = (doc != doc[lead]) | (place != place[lead])
-    return doc[again], place[again]
-
-
-def _runs(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Neighbouring starts joined: (document, first start, number of starts)."""
-    if not len(doc):
-        return doc, place, place
-    order = np.lexsort((place, doc))
-    doc, place = doc[order], place[order]
-    head = np.ones(len(doc), dtype=bool)
-    head[1:] = (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)
-    at = np.flatnonzero(head)
-    last = np.append(at[1:], len(doc)) - 1
-    return doc[at], place[at], place[last] - place[at] + 1
-
-
-def _compared(contexts: DataFrame, parts: int) -> DataFrame:
-    """contexts(h, doc, lo, bytes) -> (doc, lo, n): the strings repeated among stretches of one anchor, which has HOT of them at most."""
-
-    def run(batches):
-        held: list = []
-        strings = 0
-
-        def flush():
-            docs, lows = np.array([x[1] for x in held], dtype=np.int64), np.array([x[2] for x in held], dtype=np.int64)
-            doc, lo, n = _runs(*repeated_starts([x[3] for x in held], docs, lows))
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "lo", "n"])
+    again = (doc != doc[lead]) | (key != key[lead]) | (place != place[lead])
+    return which[again], inside[again]
+
+
+def _sorted(rows: DataFrame, combine: bool = False) -> DataFrame:
+    """rows(h, doc, key, lo, bytes) -> (doc, key, lo, n): neighbouring strings that are repeated among the stretches of one h.
+
+    A task sorts about SORTED_AT_ONCE strings at a time. If the strings of one h go on, the stretches that hold a first one are sorted again with the
+    next. combine: the rows of any h are sorted before they are dealt out, as they come, and only what holds a first string travels on."""
+
+    def sort(batches, ends: bool):
+        held: list[tuple] = []
+        strings = 0  # beyond those held over
+
+        def flush(last: bool):
+            nonlocal held, strings
+            which, inside = repeated_starts([x[4] for x in held], *(np.array([x[c] for x in held], dtype=np.int64) for c in (1, 2, 3)))
+            order = np.lexsort((inside, which))
+            which, inside = which[order], inside[order]
+            at = np.flatnonzero(np.append(np.ones(min(1, len(which)), dtype=bool), (which[1:] != which[:-1]) | (inside[1:] != inside[:-1] + 1)))
+            n = np.diff(np.append(at, len(which)))
+            out = [(None, *held[w][1:3], held[w][3] + i, c, None) for w, i, c in zip(which[at].tolist(), inside[at].tolist(), n.tolist())]
+            gone = np.bincount(which, minlength=len(held))
+            first = [x for x, g in zip(held, gone.tolist()) if g < len(x[4]) - LENGTH + 1]
+            if last and not ends:
+                out += [(h, doc, key, lo, None, raw) for h, doc, key, lo, raw in first]
+            held = [] if last else [x for x in first if x[0] == held[-1][0]]
+            strings = 0
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 6, _SAID)], names=["h", "doc", "key", "lo", "n", "bytes"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "lo", "bytes"))):
-                if held and strings > SORTED_AT_ONCE and held[-1][0] != row[0]:
-                    yield flush()
-                    held, strings = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "key", "lo", "bytes"))):
+                if strings > SORTED_AT_ONCE:
+                    yield flush(not ends or held[-1][0] != row[0])
                 held.append(row)
-                strings += len(row[3]) - LENGTH + 1
+                strings += len(row[4]) - LENGTH + 1
         if held:
-            yield flush()
+            yield flush(True)
 
-    return contexts.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, "doc long, lo int, n int")
+    schema = "h long, doc long, key long, lo int, n int, bytes binary"
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("h", "doc", "key", "lo", "bytes")
+    said = None
+    if combine:
+        rows = cut(rows.mapInArrow(lambda batches: sort(batches, False), schema))
+        said, rows = rows.where("n is not null"), rows.where("n is null").select("h", "doc", "key", "lo", "bytes")
+    out = rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(lambda batches: sort(batches, True), schema)
+    return (out if said is None else out.union(said)).select("doc", "key", "lo", "n")
+
+
+_SAID = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _reaches() -> list[tuple[int, int]]:
@@ -338,46 +320,54 @@ def _reaches() -> list[tuple[int, int]]:
     return left + right[::-1]
 
 
-def _compared_by_hash(contexts: DataFrame) -> DataFrame:
-    """The same for anchors with any number of stretches, as aggregates and joins over all tasks.
+def _pieces(contexts: DataFrame) -> DataFrame:
+    """Stretches (h, doc, key, lo, n, at, bytes) cut up by how far strings reach left of the anchor; h is a hash of what all strings of a piece share.
 
-    Stretches are cut into pieces by how far strings reach left of the anchor. All strings of a piece hold the same core, so equal strings are
-    in pieces of one range and core. Equal pieces (by two 64-bit hashes of their bytes) are repeated as a whole; only the first ones of cores with
-    several different pieces are taken apart into strings, which meet by their hashes."""
+    Equal strings are in pieces of one range and with one core, so they meet under one h again, but fewer others do."""
     ranges = F.array(*(F.struct(F.lit(a).alias("p"), F.lit(b).alias("q")) for a, b in _reaches()))
     least = F.col("at") - F.col("n") + 1
     inside = F.filter(ranges, lambda r: (r["p"] <= F.col("at")) & (r["q"] >= least))
-    cut_up = contexts.select("doc", "lo", "n", "at", "h", "bytes", F.explode(inside).alias("r"))
+    cut_up = contexts.select("doc", "key", "lo", "n", "at", "h", "bytes", F.explode(inside).alias("r"))
     p, q = F.greatest(F.col("r.p"), least), F.least(F.col("r.q"), F.col("at"))
     core = F.substring("bytes", F.col("at") - F.col("r.p") + 1, F.col("r.p") - F.col("r.q") + LENGTH)
-    pieces = cut_up.select("doc", (F.col("lo") + F.col("at") - q).alias("lo"), (q - p + 1).alias("n"), F.xxhash64("h", "r", core).alias("core"), F.substring("bytes", F.col("at") - q + 1, q - p + LENGTH).alias("bytes"), q.alias("q"))
-    pieces = pieces.withColumns({"a": F.xxhash64("q", "bytes"), "b": F.xxhash64("bytes", "q", F.lit(1))}).drop("q")
-    equal = pieces.groupBy("core", "a", "b").agg(F.min(F.struct("doc", "lo", "n", "bytes")).alias("first"), F.count(F.lit(1)).alias("k"))
-    again = pieces.select("core", "a", "b", "doc", "lo", "n").join(equal.where("k > 1").select("core", "a", "b", "first.doc", "first.lo").toDF("core", "a", "b", "doc1", "lo1"), ["core", "a", "b"]).where("doc <> doc1 or lo <> lo1")
-    several = equal.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("core")
-    heads = equal.join(several, "core").select("first.*")
-    each = heads.select("doc", "lo", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    whole = F.substring("bytes", F.col("at") - q + 1, q - p + LENGTH)
+    return cut_up.select(F.xxhash64("h", "r", core).alias("h"), "doc", "key", (F.col("lo") + F.col("at") - q).alias("lo"), (q - p + 1).alias("n"), whole.alias("bytes"))
+
+
+def _strings(pieces: DataFrame) -> DataFrame:
+    """Each string of the pieces by itself; h is its own hash."""
+    each = pieces.select("doc", "key", "lo", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     string = F.substring("bytes", F.col("i") + 1, F.lit(LENGTH))
-    each = each.select("doc", (F.col("lo") + F.col("i")).alias("lo"), F.xxhash64(string).alias("a"), F.xxhash64(string, F.lit(1)).alias("b"))
-    lead = each.groupBy("a", "b").agg(F.min(F.struct("doc", "lo")).alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    more = each.join(lead, ["a", "b"]).where("struct(doc, lo) <> first").select("doc", F.col("lo").cast("int").alias("lo"), F.lit(1).alias("n"))
-    return again.select("doc", F.col("lo").cast("int").alias("lo"), "n").union(more)
+    return each.select(F.xxhash64(string).alias("h"), "doc", "key", (F.col("lo") + F.col("i")).alias("lo"), string.alias("bytes"))
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose h has HOT of them at most, and the rest."""
+    hot = cut(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT).select("h"))
+    return rows.join(hot, "h", "left_anti"), rows.join(hot, "h", "left_semi")
+
+
+def document_key(text: Column) -> Column:
+    """Tells documents of one doc_id apart."""
+    return F.xxhash64(text)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc, spans): for each document with repeated strings, (lo, n): n neighbouring starts of them from byte lo."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("b"), F.max(F.octet_length("text")).alias("m")).first()
-    bits = max(4, min(20, int((size["b"] or 0) / ((LENGTH - GRAM + 2) / 2) / ANCHORS_PER_BUCKET).bit_length()))
-    met = cut(_met(_packed(docs, bits)))
-    asked = met.where("h is not null").groupBy("doc").agg(F.collect_list(F.struct("lo", "n", "at", "h", "stretches")).alias("asked"))
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    parts = texts.join(asked.hint("shuffle_hash"), texts.doc_id == asked.doc).select("doc", F.col("text").cast("binary").alias("raw"), F.explode(F.array_distinct("asked")).alias("q"))
-    contexts = cut(parts.select("doc", "q.lo", "q.n", "q.at", "q.h", "q.stretches", F.substring("raw", F.col("q.lo") + 1, F.col("q.n") + (LENGTH - 1)).alias("bytes")))
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = met.where("h is null").select("doc", "lo", "n")
-    found = found.union(_compared(contexts.where(F.col("stretches") <= HOT), shuffles)).union(_compared_by_hash(contexts.where(F.col("stretches") > HOT)))
-    return found.groupBy("doc").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
+    """docs(doc_id, text) -> (doc, key, spans): for each document with repeated strings, (lo, n): n neighbouring starts of them from byte lo."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("b")).first()["b"] or 0
+    bits = max(4, min(20, int(size / ((LENGTH - GRAM + 2) / 2) / STRETCHES_PER_BUCKET).bit_length()))
+    texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), document_key(F.col("text")).alias("key"), "text")
+    met = cut(_met(_packed(texts, bits), bits))
+    asked = met.where("h is not null").groupBy("doc", "key").agg(F.collect_list(F.struct("lo", "n", "at", "h")).alias("asked"))
+    parts = texts.join(asked.hint("shuffle_hash"), ["doc", "key"]).select("doc", "key", F.col("text").cast("binary").alias("raw"), F.explode(F.array_distinct("asked")).alias("q"))
+    contexts = cut(parts.select("q.h", "doc", "key", "q.lo", "q.n", "q.at", F.substring("raw", F.col("q.lo") + 1, F.col("q.n") + (LENGTH - 1)).alias("bytes")))
+    found = met.where("h is null").select("doc", "key", "lo", "n")
+    some, rest = _split(contexts)
+    found = found.union(_sorted(some))
+    if rest.head(1):  # by pieces of stretches, and where those are too many again, by strings
+        some, rest = _split(cut(_pieces(rest)))
+        found = found.union(_sorted(some, combine=True)).union(_sorted(_strings(rest), combine=True))
+    return found.groupBy("doc", "key").agg(F.collect_set(F.struct("lo", "n")).alias("spans"))
 
 
 def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -385,52 +375,51 @@ def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
 
     A byte goes if a string of LENGTH bytes over it also starts earlier: in a document of smaller doc_id, or earlier in its own.
     Strings are judged on the input. Null texts are empty. Rows of one doc_id and text are one document, and each
-    returns. Rows with a null doc_id are not compared and stay whole. A string doesn't cross documents."""
+    returns; different texts of one doc_id are documents of their own, in the order of a hash. Rows with a null doc_id are not compared and stay whole. A string doesn't
+    cross documents. Long texts are looked at in chunks; other columns stay, but for those of the names that are added; an empty table gives no rows."""
     made = ("raw", "n_bytes", "n_removed", "n_spans")
-    spans = repeated(docs.select("doc_id", F.col(text).alias("text")))
+    spans = repeated(docs.select("doc_id", F.col(text).alias("text"))).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
     kept = [c for c in docs.columns if c not in made]
-    rows = docs.select(*kept).join(spans.hint("shuffle_hash"), docs.doc_id == spans.doc, "left").drop("doc")
+    own = docs.select(*kept, document_key(F.col(text)).alias("_hash"))
+    rows = own.join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc")) & (F.col("_hash") == F.col("_key")), "left").select(*kept, "_spans")
     schema = extended(docs.select(*kept), "raw binary, n_bytes long, n_removed long, n_spans long")
+    where = kept.index(text)
 
     def run(batches):
         for batch in batches:
-            raws, totals, removed, counts = [], [], [], []
-            for t, found in zip(batch.column(text).to_pylist(), batch.column("spans").to_pylist()):
-                raw = (t or "").encode()
-                totals.append(len(raw))
-                pieces, at, gone, k = [], 0, 0, 0
-                if found:
-                    end = 0
-                    for lo, hi in sorted((s["lo"], min(len(raw), s["lo"] + s["n"] + LENGTH - 1)) for s in found):
+            for first, after, data, offsets in text_pieces(batch.column(where), PIECE_BYTES):
+                whole, raws, counts = data.tobytes(), [], []
+                for i, spans in enumerate(batch.column(len(kept)).slice(first, after - first).to_pylist()):
+                    a, b = int(offsets[i]), int(offsets[i + 1])
+                    pieces, end, k = [], a, 0
+                    for lo, hi in sorted((a + s["lo"], min(b, a + s["lo"] + s["n"] + LENGTH - 1)) for s in spans or ()):
                         if lo > end or k == 0:
-                            pieces.append(raw[end:lo])
+                            pieces.append(whole[end:lo])
                             k += 1
-                            gone += hi - lo
-                            end = hi
-                        elif hi > end:
-                            gone += hi - end
-                            end = hi
-                    at = end
-                raws.append(b"".join(pieces) + raw[at:])
-                removed.append(gone)
-                counts.append(k)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(raws, pa.binary()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64())], names=[*kept, *made])
+                        end = max(end, hi)
+                    raws.append(b"".join([*pieces, whole[end:b]]))
+                    counts.append(k)
+                totals = np.diff(offsets)
+                gone = totals - np.array([len(r) for r in raws], dtype=np.int64)
+                columns = [batch.column(c).slice(first, after - first) for c in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(raws, pa.binary()), pa.array(totals), pa.array(gone), pa.array(counts, pa.int64())], names=[*kept, *made])
 
     return rows.mapInArrow(run, schema)
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int, int, str]]:
-    """The digest of small inputs by looking up every string; for tests."""
-    seen: dict[bytes, tuple[int, int]] = {}
-    raws = {d: (t or "").encode() for d, t in rows}
-    for d in sorted(raws):
-        for i in range(len(raws[d]) - LENGTH + 1):
-            seen.setdefault(raws[d][i : i + LENGTH], (d, i))
+    """The digest of small inputs, a row each with doc_ids not null, by looking up every string; for tests. Texts of one doc_id must not share strings."""
+    seen: dict[bytes, tuple] = {}
+    raws = sorted({(d, (t or "").encode()) for d, t in rows})
+    for d, raw in raws:
+        for i in range(len(raw) - LENGTH + 1):
+            seen.setdefault(raw[i : i + LENGTH], (d, raw, i))
     out = []
-    for d, raw in sorted(raws.items()):
+    for d, t in rows:
+        raw = (t or "").encode()
         gone = np.zeros(len(raw) + 1, dtype=bool)
         for i in range(len(raw) - LENGTH + 1):
-            if seen[raw[i : i + LENGTH]] != (d, i):
+            if seen[raw[i : i + LENGTH]] != (d, raw, i):
                 gone[i : i + LENGTH] = True
         kept = bytes(b for b, g in zip(raw, gone) if not g)
         out.append((d, len(raw), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]) if len(raw) else 0, hashlib.sha256(kept).hexdigest()))
