@@ -115,9 +115,9 @@ def sign(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, size long, keys array<long>, coordinates binary")
 
 
-def texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, text), one row each, of the nodes in nodes(n), which may repeat."""
-    return cut(texts.join(nodes.select("n").distinct(), F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+def _only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows(node, ...) whose node is in nodes(n). Always by a shuffle, as the nodes grow with the documents."""
+    return rows.join(nodes.hint("shuffle_hash"), F.col("node") == F.col("n"), "left_semi")
 
 
 def _coordinates(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -307,15 +307,14 @@ def classes_of(docs: DataFrame) -> DataFrame:
     members = signed.select(F.explode("keys").alias("key"), "node")
     leaders = cut(members.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last").select("key", "leader"))
     shared = cut(members.join(leaders.select("key"), "key", "left_semi").distinct())
-    alive = shared.select(F.col("node").alias("n")).distinct()
-    marks = signed.join(alive, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.first(F.struct("size", "keys", "coordinates")).alias("s"))
+    alive = cut(shared.select(F.col("node").alias("n")).distinct())
+    marks = _only(signed, alive).groupBy("node").agg(F.first(F.struct("size", "keys", "coordinates")).alias("s"))
     marks = cut(marks.select("node", "s.size", "s.keys", "s.coordinates"))
+    own = cut(_only(texts, alive).groupBy("node").agg(F.min("text").alias("text")))  # of every node that shares a bucket
     stars = shared.join(leaders, "key").where("node > leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     stars = cut(_alike(stars, marks))
-    own = texts_of(stars.select(F.explode(F.array("a", "b")).alias("n")), texts)
     classes = cut(components(verified(stars, own)).select(F.col("node").alias("n"), "component"))
     open_ = cut(_open_members(shared, leaders, marks, classes))
-    own = texts_of(open_.select(F.col("node").alias("n")), texts)
     joined = components(_links_of_classes(open_, own)).select(F.col("node").alias("class"), F.col("component").alias("joined"))
     rows = docs.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("node"), F.col("text").isNull().alias("none"))
     nodes = rows.where("not none").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
