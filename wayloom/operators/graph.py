@@ -2,27 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_ROUNDS = 60
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir and read it back, so that plans of iterations stay short."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="wayloom-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from wayloom.operators.shared import components, cut
 
 def way_tiles(way_nodes: DataFrame, node_tiles: DataFrame) -> DataFrame:
     """(wid, tile): every tile that any node of the way is in."""
@@ -95,29 +79,6 @@ def near_pairs(points: DataFrame, limit: int) -> DataFrame:
     return asked.join(cell, ["cx", "cy"]).where((F.col("a") < F.col("id")) & (F.col("pa") != F.col("part")) & (d2 < limit * limit)).select("a", F.col("id").alias("b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges(a, b) -> (node, component): the least node reachable. Alternating stars; each round is cut off."""
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        around = e.union(e.select("b", "a")) if large else e
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-        linked = around.join(least, around.a == least.k).where("b > a" if large else "true").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        if not large:
-            linked = linked.union(least.select("k", "m"))
-        return linked.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    for _ in range(MOST_ROUNDS):
-        seen = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first())
-        if seen == mark or not seen[0]:
-            break
-        mark, now = seen, cut(star(star(now, True), False))
-    else:
-        raise RuntimeError(f"no fixed point after {MOST_ROUNDS} rounds")
-    return now.groupBy("a").agg(F.min("b")).toDF("node", "component").union(now.select(F.col("b"), F.col("b")).distinct())
-
-
 def contracted(edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """Undirected edges(a, b, metres) with chains of nodes of degree two (and not in kept(node)) made one edge: (a, b, metres, inner).
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
-from wayloom.operators.graph import cut
+from wayloom.operators.shared import cut
 
 CHUNK_TILES = 64
 CELL = 5_000_000

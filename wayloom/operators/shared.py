@@ -1,11 +1,29 @@
-"""Connected components by alternating large and small stars, as Spark joins."""
+"""Lineage cuts in the shared folder, and connected components by alternating large and small stars, as Spark joins."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import cut
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset: below the warehouse, or a temporary one where the driver is the only executor."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        alone = spark.conf.get("spark.master", "local").split("[")[0] == "local"
+        top = tempfile.mkdtemp(prefix="wayloom-") if alone else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/wayloom-scratch"
+        spark.conf.set("spark.checkpoint.dir", top)
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends, lost executors cost nothing."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
