@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wayloom.llm import bpe, common, components, decontaminate, html_text, language_id, minhash_dedup, sharding, suffix_dedup, toxicity, url_filter, vector_dedup
+from wayloom.llm import bpe, common, decontaminate, html_text, language_id, minhash_dedup, sharding, suffix_dedup, toxicity, url_filter, vector_dedup
+from wayloom.operators import shared
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -216,7 +217,7 @@ def test_dart_signatures_estimate_weighted_similarity():
 
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (5, 6)]
-    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    got = dict(map(tuple, shared.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.common import cut, table
-from wayloom.llm.components import components
 from wayloom.llm.word_hashes import counted, hashed_words, mix, shingles, text_pieces
+from wayloom.operators.shared import components
 
 SHINGLE = 5
 SIMILAR = 0.8

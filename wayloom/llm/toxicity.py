@@ -22,6 +22,8 @@ ROUNDS, EPOCHS, FIT_PARTS = 2, 3, 8
 THRESHOLD = 0.3
 #: Words whose feature a Python worker remembers; at the bound it forgets all and goes on.
 CACHE_WORDS = 1_000_000
+#: Words of sequences, padded to equal lengths, that always run side by side.
+LEAST_CELLS = 4096
 
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
@@ -70,7 +72,22 @@ class Chain:
         self.index, self.w, self.t = index, w, t
 
     def marginals(self, ids: list[list[int]]) -> list[np.ndarray]:
-        """Forward-backward: each word's probability of label 1, for all sequences side by side."""
+        """Forward-backward: each word's probability of label 1. Sequences of like lengths run side by side, so that a long one doesn't pad many short ones."""
+        out: list = [None] * len(ids)
+        some: list[int] = []
+        cells = 0
+        for i in sorted(range(len(ids)), key=lambda i: len(ids[i])):
+            if some and len(ids[i]) * (len(some) + 1) > max(LEAST_CELLS, 2 * (cells + len(ids[i]))):
+                for k, p in zip(some, self._side_by_side([ids[k] for k in some])):
+                    out[k] = p
+                some, cells = [], 0
+            some.append(i)
+            cells += len(ids[i])
+        for k, p in zip(some, self._side_by_side([ids[k] for k in some])):
+            out[k] = p
+        return out
+
+    def _side_by_side(self, ids: list[list[int]]) -> list[np.ndarray]:
         lengths = np.array([len(x) for x in ids])
         longest = int(lengths.max())
         f = np.zeros((len(ids), longest), dtype=np.int64)
@@ -159,6 +176,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, in
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("toxic") == y, F.lit(min(1.0, DOCS_PER_CLASS / n))).otherwise(share)
+    # at most 4 * DOCS_PER_CLASS: with a wide margin over what the hash picks, so that nothing is cut off but a flood of labels
     picked = usable.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 20)) < share * (1 << 20)).limit(4 * DOCS_PER_CLASS)
     texts = docs.select("doc_id", "text").where("text is not null")
     return cut(texts.join(F.broadcast(picked), "doc_id")), counts

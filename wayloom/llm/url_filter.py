@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.common import ascii_lower, cut, table
-from wayloom.llm.components import components
+from wayloom.operators.shared import components
 
 #: (verdict, host, path) of the registered query.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.common import cut, table
-from wayloom.llm.components import components
+from wayloom.operators.shared import components
 
 COSINE = 0.9
 BLOCKS = 2
