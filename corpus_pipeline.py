@@ -11,7 +11,9 @@ from wayloom.llm.common import cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted to be toxic go. The model learns from the labelled ones of docs."""
+    """Documents predicted to be toxic go. The model learns from the labelled ones of docs.
+
+    Null and empty texts have no toxic words and stay; without labels nothing goes; an empty table gives none."""
     scorer = toxicity.trained_on(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, scorer).where("predicted = 0").select(docs.columns)
 
@@ -30,7 +32,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every passage of 100 bytes and more that also starts earlier is cut out; halves of characters at the cuts go with it."""
+    """Every passage of 100 bytes and more that also starts earlier is cut out; halves of characters at the cuts go with it.
+
+    Null and empty texts, and rows with a null doc_id, stay as they are; an empty table gives none."""
     raw = F.col("raw").cast("string")
     text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.regexp_replace(F.make_valid_utf8(raw), "�", ""))
     done = suffix_dedup.keep_first(docs)
@@ -49,7 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), their hash, and the hash of the decoded bytes."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit), their hash, and the hash of the decoded bytes: a row a document. Null texts are empty: no ids."""
     out = bpe.encode_texts(docs.select("doc_id", "text"), *bpe.public_vocabulary(), decoded="decoded")
     return out.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
