@@ -12,10 +12,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import extended, table
+from wayloom.llm.common import batched, extended, table
 
-#: Distinct pieces whose ids a Python worker remembers; at the bound it forgets all and goes on.
-CACHE_PIECES = 1_000_000
+#: Distinct pieces whose ids a Python worker remembers, and characters of the longest of them; at the bound it forgets all and goes on.
+CACHE_PIECES, CACHE_CHARS = 400_000, 100
 _NONE = np.int64(1) << 60
 _LONG = 512
 _GROUP_CHARS = 2_000_000
@@ -193,6 +193,9 @@ class BytePairCodec:
         self.learn(missing)
         for text in group:
             yield b"".join(map(self.cache.__getitem__, text))
+        for piece in missing:
+            if len(piece) > CACHE_CHARS:
+                del self.cache[piece]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
@@ -221,7 +224,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", i
                 columns.append(pa.array(map(bpe.decode, packed), pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, *([decoded] if decoded else [])])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return batched(docs.select(*kept)).mapInArrow(run, schema)
 
 
 def public_vocabulary() -> tuple[str, str]:

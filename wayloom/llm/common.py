@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from wayloom.operators.shared import cut
 
-__all__ = ["WORD", "ascii_lower", "cut", "extended", "ranked", "table", "words"]
+__all__ = ["WORD", "ascii_lower", "batched", "cut", "extended", "ranked", "table", "words"]
 
 #: Words after lower-casing: runs of digits, a-z and every character beyond ASCII; and the same as Java reads it faster.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that go to a Python worker at once: a batch and what is made of it take several times as much there and in the JVM.
+BATCH_BYTES = 8 << 20
+
+
+def batched(df: DataFrame) -> DataFrame:
+    """df, whose rows go to Python in Arrow batches of about BATCH_BYTES (a setting of its session)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else kept; the slower per-character way only where a text isn't ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wayloom.llm.common import extended, table
+from wayloom.llm.common import batched, extended, table
 
 # Elements whose content is never text of the page.
 _HIDDEN = frozenset("script style noscript template svg object iframe select option button textarea canvas audio video head title".split())
@@ -271,7 +271,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
             texts = [main_text(p, tree) for p in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*kept, *made])
 
-    return pages.select(*kept).mapInArrow(run, schema)
+    return batched(pages.select(*kept)).mapInArrow(run, schema)
 
 
 def op7_html(spark, sf_dir):

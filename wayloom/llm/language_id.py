@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import extended, table
+from wayloom.llm.common import batched, extended, table
 
 #: Labelled documents that make a language's dictionary (expected number: a hash picks them), and the dictionary's size.
 DOCS_PER_LANGUAGE = 150
@@ -94,7 +94,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
                 rejected[told] = ratio.min(axis=1) < NARROW
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lang), pa.array(score), pa.array(rejected)], names=[*kept, *made])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return batched(docs.select(*kept)).mapInArrow(run, schema)
 
 
 def _remainder(n: int) -> Column:

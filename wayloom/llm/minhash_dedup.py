@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import cut, table
+from wayloom.llm.common import batched, cut, table
 from wayloom.llm.word_hashes import counted, hashed_words, mix, shingles, text_pieces
 from wayloom.operators.shared import components
 
@@ -20,9 +20,9 @@ BANDS, ROWS = 24, 4
 #: The least share of equal coordinates at which a pair is verified: a pair at 0.8 has less about once in 8,000.
 MAYBE = 0.65
 #: Members of a bucket, and runs of words in their texts, whose pairs one task compares with those of another such chunk.
-CHUNK, CHUNK_RUNS = 1024, 1_000_000
+CHUNK, CHUNK_RUNS = 1024, 300_000
 #: How much a Python worker signs at once, and about how many partners of a text are verified together.
-BYTES_AT_ONCE, DOCS_AT_ONCE, PARTNERS = 2_000_000, 1000, 512
+BYTES_AT_ONCE, DOCS_AT_ONCE, PARTNERS = 1_000_000, 500, 512
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,7 +112,7 @@ def sign(texts: DataFrame) -> DataFrame:
                     columns = [batch.column("node").take(pa.array(at + i + have)), pa.array(counts[have]), pa.ListArray.from_arrays(ends, pa.array(keys.ravel())), pa.array([x.tobytes() for x in short], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "keys", "coordinates"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, size long, keys array<long>, coordinates binary")
+    return batched(texts.select("node", "text")).mapInArrow(run, "node long, size long, keys array<long>, coordinates binary")
 
 
 def _only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
         leader = None
         for batch in batches:
             head = batch.column("b").is_null().to_numpy(zero_copy_only=False)
-            for at, to, data, offsets in text_pieces(batch.column("text")):
+            for at, to, data, offsets in text_pieces(batch.column("text"), BYTES_AT_ONCE):
                 found = Shingled(data, offsets)
                 begins = np.flatnonzero(head[at:to])
                 good = [found.like(*leader, np.arange(begins[0] if len(begins) else to - at))] if leader else []
@@ -188,7 +188,7 @@ def verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
                 good = pa.array(at + np.concatenate(good) if good else np.zeros(0, dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(c).take(good) for c in "ab"], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return batched(dealt).mapInArrow(run, "a long, b long")
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -258,7 +258,7 @@ def _open_members(shared: DataFrame, leaders: DataFrame, marks: DataFrame, class
                 yield from rows.filter(pa.array(wanted)).combine_chunks().to_batches()
 
     parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "node").mapInArrow(run, dealt.schema)
+    return batched(dealt).repartition(parts, "key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "node").mapInArrow(run, dealt.schema)
 
 
 def _links_of_classes(members: DataFrame, own: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def _links_of_classes(members: DataFrame, own: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "node").mapInArrow(run, "a long, b long")
+    return batched(rows).repartition(parts, "key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "node").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

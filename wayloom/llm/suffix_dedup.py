@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import cut, extended, table
+from wayloom.llm.common import batched, cut, extended, table
 from wayloom.llm.word_hashes import mix, powers, text_pieces
 
 LENGTH, GRAM = 100, 24
 #: Bytes hashed at once, bytes of texts whose equal stretches are put together before they travel, and strings sorted at once.
-CHUNK_BYTES, PIECE_BYTES, SORTED_AT_ONCE = 1 << 19, 1 << 23, 250_000
+CHUNK_BYTES, PIECE_BYTES, SORTED_AT_ONCE = 1 << 19, 1 << 23, 120_000
 #: Stretches that meet by their anchor alone, at most; beyond that they are taken apart and meet by longer parts of their bytes.
 HOT = 8192
 STRETCHES_PER_BUCKET = 200_000
@@ -128,7 +128,7 @@ def _packed(docs: DataFrame, bits: int) -> DataFrame:
                 out += packed(record[open_], _OPEN, by_doc[open_])
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], names=["bucket", "kind", "blob"])
 
-    return docs.mapInArrow(run, "bucket int, kind int, blob binary")
+    return batched(docs).mapInArrow(run, "bucket int, kind int, blob binary")
 
 
 def _unpack(blobs: list[bytes]) -> np.ndarray:
@@ -294,7 +294,7 @@ def _sorted(rows: DataFrame, combine: bool = False) -> DataFrame:
 
     schema = "h long, doc long, key long, lo int, n int, bytes binary"
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.select("h", "doc", "key", "lo", "bytes")
+    rows = batched(rows.select("h", "doc", "key", "lo", "bytes"))
     said = None
     if combine:
         rows = cut(rows.mapInArrow(lambda batches: sort(batches, False), schema))
@@ -404,7 +404,7 @@ def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
                 columns = [batch.column(c).slice(first, after - first) for c in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(raws, pa.binary()), pa.array(totals), pa.array(gone), pa.array(counts, pa.int64())], names=[*kept, *made])
 
-    return rows.mapInArrow(run, schema)
+    return batched(rows).mapInArrow(run, schema)
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int, int, str]]:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import cut, extended, table
+from wayloom.llm.common import batched, cut, extended, table
 
 #: Labelled documents of each class (expected number: a hash picks them) that the model learns from.
 DOCS_PER_CLASS = 6000
@@ -21,7 +21,7 @@ LEAST_RATIO, LEAST_G2, LEAST_DOCS = 20.0, 32.0, 3
 ROUNDS, EPOCHS, FIT_PARTS = 2, 3, 8
 THRESHOLD = 0.3
 #: Words whose feature a Python worker remembers; at the bound it forgets all and goes on.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 #: Words of sequences, padded to equal lengths, that always run side by side.
 LEAST_CELLS = 4096
 
@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
                 some = np.flatnonzero(seen)
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (some.tolist(), seen[some].tolist(), chain.w[some].ravel().tolist(), float(steps), chain.t.ravel().tolist())], names=["f", "n", "w", "steps", "t"])
 
-        fitted = sample.repartition(FIT_PARTS, F.xxhash64("doc_id")).select("toxic", "text").mapInArrow(fit, "f array<long>, n array<double>, w array<double>, steps double, t array<double>").collect()  # a row a partition
+        fitted = batched(sample.repartition(FIT_PARTS, F.xxhash64("doc_id")).select("toxic", "text")).mapInArrow(fit, "f array<long>, n array<double>, w array<double>, steps double, t array<double>").collect()  # a row a partition
         seen, total, steps = np.zeros((len(w), 1)), np.zeros_like(w), sum(r["steps"] for r in fitted)
         for r in fitted:
             n = np.array(r["n"])[:, None]
@@ -263,7 +263,7 @@ def score(docs: DataFrame, scorer: Scorer, text: str = "text") -> DataFrame:
             offsets = [[{"start": a, "end": b} for a, b in x[1]] for x in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array([len(x) for x in offsets], pa.int32()), pa.array(offsets, spans)], names=[*kept, *made])
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return batched(docs.select(*kept)).mapInArrow(run, schema)
 
 
 def trained_on(docs: DataFrame, labels: DataFrame) -> Scorer:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes whose words are hashed with one run of powers, and bytes of texts that are looked at together.
-BLOCK, PIECE = 1 << 19, 1 << 22
+BLOCK, PIECE = 1 << 19, 1 << 20
 
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
