@@ -98,3 +98,21 @@ def grid(spark: SparkSession, west: float, south: float, east: float, north: flo
     """The names of all buckets that a bounding box touches."""
     a = spark.range(1).select(F.explode(F.sequence(geo.bucket_corner(F.lit(west), 180), geo.bucket_corner(F.lit(east), 180), F.lit(5))).alias("a"))
     return a.select("a", F.explode(F.sequence(geo.bucket_corner(F.lit(south), 90), geo.bucket_corner(F.lit(north), 90), F.lit(5))).alias("b")).select(geo.bucket_name(F.col("a"), F.col("b")).alias("bucket"))
+
+
+def tile_claims(tiles: DataFrame, boxes: DataFrame, zoom: int) -> DataFrame:
+    """tiles(x, y), boxes(rid, west, east, south, north) in E6 -> (x, y, rid): the boxes that hold any of nine points of a tile, its corners, sides' middles and centre.
+
+    Boxes are laid in the tiles' own grid, widened by one tile, so this is an equi join with a check."""
+    n = 1 << zoom
+    lon, lat = (lambda x: geo.tile_lon(x, F.lit(0), 1, zoom)), (lambda y: geo.tile_lat(y, F.lit(0), 1, zoom))
+    tile = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(n - 1))
+    w, e, s, t = (f(F.col(c)) for c, f in (("west", geo.lon_of), ("east", geo.lon_of), ("south", geo.lat_of), ("north", geo.lat_of)))
+    xs = F.sequence(tile(geo.tile_x(w, zoom) - 1), tile(geo.tile_x(e, zoom) + 1))
+    ys = F.sequence(tile(geo.tile_y(t, zoom) - 1), tile(geo.tile_y(s, zoom) + 1))
+    laid = boxes.select("rid", w.alias("w"), e.alias("e"), s.alias("s"), t.alias("t"), F.explode(xs).alias("x"), ys.alias("ys")).select("rid", "w", "e", "s", "t", "x", F.explode("ys").alias("y"))
+    half = (F.lit(0.0), F.lit(0.5), F.lit(1.0))
+    inside = lambda v, low, high: (v >= low) & (v <= high)
+    across = F.exists(F.array(*(lon(F.col("x") + h) for h in half)), lambda v: inside(v, F.col("w"), F.col("e")))
+    up = F.exists(F.array(*(lat(F.col("y") + h) for h in half)), lambda v: inside(v, F.col("s"), F.col("t")))
+    return tiles.select("x", "y").distinct().join(laid, ["x", "y"]).where(across & up).select("x", "y", "rid")

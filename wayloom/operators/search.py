@@ -11,6 +11,8 @@ from wayloom.functions.names import address_key, address_name, name_tokens, plac
 #: Candidates that a table of a region may give before the exact order, and hits that are shown.
 CANDIDATES, HITS = 500, 20
 ADDRESS_RANK = 12
+#: The rank of a place that names none.
+LEAST_RANK = 20
 
 
 def dedupe_places(places: DataFrame) -> DataFrame:
@@ -76,3 +78,11 @@ def addresses(rows: DataFrame) -> DataFrame:
     named = ok.withColumn("name", address_name(F.col("number"), F.col("unit"), F.col("street"))).withColumn("dedupe_key", address_key(F.col("number"), F.col("unit"), F.col("street"), lon, lat))
     rest = [c for c in named.columns if c not in ("id", "dedupe_key")]
     return named.groupBy("dedupe_key").agg(F.min(F.struct("id", *rest)).alias("r")).select("dedupe_key", "r.*")
+
+
+def projected_places(features: DataFrame) -> DataFrame:
+    """features(layer, geom_type, props map<string,string>, ...) -> named places with name, kind, subclass and rank: points of the layers place and poi with a class and a name that isn't blank."""
+    name = F.coalesce(F.col("props")["name"], F.col("props")["name:en"])
+    ok = features.where(F.col("layer").isin("place", "poi") & (F.col("geom_type") == "point") & F.col("props")["class"].isNotNull() & (F.trim(name) != ""))
+    rank = F.coalesce(F.col("props")["rank"].cast("int"), F.lit(LEAST_RANK))
+    return ok.withColumns({"name": F.trim(name), "kind": F.col("props")["class"], "subclass": F.col("props")["subclass"], "rank": rank}).drop("props", "layer", "geom_type")

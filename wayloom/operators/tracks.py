@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayloom.functions import geo
+
 FRESH_MS = 10_000
 OFF_ROUTE_M, OFF_ROUTE_FIXES = 40, 3
 HOLD_S, FREEZE_S, HALF_LIFE_S = 3.0, 20.0, 2.0
@@ -60,3 +65,57 @@ def sessions(fixes: DataFrame) -> DataFrame:
     """(session, started, fixes): stretches without a gap of more than FRESH_MS, by session windows."""
     at = F.timestamp_millis("ms")
     return fixes.withColumn("at", at).groupBy("session", F.session_window("at", f"{FRESH_MS} milliseconds")).agg(F.count(F.lit(1)).alias("fixes"), F.min("ms").alias("started")).select("session", "started", "fixes")
+
+
+#: A new route may be asked for after so many metres and so long since the last one.
+REROUTE_M, REROUTE_MS = 25.0, 10_000
+WATCH_MS = 2_000
+
+
+def segments(points: DataFrame) -> DataFrame:
+    """points(track, seq, ilon, ilat) -> (track, seq, metres, angle): the way from the point before, and the turn there; 0 where there is none."""
+    w = by("track", "seq")
+    before = points.select("*", *(F.lag(c, k).over(w).alias(f"{c}{k}") for c in ("ilon", "ilat") for k in (1, 2)))
+    kx, ky = geo.ruler(F.col("ilat1"))
+    step = lambda a, b, k: ((F.col(a) - F.col(b)) * k).alias(f"d{a}")
+    steps = F.struct(step("ilon1", "ilon2", kx), step("ilat1", "ilat2", ky), step("ilon", "ilon1", kx), step("ilat", "ilat1", ky))
+    at = before.select("*", F.inline(F.array(steps)))  # a generator, so that nothing is computed twice
+    angle, _ = geo.turn(*(F.col(f"d{c}") for c in ("ilon1", "ilat1", "ilon", "ilat")))
+    metres = geo.ruler_metres(F.col("ilon"), F.col("ilat"), F.col("ilon1"), F.col("ilat1"))
+    return at.select("track", "seq", F.coalesce(metres, F.lit(0.0)).alias("metres"), F.when(F.col("ilon2").isNotNull(), angle).otherwise(0.0).alias("angle"))
+
+
+def turn_distances(hints: DataFrame) -> DataFrame:
+    """hints(track, seq, to_next, ...) -> with before (metres since the hint before: what that one has to its next, 0 for the first) and next_seq (null for the last)."""
+    w = by("track", "seq")
+    return hints.withColumns({"before": F.lag("to_next", 1, 0.0).over(w), "next_seq": F.lead("seq").over(w)})
+
+
+def signal_lost(fixes: DataFrame, poll_ms: int = WATCH_MS, lost_ms: int = FRESH_MS) -> DataFrame:
+    """(session, ms): when a watch that looks each poll_ms from the session's first fix on sees that the last fix is more than lost_ms old; once a gap."""
+    w = by("session", "ms", "event_id")
+    whole = Window.partitionBy("session")
+    gap = fixes.select("session", "ms", F.lead("ms").over(w).alias("after"), F.min("ms").over(whole).alias("begin"))
+    seen = F.col("begin") + (F.floor((F.col("ms") + lost_ms - F.col("begin")) / poll_ms) + 1) * poll_ms
+    return gap.withColumn("seen", seen).where("after is null or after > seen").select("session", F.col("seen").alias("ms"))
+
+
+def reroutes(fixes: DataFrame, moved: float = REROUTE_M, waited_ms: int = REROUTE_MS) -> DataFrame:
+    """fixes(session, ms, event_id, x, y) off their routes -> those at which a new route is asked for: the first, then each that is far and late enough after the last one taken.
+
+    What is taken depends on what was taken before, so a session's fixes run in order past one state; they come sorted and are never held together."""
+
+    def run(batches):
+        session, last = None, None
+        for batch in batches:
+            rows = []
+            for row in zip(*(batch.column(c).to_pylist() for c in ("session", "ms", "event_id", "x", "y"))):
+                if row[0] != session:
+                    session, last = row[0], None
+                if last is None or math.hypot(row[3] - last[3], row[4] - last[4]) >= moved and row[1] - last[1] >= waited_ms:
+                    last = row
+                    rows.append(row[:3])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], names=["session", "ms", "event_id"])
+
+    fixes = fixes.select("session", "ms", "event_id", "x", "y")
+    return fixes.repartition("session").sortWithinPartitions("session", "ms", "event_id").mapInArrow(run, "session long, ms long, event_id long")
