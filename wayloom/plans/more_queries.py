@@ -114,7 +114,7 @@ def dictionary_lines(spark, sf_dir):
   l AS (SELECT *, lag(x) OVER o AS x1, lag(y) OVER o AS y1, lag(x, 2) OVER o AS x2, lag(y, 2) OVER o AS y2 FROM p WINDOW o AS (PARTITION BY session ORDER BY seq)),
   k AS (SELECT *, radians(floor(y1 / 100000.0) / 10.0 + 0.05 - 90) AS f, radians(floor(((y + y1) // 2) / 100000.0) / 10.0 + 0.05 - 90) AS g FROM l),
   m AS (SELECT *, (111.41513 * cos(f) - 0.09455 * cos(3 * f) + 0.00012 * cos(5 * f)) AS kx, (111.13209 - 0.56605 * cos(2 * f) + 0.0012 * cos(4 * f)) AS ky, (111.41513 * cos(g) - 0.09455 * cos(3 * g) + 0.00012 * cos(5 * g)) * 1e-3 AS mx, (111.13209 - 0.56605 * cos(2 * g) + 0.0012 * cos(4 * g)) * 1e-3 AS my FROM k),
-  a AS (SELECT *, (x1 - x2) * kx AS ux, (y1 - y2) * ky AS uy, (x - x1) * kx AS vx, (y - y1) * ky AS vy FROM m)
+  a AS (SELECT *, (x1 - x2) * kx AS ux, (y1 - y2) * ky AS uy, (x - x1) * kx AS vx, (y - y1) * ky AS vy FROM m),
   d AS (SELECT *, sqrt((ux * ux + uy * uy) * (vx * vx + vy * vy)) AS d FROM a), t AS (SELECT *, CASE WHEN d > 0 THEN (uy * vx - ux * vy) / d END AS s, CASE WHEN d > 0 THEN (uy * vy + ux * vx) / d END AS c FROM d),
   v AS (SELECT *, CASE WHEN s * s > 0.5 THEN CASE WHEN s < 0 THEN -90 ELSE 90 END WHEN c < 0 THEN CASE WHEN s < 0 THEN -180 ELSE 180 END ELSE 0 END AS o, CASE WHEN s * s > 0.5 THEN CASE WHEN s < 0 THEN c ELSE -c END WHEN c < 0 THEN -s ELSE s END AS v FROM t)
   SELECT session, seq, CAST(floor(coalesce(sqrt(((x - x1) * mx) ** 2 + ((y - y1) * my) ** 2), 0) * 100 + 0.5) AS BIGINT) AS cm,
