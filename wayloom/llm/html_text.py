@@ -36,7 +36,11 @@ _BY_NAME = [
     ("form", re.compile(r"(?:^|[^a-z])(?:form|search|login|signup)(?:[^a-z]|$)")),
     ("article", re.compile(r"(?:^|[^a-z])(?:article|post|entry|content|story|main|body-?text|article-?body)(?:[^a-z]|$)")),
 ]
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NO_TAG = r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
+_TAG = r"<(/?)([A-Za-z][^\s/>]*)"
+# Comments and tags; a tag whose quotes don't close ends at the first >. Where no > is left, only the first kinds can be.
+_TOKEN = re.compile(rf"""{_NO_TAG}|{_TAG}((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|{_TAG}([^>]*+)>""", re.S)
+_LAST = re.compile(_NO_TAG, re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _HIDE = re.compile(r"(?i)hidden|display\s*:\s*none")
@@ -96,16 +100,21 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
             linked.clear()
 
-    while m := _TOKEN.search(page, pos):
+    last = page.rfind(">")
+    while m := (_TOKEN if pos <= last else _LAST).search(page, pos):
         if m.start() > pos and not hidden:
             text = page[pos : m.start()]
             parts.append(text)
             if in_link:
                 linked.append(text)
         pos = m.end()
-        if not m[2]:
+        if m.re is _LAST or not (m[2] or m[5]):
+            continue
+        tag, closing, attrs = (m[2] or m[5]).lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
+        if tag == "br":  # a line break inside a block is white space
+            if not hidden:
+                parts.append("\n")
             continue
-        tag, closing, attrs = m[2].lower(), bool(m[1]), m[3] or ""
         if tag in _RAW and not closing and not attrs.endswith("/"):
             end = _RAW[tag].search(page, pos)
             if end:
@@ -226,7 +235,7 @@ def labelled_pages() -> list[tuple[str, list[bool]]]:
                 (article + f"<aside><h3>{fine}</h3><p>{aside}</p><p>{more}</p></aside>" + foot, main + [False] * 4),
                 (f"<form><p>{aside}</p><p>{fine}</p></form>" + article, [False] * 2 + main),
                 (f"<div class='cookie-notice'>{aside}</div>" + article + f"<div id='comments'><h3>{more}</h3><p>{aside}</p><p>{fine}</p></div>", [False] + main + [False] * 3),
-                (f"<div class='menu'><a href='/'>{fine}</a><br><a href='/x'>{aside}</a></div>" + f"<main><h1>{more}</h1>{text}</main>" + foot, [False] * 2 + [True] + yes + [False]),
+                (f"<div class='menu'><a href='/'>{fine}</a><br><a href='/x'>{aside}</a></div>" + f"<main><h1>{more}</h1>{text}</main>" + foot, [False] + [True] + yes + [False]),
                 (f"<div class='content'><h1>{more}</h1>{text}</div><div class='sidebar'><p>{aside}</p></div>", [True] + yes + [False]),
                 (f"<article><header><h1>{more}</h1></header>{text}<footer>{aside}</footer></article>", [True] + yes + [False]),
                 (text + foot, yes + [False]),
