@@ -54,16 +54,18 @@ def page_links(pages: DataFrame) -> DataFrame:
     tagged = pages.where(F.col("html").rlike(r"(?i)<link\b[^>]*canonical|<meta\b[^>]*refresh")).select("url", F.explode(tags).alias("tag"))
     quoted = r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
     wait = r"""(?i)\burl\s*=\s*['"]?([^'">]+)"""
-    href = F.trim(F.concat(*(F.regexp_extract(tag, quoted, i) for i in (1, 2, 3))))
-    to = F.when(tag.rlike(r"(?i)^<link\b") & tag.rlike(r"""(?i)\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""), href)
+    rel = r"""(?i)\brel\s*=\s*["']?[^"'>]*\bcanonical\b"""
+    once = lambda df, **made: df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in made.items())))))  # noqa: E731  (a generator, so that nothing is computed twice)
+    href = F.concat(*(F.coalesce(F.regexp_extract(tag, quoted, i), F.lit("")) for i in (1, 2, 3)))
+    to = F.when(tag.rlike(r"(?i)^<link\b") & tag.rlike(rel), F.trim(href))
     to = to.when(tag.rlike(r"(?i)^<meta\b") & tag.rlike(r"""(?i)\bhttp-equiv\s*=\s*["']?refresh\b"""), F.trim(F.regexp_extract(tag, wait, 1)))
-    scheme, site = F.regexp_extract("url", r"^([^/?#]*?):", 1), F.regexp_extract("url", r"^((?s:.*?)://[^/?#]*)", 1)
-    folder = F.regexp_extract("url", r"^((?s:.*?)://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    full = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
-    full = full.when(to.startswith("/"), F.concat(site, to)).otherwise(F.concat(folder, to))
-    found = tagged.where(F.instr("url", "://") > 0).select(url_key(F.col("url")).alias("a"), F.when(to != "", full).alias("to"))
-    return found.select("a", url_key(F.col("to")).alias("b")).where("a <> b").distinct()
+    site, folder = F.regexp_extract("url", r"^((?s:.*?)://[^/?#]*)", 1), F.regexp_extract("url", r"^((?s:.*?)://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+    found = once(tagged.where(F.instr("url", "://") > 0), to=to, scheme=F.regexp_extract("url", r"^([^/?#]*?):", 1), site=site, folder=folder).where("to <> ''")
+    to, folder = F.col("to"), F.when(F.col("folder").endswith("/"), F.col("folder")).otherwise(F.concat("folder", F.lit("/")))
+    full = F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(to.startswith("//"), F.concat("scheme", F.lit(":"), "to"))
+    full = full.when(to.startswith("/"), F.concat("site", "to")).otherwise(F.concat(folder, to))
+    whole = once(found.select("url", full.alias("full")), a=url_key(F.col("url")), b=url_key(F.col("full")))
+    return whole.select("a", "b").where("a <> b").distinct()
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects: DataFrame | None = None) -> DataFrame:
