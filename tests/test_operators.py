@@ -22,6 +22,51 @@ def test_dijkstra_with_turns_and_restrictions():
     assert routing.search(edges, 5, 0, 0.0, set(), {}, places, 0.0) is None
 
 
+def test_routes_leave_their_box_where_that_is_cheaper(spark):
+    """A wall with a gate far away, an island, dear streets, restrictions and a request that stays where it is: costs as by relaxing all edges of the whole graph."""
+    random.seed(9)
+    node = lambda x, y: y * 30 + x
+    edges = []
+    for x in range(30):
+        for y in range(30):
+            for x2, y2 in ((x + 1, y), (x, y + 1)):
+                if x2 > 29 or y2 > 29 or (x, x2) == (14, 15) and y != 27 or (x2 >= 26 and y2 >= 26) != (x >= 26 and y >= 26):
+                    continue
+                for ax, ay, bx, by in ((x, y, x2, y2), (x2, y2, x, y)):
+                    edges.append((node(ax, ay), node(bx, by), 10.0 + random.choice([0, 0, 5, 200]), ax, ay, bx, by, ax // 5, ay // 5))
+    turns = [(e[0], e[1], f[1]) for e in edges for f in edges if e[1] == f[0] and random.random() < 0.02]
+    asked = [(k, random.randrange(900), random.randrange(900)) for k in range(12)] + [(50, node(13, 2), node(16, 2)), (51, 5, 5), (52, 0, node(28, 28)), (53, 9999, 9999)]
+    at = lambda n: (n % 30 // 5, n // 150)
+    barred, want, after = set(turns), {}, {}
+    for e in edges:
+        after.setdefault(e[0], []).append(e)
+    for rid, start, goal in asked:
+        best = {(-1, start): 0.0}
+        work = [(-1, start)]
+        while work:
+            before, here = work.pop(0)
+            for e in after.get(here, ()):
+                cost = best[before, here] + e[2]
+                if e[1] != before and (before, here, e[1]) not in barred and cost < best.get((here, e[1]), math.inf):
+                    best[here, e[1]] = cost
+                    work.append((here, e[1]))
+        costs = [c for (_, n), c in best.items() if n == goal]
+        if costs:
+            want[rid] = min(costs)
+    requests = spark.createDataFrame([(k, a, b, *at(a), *at(b)) for k, a, b in asked], "rid long, start long, goal long, x1 long, x2 long, y1 long, y2 long").selectExpr("rid", "start", "goal", "x1", "x2 as y1", "y1 as x2", "y2")
+    graph_edges = spark.createDataFrame(edges, "a long, b long, cost double, ax long, ay long, bx long, by long, cx long, cy long")
+    banned = spark.createDataFrame(turns, "from_n long, via long, to_n long")
+    for coefficient in (0.0, 10.0):
+        got = routing.routes(requests, graph_edges, 0, restrictions=banned, coefficient=coefficient).groupBy("rid").agg(F.max("cost").alias("c")).collect()
+        assert {r.rid: r.c for r in got} == want
+    assert 52 not in want and want[51] == 0 and 50 in want
+    several = routing.routes(requests, graph_edges, 0, restrictions=banned, alternatives=2).where("seq = 0").collect()
+    assert {r.rid: r.cost for r in several if r.alternative == 0} == want
+    for rid in want:
+        costs = [r.cost for r in sorted(several, key=lambda r: r.alternative) if r.rid == rid]
+        assert len(costs) == 3 and costs == sorted(costs)
+
+
 def test_ascend_fold(spark):
     def plain(hs, band=10.0):
         buffer, up, last = 0.0, 0.0, None

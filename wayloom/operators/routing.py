@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
+from wayloom.operators.shared import cut
 
 KEPT_MATCHES = 5
 
@@ -41,8 +42,14 @@ def match_in_rings(points: DataFrame, segments: DataFrame, reaches: list[int]) -
     return out
 
 
-def search(edges: list[tuple], start: int, goal: int, turn_cost: float, forbidden: set, penalty: dict, places: dict, coefficient: float) -> tuple[float, list[int]] | None:
-    """Cheapest path over states (edge), so that turns cost and restrictions hold; A* with air distance x coefficient. edges: (a, b, cost, dx, dy)."""
+class Unproven(Exception):
+    """A cheaper path could lead through a node whose edges weren't given."""
+
+
+def search(edges: list[tuple], start: int, goal: int, turn_cost: float, forbidden: set, penalty: dict, places: dict, coefficient: float, beyond: frozenset = frozenset()) -> tuple[float, list[int]] | None:
+    """Cheapest path over states (edge), so that turns cost and restrictions hold; A* with air distance x coefficient (which no path may undercut). edges: (a, b, cost, dx, dy).
+
+    Nodes of `beyond` have edges that weren't given: if one of them comes up before the goal, Unproven is raised."""
     out: dict[int, list[tuple]] = {}
     for a, b, cost, dx, dy in edges:
         out.setdefault(a, []).append((b, cost + penalty.get((a, b), 0.0), dx, dy))
@@ -63,6 +70,8 @@ def search(edges: list[tuple], start: int, goal: int, turn_cost: float, forbidde
                 path.append(t[0])
                 t = t[1]
             return cost, path[::-1]
+        if node in beyond:
+            raise Unproven
         for b, c, dx, dy in out.get(node, ()):
             if (node, b) in done or (before, node, b) in forbidden or b == before:
                 continue
@@ -75,38 +84,59 @@ def search(edges: list[tuple], start: int, goal: int, turn_cost: float, forbidde
     return None
 
 
+def _leads_on(edges: DataFrame, restrictions: DataFrame | None) -> DataFrame:
+    """edges with `on`: whether any edge leaves its end, and `banned`: the nodes that may not follow it (restrictions(from_n, via, to_n))."""
+    starts = edges.select(F.col("a").alias("_s")).distinct().withColumn("on", F.lit(True))
+    out = edges.join(starts, F.col("b") == F.col("_s"), "left").drop("_s").withColumn("on", F.coalesce("on", F.lit(False)))
+    if restrictions is None:
+        return out.withColumn("banned", F.array().cast("array<long>"))
+    after = restrictions.groupBy(F.col("from_n").alias("_f"), F.col("via").alias("_v")).agg(F.collect_set(F.col("to_n").cast("long")).alias("banned"))  # as many as leave one node
+    return out.join(after, (F.col("a") == F.col("_f")) & (F.col("b") == F.col("_v")), "left").drop("_f", "_v")
+
+
 def routes(requests: DataFrame, edges: DataFrame, margin: int, turn_cost: float = 0.0, restrictions: DataFrame | None = None, alternatives: int = 0, coefficient: float = 0.0) -> DataFrame:
     """requests(rid, start, goal, x1, y1, x2, y2), edges(a, b, cost, ax, ay, bx, by, cx, cy) -> (rid, alternative, cost, seq, node).
 
     Each request gets the edges of the grid cells that its box, widened by `margin` cells, covers (an equi join), and
-    one task searches them; requests run in parallel. Alternatives make the links of earlier ones cost half as much again.
-    edges.cx, cy: the cell of the edge's start."""
-    box = lambda a, b: F.sequence(F.least(a, b) - margin, F.greatest(a, b) + margin)
-    asked = requests.select("rid", "start", "goal", F.explode(box("x1", "x2")).alias("cx"), "y1", "y2").select("rid", "start", "goal", "cx", F.explode(box("y1", "y2")).alias("cy"))
-    own = asked.join(edges, ["cx", "cy"])
-    banned = set()
-    if restrictions is not None:
-        rows = restrictions.select("from_n", "via", "to_n").limit(100_001).collect()
-        if len(rows) > 100_000:
-            raise ValueError("restrictions belong to the edges of a corridor: 100000 at most")
-        banned = {tuple(r) for r in rows}
+    one task searches them; requests run in parallel. A request goes on with a margin more than twice as wide as long as a path through a node on
+    the corridor's rim could be cheaper than what was found, so the result is that of the whole graph; one without a path gives no rows.
+    Alternatives make the links of earlier ones cost half as much again. edges.cx, cy: the cell of the edge's start; every edge of a node has the same.
+    coefficient: a cost that no edge undercuts for its length in the plane (0 is always right, more is faster)."""
+    box = lambda a, b, by: F.sequence(F.least(a, b) - by, F.greatest(a, b) + by)
+    led = cut(_leads_on(edges, restrictions).select("a", "b", "cost", "ax", "ay", "bx", "by", "cx", "cy", "on", "banned"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rid, start, goal = (int(frame[c].iloc[0]) for c in ("rid", "start", "goal"))
+        frame = frame[frame["a"].notna()]
         places = {int(n): (x, y) for n, x, y in zip([*frame["a"], *frame["b"]], [*frame["ax"], *frame["bx"]], [*frame["ay"], *frame["by"]])}
         links = [(int(a), int(b), float(c), bx - ax, by - ay) for a, b, c, ax, ay, bx, by in zip(*(frame[k] for k in ("a", "b", "cost", "ax", "ay", "bx", "by")))]
+        own = {a for a, *_ in links}
+        beyond = frozenset(int(b) for b, on in zip(frame["b"], frame["on"]) if on) - own
+        banned = {(int(a), int(b), int(t)) for a, b, ts in zip(frame["a"], frame["b"], frame["banned"]) if ts is not None for t in ts}
         rows, penalty = [], {}
-        base = {(a, b): c for a, b, c, _, _ in links}
-        for n in range(alternatives + 1):
-            found = search(links, start, goal, turn_cost, banned, penalty, places, coefficient)
-            if found is None:
-                break
-            rows += [(rid, n, found[0], k, node) for k, node in enumerate(found[1])]
-            for a, b in zip(found[1], found[1][1:]):
-                penalty[a, b] = penalty.get((a, b), 0.0) + base[a, b] * 0.5
+        base = {}
+        for a, b, c, _, _ in links:
+            base[a, b] = min(c, base.get((a, b), c))
+        try:
+            for n in range(alternatives + 1):
+                found = search(links, start, goal, turn_cost, banned, penalty, places, coefficient, beyond)
+                if found is None:
+                    break
+                rows += [(rid, n, found[0], k, node) for k, node in enumerate(found[1])]
+                for a, b in zip(found[1], found[1][1:]):
+                    penalty[a, b] = penalty.get((a, b), 0.0) + base[a, b] * 0.5
+        except Unproven:
+            rows = [(rid, -1, 0.0, -1, -1)]
         return pd.DataFrame(rows, columns=["rid", "alternative", "cost", "seq", "node"])
 
-    return own.groupBy("rid").applyInPandas(run, "rid long, alternative int, cost double, seq int, node long")
+    out, left = None, requests
+    while out is None or left.head(1):
+        asked = left.select("rid", "start", "goal", F.explode(box("x1", "x2", margin)).alias("cx"), "y1", "y2").select("rid", "start", "goal", "cx", F.explode(box("y1", "y2", margin)).alias("cy"))
+        found = cut(asked.join(led, ["cx", "cy"], "left").groupBy("rid").applyInPandas(run, "rid long, alternative int, cost double, seq int, node long"))
+        out = found.where("alternative >= 0") if out is None else out.union(found.where("alternative >= 0"))
+        left = cut(requests.join(found.where("alternative < 0").select("rid"), "rid", "left_semi"))
+        margin = 2 * margin + 1
+    return out
 
 
 def ascend(altitudes: Column, band: float = 10.0) -> Column:

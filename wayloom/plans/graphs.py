@@ -37,10 +37,10 @@ def collapse(spark, sf_dir):
     return graph.collapse_repeats(_way_nodes(spark, sf_dir).groupBy("wid", "pos").agg((F.min("nid") % 3).alias("nid")))
 
 
-@query("graph_node_retention", f"WITH {cte('way_nodes', 'nodes')} SELECT id FROM nodes WHERE id IN (SELECT nid FROM way_nodes WHERE wid % 50 = 0) OR size > 45")
+@query("graph_node_retention", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey IN (SELECT l_partkey * 7 FROM lineitem) OR o_orderkey % 50 > 45")
 def retention(spark, sf_dir):
-    nodes = derived(spark, sf_dir, "nodes").withColumn("described", F.col("size") > 45)
-    return graph.retained(nodes, _way_nodes(spark, sf_dir).where("wid % 50 = 0")).select("id")
+    nodes = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 50 > 45).alias("described"))
+    return graph.retained(nodes, _way_nodes(spark, sf_dir).select("wid", (F.col("nid") * 7).alias("nid"))).select("id")
 
 
 @query("graph_pseudo_tags", "SELECT p_partkey AS wid, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'primary' END AS highway, CASE WHEN p_partkey % 4 <> 0 AND p_partkey % 3 = 0 THEN '5' ELSE CASE WHEN p_partkey % 2 = 0 THEN '1' END END AS noise FROM part")
@@ -82,15 +82,15 @@ def restrictions(spark, sf_dir):
     return graph.resolved_restrictions(r, ends).drop("kind")
 
 
-_TURNS = """t AS (SELECT DISTINCT l_partkey % 40 AS via, l_suppkey % 6 AS from_n, l_orderkey % 6 AS to_n FROM lineitem),
-  r AS (SELECT c_custkey % 40 AS via, c_custkey % 6 AS from_n, c_custkey * 5 % 6 AS to_n, c_custkey % 4 = 0 AS o FROM customer WHERE c_custkey < 120 AND c_custkey % 3 <> 1)"""
+_TURNS = """t AS (SELECT DISTINCT l_partkey AS via, l_suppkey % 6 AS from_n, l_orderkey % 6 AS to_n FROM lineitem),
+  r AS (SELECT c_custkey // 2 AS via, c_custkey // 2 % 6 AS from_n, c_custkey * 5 % 6 AS to_n, c_custkey % 4 = 0 AS o FROM customer WHERE c_custkey % 3 <> 1)"""
 
 
 @query("graph_turn_restrictions", f"WITH {_TURNS} SELECT t.via, t.from_n, t.to_n, NOT coalesce(bool_or(r.o AND r.to_n = t.to_n), false) AND (coalesce(bool_or(r.o), false) OR coalesce(bool_or(NOT r.o AND r.to_n = t.to_n), false)) AS forbidden FROM t LEFT JOIN r ON t.via = r.via AND t.from_n = r.from_n GROUP BY ALL")
 def turn_restrictions(spark, sf_dir):
     k = F.col("c_custkey")
-    turns = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_partkey") % 40).alias("via"), (F.col("l_suppkey") % 6).alias("from_n"), (F.col("l_orderkey") % 6).alias("to_n")).distinct()
-    r = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey < 120").select((k % 40).alias("via"), (k % 6).alias("from_n"), (k * 5 % 6).alias("to_n"), (k % 4 == 0).alias("only"), F.when(k % 3 == 1, 2).otherwise(0).alias("exceptions"))
+    turns = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("via"), (F.col("l_suppkey") % 6).alias("from_n"), (F.col("l_orderkey") % 6).alias("to_n")).distinct()
+    r = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.floor(k / 2).alias("via"), (F.floor(k / 2) % 6).alias("from_n"), (k * 5 % 6).alias("to_n"), (k % 4 == 0).alias("only"), F.when(k % 3 == 1, 2).otherwise(0).alias("exceptions"))
     return graph.forbidden_turns(turns, r, 2)
 
 
@@ -115,13 +115,14 @@ def components(spark, sf_dir):
     return graph.components(graph.near_pairs(_points(spark, sf_dir), 300))
 
 
-@query("graph_contraction", """WITH g AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey < 1000), e AS (SELECT k AS a, k + 1 AS b FROM g WHERE k % 10 <> 9), c AS (SELECT k AS a, k + 10 AS b FROM g WHERE k % 10 IN (0, 9) AND k + 10 < 1000)
-  SELECT k AS a, k + 9 AS b, CAST(9 * 100 AS BIGINT) AS metres, CAST(8 AS BIGINT) AS inner FROM g WHERE k % 10 = 0 AND k NOT IN (0, 990) UNION ALL
-  SELECT a, b, CAST(250 AS BIGINT), CAST(0 AS BIGINT) FROM c WHERE a NOT IN (0, 9) AND b NOT IN (990, 999) UNION ALL SELECT 10, 19, 900 + 500, 10 UNION ALL SELECT 980, 989, 900 + 500, 10""".replace(" AS inner", ' AS "inner"'))
+@query("graph_contraction", """WITH z AS (SELECT max(o_orderkey) + 1 AS n FROM orders), g AS (SELECT o_orderkey AS k, n FROM orders, z), c AS (SELECT k AS a, k + 10 AS b, n FROM g WHERE k % 10 IN (0, 9) AND k + 10 < n)
+  SELECT k AS a, k + 9 AS b, CAST(9 * 100 AS BIGINT) AS metres, CAST(8 AS BIGINT) AS inner FROM g WHERE k % 10 = 0 AND k NOT IN (0, n - 10) UNION ALL
+  SELECT a, b, CAST(250 AS BIGINT), CAST(0 AS BIGINT) FROM c WHERE a NOT IN (0, 9) AND b NOT IN (n - 10, n - 1) UNION ALL SELECT 10, 19, 900 + 500, 10 UNION ALL SELECT n - 20, n - 11, 900 + 500, 10 FROM z""".replace(" AS inner", ' AS "inner"'))
 def contraction(spark, sf_dir):
-    g = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("k"))
+    """A ladder of all orders: rungs of ten nodes, 100 apart, their ends linked to the next rung's."""
+    g = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
     rows = g.where("k % 10 <> 9").selectExpr("k as a", "k + 1 as b", "100L as metres")
-    sides = g.where("k % 10 in (0, 9) and k + 10 < 1000").selectExpr("k as a", "k + 10 as b", "250L as metres")
+    sides = g.where("k % 10 in (0, 9)").selectExpr("k as a", "k + 10 as b", "250L as metres").join(g.select(F.col("k").alias("b")), "b", "left_semi").select("a", "b", "metres")
     return graph.contracted(rows.union(sides))
 
 

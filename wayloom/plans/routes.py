@@ -48,51 +48,61 @@ def poi_rules(spark, sf_dir):
 
 
 def _grid(spark, sf_dir):
-    """Edges of a 40 x 25 street grid, both ways, 100 each; cells of 8 x 8 nodes."""
+    """Edges of a street grid 40 nodes wide and as long as there are orders (the last row may be short), both ways, 100 each; cells of 8 x 8 nodes."""
     n = derived(spark, sf_dir, "streets")
+    there = n.select(F.col("id").alias("b"))
     right = n.where("gx < 39").selectExpr("id as a", "id + 1 as b", "gx as ax", "gy as ay", "gx + 1 as bx", "gy as by")
-    up = n.where("gy < 24").selectExpr("id as a", "id + 40 as b", "gx as ax", "gy as ay", "gx as bx", "gy + 1 as by")
-    one = right.union(up)
+    up = n.selectExpr("id as a", "id + 40 as b", "gx as ax", "gy as ay", "gx as bx", "gy + 1 as by")
+    one = right.union(up).join(there, "b", "left_semi").select("a", "b", "ax", "ay", "bx", "by")
     both = one.union(one.selectExpr("b", "a", "bx", "by", "ax", "ay"))
     return both.select("a", "b", F.lit(100.0).alias("cost"), "ax", "ay", "bx", "by", F.floor(F.col("ax") / 8).alias("cx"), F.floor(F.col("ay") / 8).alias("cy"))
 
 
 def _requests(spark, sf_dir):
-    k = F.col("s_suppkey")
-    r = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey between 1 and 40").select(k.alias("rid"), (k * 379 % 1000).alias("start"), (k * 613 % 1000).alias("goal"))
+    """A trip for each supplier, from anywhere in the grid to a place up to 700 nodes (18 rows) on, or back near the grid's end."""
+    k, n = F.col("s_suppkey"), F.col("n")
+    nodes = derived(spark, sf_dir, "streets").agg(F.count(F.lit(1)).alias("n"))
+    asked = spark.read.parquet(f"{sf_dir}/supplier.parquet").crossJoin(F.broadcast(nodes))  # one row
+    r = asked.select(k.alias("rid"), (k * 379 % n).alias("start"), (k * 613 % 700).alias("far"), "n")
+    r = r.select("rid", "start", F.when(F.col("start") + F.col("far") < n, F.col("start") + F.col("far")).otherwise(F.col("start") - F.col("far")).alias("goal"))
     cell = lambda n: (F.floor(F.col(n) % 40 / 8), F.floor(F.floor(F.col(n) / 40) / 8))
     return r.select("rid", "start", "goal", cell("start")[0].alias("x1"), cell("goal")[0].alias("x2"), cell("start")[1].alias("y1"), cell("goal")[1].alias("y2"))
 
 
-_ASK = "q AS (SELECT s_suppkey AS rid, s_suppkey * 379 % 1000 AS a, s_suppkey * 613 % 1000 AS b FROM supplier WHERE s_suppkey BETWEEN 1 AND 40), m AS (SELECT rid, a, b, abs(a % 40 - b % 40) AS dx, abs(a // 40 - b // 40) AS dy FROM q)"
+_ASK = """z AS (SELECT count(*) AS n FROM orders), q AS (SELECT s_suppkey AS rid, s_suppkey * 379 % n AS a, s_suppkey * 613 % 700 AS far, n FROM supplier, z),
+  g AS (SELECT rid, a, CASE WHEN a + far < n THEN a + far ELSE a - far END AS b FROM q), m AS (SELECT rid, a, b, abs(a % 40 - b % 40) AS dx, abs(a // 40 - b // 40) AS dy FROM g)"""
 
 
 @query("route_shortest", f"WITH {_ASK} SELECT rid, CAST((dx + dy) * 100 + CASE WHEN dx > 0 AND dy > 0 THEN 30 ELSE 0 END AS BIGINT) AS cost, dx + dy AS steps FROM m")
 def route_shortest(spark, sf_dir):
-    found = routing.routes(_requests(spark, sf_dir), _grid(spark, sf_dir), 1, turn_cost=30.0, coefficient=90.0)
+    found = routing.routes(_requests(spark, sf_dir), _grid(spark, sf_dir), 1, turn_cost=30.0, coefficient=100.0)
     return found.groupBy("rid").agg(F.max("cost").cast("long").alias("cost"), (F.max("seq").cast("long")).alias("steps"))
 
 
 @query("route_alternatives")
 def route_alternatives(spark, sf_dir):
-    return routing.routes(_requests(spark, sf_dir), _grid(spark, sf_dir), 1, alternatives=2).groupBy("rid", "alternative").agg(F.max("cost").alias("cost"), F.count(F.lit(1)).alias("nodes"))
+    return routing.routes(_requests(spark, sf_dir), _grid(spark, sf_dir), 1, alternatives=2, coefficient=100.0).groupBy("rid", "alternative").agg(F.max("cost").alias("cost"), F.count(F.lit(1)).alias("nodes"))
 
 
 @query("route_restricted", f"WITH {_ASK} SELECT rid, CAST((dx + dy) * 100 AS BIGINT) AS cost FROM m")
 def route_restricted(spark, sf_dir):
-    turns = derived(spark, sf_dir, "streets").where("gx between 1 and 38 and gy between 1 and 23 and id % 97 = 0").selectExpr("id - 1 as from_n", "id as via", "id + 40 as to_n")
-    found = routing.routes(_requests(spark, sf_dir), _grid(spark, sf_dir), 1, restrictions=turns)
+    """No turn from the right-hand way up at every 97th node: there is always another path as short."""
+    turns = derived(spark, sf_dir, "streets").where("gx between 1 and 38 and gy >= 1 and id % 97 = 0").selectExpr("id - 1 as from_n", "id as via", "id + 40 as to_n")
+    found = routing.routes(_requests(spark, sf_dir), _grid(spark, sf_dir), 1, restrictions=turns, coefficient=100.0)
     return found.groupBy("rid").agg(F.max("cost").cast("long").alias("cost"))
 
 
-@query("route_detours", f"WITH {cte('way_nodes')}, e AS (SELECT wid, nid AS a, lead(nid) OVER (PARTITION BY wid ORDER BY pos, nid) AS b FROM way_nodes), r AS (SELECT a, b FROM e WHERE wid = 7 AND b IS NOT NULL), n AS (SELECT a AS x FROM r UNION SELECT b FROM r) SELECT DISTINCT e.a, e.b FROM e WHERE b IS NOT NULL AND a IN (SELECT x FROM n) AND NOT EXISTS (SELECT 1 FROM r WHERE r.a = e.a AND r.b = e.b)")
+@query("route_detours", f"""WITH {cte('way_nodes')}, e AS (SELECT wid, nid AS a, lead(nid) OVER (PARTITION BY wid ORDER BY pos, nid) AS b FROM way_nodes), r AS (SELECT DISTINCT wid, a, b FROM e WHERE b IS NOT NULL), n AS (SELECT wid, a AS x FROM r UNION SELECT wid, b FROM r), l AS (SELECT DISTINCT a, b FROM r),
+  d AS (SELECT n.wid, l.a, l.b FROM n JOIN l ON n.x = l.a ANTI JOIN r ON r.wid = n.wid AND r.a = l.a AND r.b = l.b) SELECT wid, count(*) AS detours, min(b) AS first_b, max(b) AS last_b FROM d GROUP BY wid""")
 def route_detours(spark, sf_dir):
+    """Of every way, taken as a route: the links that leave it at one of its nodes, summed up."""
     from pyspark.sql import Window
 
     e = derived(spark, sf_dir, "way_nodes").select("wid", F.col("nid").alias("a"), F.lead("nid").over(Window.partitionBy("wid").orderBy("pos", "nid")).alias("b")).where("b is not null")
-    r = e.where("wid = 7").select("a", "b")
-    nodes = r.select("a").union(r.select("b")).distinct()
-    return e.select("a", "b").distinct().join(nodes, "a", "left_semi").join(r, ["a", "b"], "left_anti")
+    r = e.distinct()
+    nodes = r.select("wid", "a").union(r.select("wid", "b")).distinct()
+    away = nodes.join(r.select("a", "b").distinct(), "a").join(r, ["wid", "a", "b"], "left_anti")
+    return away.groupBy("wid").agg(F.count(F.lit(1)).alias("detours"), F.min("b").alias("first_b"), F.max("b").alias("last_b"))
 
 
 @query("track_totals", "SELECT l_orderkey AS track, CAST(sum(floor(l_quantity)) AS BIGINT) AS metres, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS cost, count(*) AS links FROM lineitem GROUP BY 1")
@@ -149,7 +159,8 @@ def energy_speed(spark, sf_dir):
     return s.select("id", F.round("v", 6).alias("speed"), (F.abs(watts - 100) < 0.5).alias("balanced"))
 
 
-@query("route_islands", "SELECT CAST(0 AS BIGINT) AS component, CAST(1000 AS BIGINT) AS nodes")
+@query("route_islands", "SELECT o_orderkey // 200 * 200 AS component, count(*) AS nodes FROM orders GROUP BY 1")
 def route_islands(spark, sf_dir):
-    found = graph.components(_grid(spark, sf_dir).select("a", "b"))
+    """The grid without the links between every fifth row and the next."""
+    found = graph.components(_grid(spark, sf_dir).where("floor(ay / 5) = floor(by / 5)").select("a", "b"))
     return found.groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
