@@ -21,10 +21,10 @@ from wayloom.llm.word_hashes import mix, powers, text_pieces
 
 LENGTH, GRAM = 100, 24
 #: Bytes hashed at once, bytes of texts whose equal stretches are put together before they travel, and strings sorted at once.
-CHUNK_BYTES, PIECE_BYTES, SORTED_AT_ONCE = 1 << 19, 1 << 23, 120_000
+CHUNK_BYTES, PIECE_BYTES, SORTED_AT_ONCE = 1 << 19, 1 << 22, 60_000
 #: Stretches that meet by their anchor alone, at most; beyond that they are taken apart and meet by longer parts of their bytes.
 HOT = 8192
-STRETCHES_PER_BUCKET = 200_000
+STRETCHES_PER_BUCKET = 100_000
 
 _BITS = 20  # of a place in a chunk
 
