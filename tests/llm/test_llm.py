@@ -263,6 +263,35 @@ def test_shards_are_even_and_keep_groups(spark):
     assert sharding.balanced_shards(spark.createDataFrame([], "id long, link string"), 24).count() == 0
 
 
+def test_shards_cut_fewer_links_each_round(spark):
+    """Pairs alone leave no free room; what is reported is what a plain count of cut pairs gives."""
+    rows = [(i, f"p{i // 2}", i, -1) for i in range(2400)]
+    report: list[int] = []
+    out = sharding.balanced_shards(spark.createDataFrame(rows, "id long, link string, _unit long, shard int"), 24, report=report).collect()
+    assert sorted(r._unit for r in out) == list(range(2400)) and report == sorted(report, reverse=True) and report[0] > 1000
+    sizes = [sum(r.shard == j for r in out) for j in range(24)]
+    assert set(sizes) == {100}
+    by_link: dict = {}
+    for r in out:
+        by_link.setdefault(r.link, []).append(r.shard)
+    assert sum(a != b for a, b in by_link.values()) <= 48
+    state = spark.createDataFrame([(i, f"g{i // 5}", 1, i // 5, (i * 7) % 24) for i in range(500)], "id long, link string, w long, unit long, shard int")
+    report = []
+    after = sharding.propagated(state, 24, 100, 2, report).collect()
+    groups: dict = {}
+    for r in after:
+        groups.setdefault(r.link, []).append(r.shard)
+    assert report[-1] == sum(a != b for g in groups.values() for i, a in enumerate(g) for b in g[:i])
+
+
+def test_shards_of_null_ids_and_repeats(spark):
+    rows = [(None, "a", "x")] * 30 + [(1, None, "y")] * 20 + [(2, "b", None)] * 2
+    out = sharding.balanced_shards(spark.createDataFrame(rows, "id long, link string, slot string"), 24).collect()
+    sizes = [sum(r.shard == j for r in out) for j in range(24)]
+    assert len(out) == 52 and max(sizes) - min(sizes) <= 1
+    assert sorted((r.shard, r.slot) for r in out) == [(j, k) for j in range(24) for k in range(sizes[j])]
+
+
 # 7 html
 
 
