@@ -86,11 +86,22 @@ def test_ascend_fold(spark):
     assert got == {i: plain(h) for i, h in rows}
 
 
-def test_unique_positions(spark):
-    nodes = spark.createDataFrame([(i, 1_000_005, 2_000_005) for i in range(12)] + [(99, 7, 7)], "id long, ilon long, ilat long")
-    got = graph.unique_positions(nodes).collect()
-    assert len({(r.ilon, r.ilat) for r in got}) == 13
-    assert next((r.ilon, r.ilat) for r in got if r.id == 0) == (1_000_005, 2_000_005)
+def test_unique_positions(spark, monkeypatch):
+    """As if nodes came one by one: crowds whose triangles overlap, across the edges of cells and degrees, in small chunks."""
+    monkeypatch.setattr(graph, "PER_CHUNK", 3)
+    rng = random.Random(6)
+    spots = [(1_000_005, 2_000_005)] * 3 + [(999_999, 2_000_005), (1_000_006, 2_000_007), (1_499_999, 2_500_000), (1_500_000, 2_499_999), (1_500_001, 2_499_998), (100_000, 99_999), (7, 7)]
+    rows = [(i, *spots[rng.randrange(len(spots))]) for i in rng.sample(range(1000), 50)] + [(2000, None, 5)]
+    rows += [(3000 + k, 1_000_005 + k % 3, 2_000_005 + k // 3) for k in range(9)]
+    taken, want = set(), {}
+    for i, x, y in sorted(r for r in rows if r[1] is not None):
+        ux, uy = (1 if v % 1_000_000 < 500_000 else -1 for v in (x, y))
+        at = next((x + c * ux, y + r * uy) for r in range(100) for c in range(r + 1) if (x + c * ux, y + r * uy) not in taken)
+        taken.add(at)
+        want[i] = at
+    nodes = spark.createDataFrame(rows, "id long, ilon long, ilat long")
+    assert {r.id: (r.ilon, r.ilat) for r in graph.unique_positions(nodes).collect()} == want
+    assert not graph.unique_positions(nodes.limit(0)).collect()
 
 
 def test_nearest_region_of_many_centres(spark):

@@ -120,33 +120,57 @@ def apply_delta(old: DataFrame, changes: DataFrame, key: str, value: str) -> Dat
     return old.join(touched.select(key), key, "left_anti").select(key, value).union(touched.where("status <> 'removed'").select(key, value))
 
 
-def spiral(ilon: int, ilat: int, taken: set[tuple[int, int]], rows: int = 100) -> tuple[int, int]:
-    """The first free position from an E6 point: rows of a growing triangle, stepping away from the edge of its degree."""
-    sx, sy = (1 if v % 1_000_000 < 500_000 else -1 for v in (ilon, ilat))
-    for row in range(rows):
-        for column in range(row + 1):
-            at = (ilon + sx * row, ilat + sy * column)
-            if at not in taken:
-                return at
-            at = (ilon + sx * column, ilat + sy * row)
-            if at not in taken:
-                return at
-    return ilon, ilat
-
-
-def unique_positions(nodes: DataFrame) -> DataFrame:
-    """nodes(id, ilon, ilat) with equal positions shifted apart, in order of id. Groups are cells of 0.1 degree: towns at most."""
-
-    def move(frame: pd.DataFrame) -> pd.DataFrame:
-        frame, taken = frame.sort_values("id"), set()
-        out = []
-        for i, x, y in zip(frame["id"], frame["ilon"], frame["ilat"]):
-            at = spiral(int(x), int(y), taken)
-            taken.add(at)
-            out.append((i, *at))
-        return pd.DataFrame(out, columns=["id", "ilon", "ilat"])
-
-    return nodes.select("id", "ilon", "ilat").groupBy(F.floor(F.col("ilon") / 100_000).alias("cx"), F.floor(F.col("ilat") / 100_000).alias("cy")).applyInPandas(move, "id long, ilon long, ilat long")
+#: Nodes of one position whose running bounds are taken in one task.
+PER_CHUNK = 100_000
+
+
+def _ranks(nodes: DataFrame) -> DataFrame:
+    """nodes with _rank, gapless from 0 by id among equal positions: a sort by ranges, then offsets a range, so that a crowded position spans many tasks."""
+    split = nodes.repartitionByRange("ilon", "ilat", "id").sortWithinPartitions("ilon", "ilat", "id")
+    rows = cut(split.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    each = rows.groupBy("ilon", "ilat", "_part").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("ilon", "ilat").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
+    return rows.join(each, ["ilon", "ilat", "_part"]).withColumn("_rank", F.col("_row") - F.col("_first") + F.col("_before")).drop("_part", "_row", "_first", "_before")
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Raises _step to what the nodes before it at the same position leave: r + the greatest (_step - rank) up to rank r, by chunks of ranks."""
+    rows = rows.withColumns({"_chunk": F.floor(F.col("_rank") / PER_CHUNK), "_over": F.col("_step") - F.col("_rank")})
+    w = Window.partitionBy("ilon", "ilat")
+    before = rows.groupBy("ilon", "ilat", "_chunk").agg(F.max("_over").alias("_most"))
+    before = before.withColumn("_past", F.max("_most").over(w.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("_most")
+    here = F.max("_over").over(Window.partitionBy("ilon", "ilat", "_chunk").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_here", here).join(before, ["ilon", "ilat", "_chunk"]).withColumn("_step", F.col("_rank") + F.greatest("_here", "_past"))
+
+
+def _at(step: Column) -> tuple[Column, Column]:
+    """The position that is `step` places along the growing triangle from a node's own: rows of latitude, each from the node's longitude on, away from the edge of its degree."""
+    row = F.floor((F.sqrt(8.0 * step + 1) - 1) / 2)
+    column = step - (row * (row + 1) / 2).cast("long")
+    away = lambda c: F.when(F.pmod(F.col(c), F.lit(1_000_000)) < 500_000, 1).otherwise(-1)
+    return F.col("ilon") + column * away("ilon"), F.col("ilat") + row * away("ilat")
+
+
+def unique_positions(nodes: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """nodes(id, ilon, ilat) with positions shifted apart: in order of id, each takes the first free place along its triangle.
+
+    That order is not run one by one. All ask for a place at once, each place keeps the least id that asks, the others ask for the next one, and
+    a node never asks for what those before it at its position must take. What is settled is the same: a place once refused is held by a lesser id
+    for good. Places of all positions are told apart, however far nodes move. Ids are unique; rows with a null in a position drop out."""
+    rows = _ranks(nodes.select("id", "ilon", "ilat").where("ilon is not null and ilat is not null")).withColumn("_step", F.col("_rank"))
+    for _ in range(most_rounds):
+        lon, lat = _at(F.col("_step"))
+        asked = cut(rows.select("id", "ilon", "ilat", "_rank", "_step", lon.alias("_lon"), lat.alias("_lat")))
+        held = asked.groupBy("_lon", "_lat").agg(F.min("id").alias("_least"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+        refused = cut(asked.join(held, ["_lon", "_lat"]).where("id > _least").select("id", "ilon", "ilat", F.lit(1).alias("_refused")))
+        if not refused.head(1):
+            return asked.select("id", F.col("_lon").alias("ilon"), F.col("_lat").alias("ilat"))
+        crowds = refused.select("ilon", "ilat").distinct()
+        moved = asked.join(crowds, ["ilon", "ilat"], "left_semi").join(refused, ["id", "ilon", "ilat"], "left").withColumn("_step", F.col("_step") + F.coalesce("_refused", F.lit(0)))
+        columns = ["id", "ilon", "ilat", "_rank", "_step"]
+        rows = asked.join(crowds, ["ilon", "ilat"], "left_anti").select(*columns).union(_spread(moved).select(*columns))
+    raise RuntimeError(f"positions are not settled after {most_rounds} rounds")
 
 
 def simplified(paths: DataFrame, metres: float = 0.4) -> DataFrame:

@@ -151,7 +151,10 @@ def delta_apply(spark, sf_dir):
     return graph.apply_delta(old, graph.delta(old, new, "id", "v"), "id", "v")
 
 
-@query("graph_unique_positions")
+_AWAY = "CASE WHEN {0} % 1000000 < 500000 THEN 1 ELSE -1 END"
+
+
+@query("graph_unique_positions", f"WITH n AS (SELECT c_custkey AS id, c_custkey % 90 * 700000 + c_custkey % 3 AS x, c_custkey % 40 * 900000 + 5 AS y FROM customer), r AS (SELECT *, row_number() OVER (PARTITION BY x, y ORDER BY id) - 1 AS r FROM n), t AS (SELECT *, CAST(floor((sqrt(8.0 * r + 1) - 1) / 2) AS BIGINT) AS u FROM r) SELECT id, CAST(x + (r - u * (u + 1) // 2) * {_AWAY.format('x')} AS BIGINT) AS ilon, CAST(y + u * {_AWAY.format('y')} AS BIGINT) AS ilat FROM t")
 def unique_positions(spark, sf_dir):
     k = F.col("c_custkey")
     nodes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), (k % 90 * 700_000 + k % 3).alias("ilon"), (k % 40 * 900_000 + 5).alias("ilat"))
