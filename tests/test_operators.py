@@ -162,15 +162,64 @@ def test_names(spark):
     assert names.query_tokens('north-west "port*') == [["north", "west"], ["port"]]
 
 
+FIXES = "session long, ms long, x double, y double, speed double, accuracy double"
+
+
 def test_fusion_stream_equals_batch(spark, tmp_path):
-    random.seed(2)
-    rows = [(s, 1000 * k + s, float(k * 10 + random.random()), float(s), 8.0 if k % 7 else 0.0, 5.0 + k % 3 * 30) for s in range(5) for k in range(30)]
-    df = spark.createDataFrame(rows, "session long, ms long, x double, y double, speed double, accuracy double")
-    df.withColumn("at", F.timestamp_millis("ms")).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("session long, ms long, x double, y double, speed double, accuracy double, at timestamp").parquet(str(tmp_path / "in"))
+    """Fixes that come out of order, across micro-batches too, give what the batch gives, as far as the watermark has come."""
+    rng = random.Random(2)
+    rows = [(s, 1_000_000 + 1000 * k + s, float(k * 10 + rng.random()), float(s), 8.0 if k % 7 else 0.0, 5.0 + k % 3 * 30) for s in range(5) for k in range(60)]
+    for n in range(3):
+        # some fixes come with the file after theirs, up to three seconds behind others
+        part = [r for r in rows if min(2, ((k := r[1] // 1000 - 1000) + (3 if (k + r[0]) % 4 == 0 else 0)) // 20) == n]
+        rng.shuffle(part)
+        spark.createDataFrame(part, FIXES).withColumn("at", F.timestamp_millis("ms")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(f"{FIXES}, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = fusion.fuse_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, fusion.fuse(df).collect()))
+    assert q.awaitTermination(180)
+    want = fusion.fuse(spark.createDataFrame(rows, FIXES)).where(F.col("ms") < max(r[1] for r in rows) - 10_000).collect()
+    assert len(want) > 200 and sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want))
+
+
+def fused_by_hand(*fixes):
+    """(x, speed, mode, accepted) after each fix (seconds, x, speed, accuracy)."""
+    state, out = fusion.START, []
+    for t, x, speed, accuracy in fixes:
+        state, row = fusion.step(state, int(t * 1000), float(x), 0.0, float(speed), float(accuracy))
+        out.append((round(row[1], 6), row[3], row[4], row[5]))
+    return out
+
+
+def test_fusion_modes():
+    walk = fused_by_hand((0, 0, 1.5, 5), (1, 3, 3, 5), (2, 6, 3, 5), (3, 6.1, 0.2, 5), (6, 6.2, 0.2, 5), (7, 7, 1.5, 5))
+    assert [r[2] for r in walk] == ["WALKING", "WALKING", "DRIVING", "DRIVING", "STILL", "WALKING"]
+    assert [r[2] for r in fused_by_hand((0, 0, 1, 5), (1, 1, 3, 5), (2, 2, 1, 5), (3, 3, 3, 5), (4, 4, 3, 5))] == ["WALKING"] * 4 + ["DRIVING"]
+    assert fused_by_hand((0, 0, 0, 5))[0][2] == "STILL"
+
+
+def test_fusion_blends_jumps_and_damps():
+    # driving at 10 m/s a fix 3 m ahead of the expected place moves the estimate by 15 % of that
+    driving = (0.0, 0.0, 1.0, 0.0, 10.0, 0, 0.0, 0.0, False, "DRIVING", "", -1)
+    assert math.isclose(fusion.step(driving, 1000, 13.0, 0.0, 10.0, 15.0)[1][1], 10.45)
+    assert math.isclose(fusion.step(driving, 1000, 25.0, 0.0, 10.0, 15.0)[1][1], 17.5)
+    assert fused_by_hand((0, 0, 10, 15), (1, 70, 10, 15))[-1] == (70.0, 10.0, "DRIVING", True)
+    # a poor fix far off never jumps: half of the way at 100 m
+    assert fused_by_hand((0, 0, 1, 5), (1, 300, 1, 100))[-1][0] == 150.0
+    # standing: 30 % of the way to each fix, however far it lies
+    assert fused_by_hand((0, 0, 0, 5), (1, 4, 0, 5), (2, 40, 0, 5))[-1][0] == round(1.2 + 0.3 * 38.8, 6)
+    # no speed: that from the last fix; no accuracy: 30 m
+    assert fused_by_hand((0, 0, 5, 5), (2, 20, math.nan, math.nan))[-1][1:] == (10.0, "DRIVING", True)
+
+
+def test_ticks(spark):
+    fixes = [(1, 0, 0.0, 0.0, 10.0, 5.0), (1, 1000, 10.0, 0.0, 10.0, 5.0), (1, 2500, 2000.0, 0.0, 10.0, 5.0), (2, 50, 1.0, 1.0, 0.0, 5.0)]
+    got = {(r.session, r.ms): r for r in fusion.ticks(fusion.fuse(spark.createDataFrame(fixes, FIXES)), 500).collect()}
+    x1 = got[1, 1000].x
+    assert sorted(k[1] for k in got if k[0] == 1) == list(range(0, 22_501, 500)) and [got[1, ms].since for ms in (1000, 1500, 2000, 2500, 3000)] == [0, 1, 2, 0, 1]
+    # the doubted fix at 2.5 s moves nothing but keeps the signal fresh
+    assert all(math.isclose(got[1, 1000 + ms].x, x1 + 10 * fusion.coast(ms / 1000)) for ms in range(0, 21_500, 500))
+    assert math.isclose(got[1, 6000].speed, 5.0) and got[1, 12_000].fresh and not got[1, 12_500].fresh
+    assert [(r.ms, r.x, r.since) for r in sorted((r for r in got.values() if r.session == 2), key=lambda r: r.ms)][:2] == [(500, 1.0, 1), (1000, 1.0, 2)]
 
 
 def test_fusion_goes_on_across_batches_of_a_session(spark):
@@ -194,6 +243,6 @@ def test_fusion_goes_on_across_batches_of_a_session(spark):
 def test_fusion_doubts_a_far_fix_once():
     s, _ = fusion.step(fusion.START, 0, 0.0, 0.0, 0.0, 5.0)
     s, out = fusion.step(s, 1000, 500.0, 0.0, 0.0, 5.0)
-    assert not out[-1] and out[1] == 0.0
-    s, out = fusion.step(s, 2000, 500.0, 0.0, 0.0, 5.0)
-    assert out[-1] and out[1] == 500.0
+    assert not out[5] and out[1] == 0.0
+    s, out = fusion.step(s, 2000, 500.0, 0.0, 1.0, 5.0)
+    assert out[5] and out[1] == 500.0

@@ -75,7 +75,16 @@ def distinct(spark, sf_dir):
     return _fixes(spark, sf_dir).groupBy("session", "v").agg(F.min("event_id").alias("first"))
 
 
-@query("nav_fusion")
-def fused(spark, sf_dir):
+def _fused(spark, sf_dir):
     fixes = tracks.positions(_fixes(spark, sf_dir)).selectExpr("session", "ms", "cast(x as double) as x", "cast(y as double) as y", "cast(v as double) * 0.1 as speed", "10.0D as accuracy")
     return fusion.fuse(fixes)
+
+
+@query("nav_fusion")
+def fused(spark, sf_dir):
+    return _fused(spark, sf_dir).drop("ux", "uy")
+
+
+@query("nav_ticks")
+def ticks(spark, sf_dir):
+    return fusion.ticks(_fused(spark, sf_dir), 1000)
