@@ -226,6 +226,8 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "CHUNK", 40)
+    monkeypatch.setattr(vector_dedup, "_ROWS", 16)
+    monkeypatch.setattr(vector_dedup, "_COLUMNS", 24)
     rng = np.random.default_rng(9)
     base = rng.normal(size=(40, 16))
     v = np.concatenate([base + rng.normal(size=base.shape) * s for s in (0, 0.1, 0.2, 0.3, 0.3)]).astype(np.float32)

@@ -8,14 +8,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import cut, table
+from wayloom.llm.common import batched, cut, table
 from wayloom.operators.shared import components
 
 COSINE = 0.9
-BLOCKS = 2
+BLOCKS = 4
 #: Vectors that meet in one task, twice; vectors that cells are laid around, at most.
-CHUNK, MOST_PIVOTS = 4096, 64
-_TILE, _PAIRS = 1024, 200_000
+CHUNK, MOST_PIVOTS = 16_384, 256
+#: Rows and columns of a product of two blocks, so that it stays in a processor's cache; pairs that are compared at once.
+_ROWS, _COLUMNS, _PAIRS = 512, 2048, 50_000
+#: Pairs of chunks in a partition.
+_MEETINGS = 4
 
 
 def rotation(size: int) -> np.ndarray:
@@ -46,22 +49,27 @@ def linked(left: np.ndarray, right: np.ndarray, own: bool, block: int, slices: l
     budget = [most * (s.stop - s.start) / size * (1 + 1e-9) + 1e-12 for s in slices]
     s = slices[block]
     fa, fb = ra[:, s].astype(np.float32), rb[:, s].astype(np.float32)
-    na, nb = (fa * fa).sum(axis=1), (fb * fb).sum(axis=1)
-    for k in range(0, len(a), _TILE):
-        near = (na[k : k + _TILE, None] + nb[None, :] - 2 * (fa[k : k + _TILE] @ fb.T)) <= budget[block] + 1e-4
-        i, j = near.nonzero()
-        i += k
-        if own:
-            i, j = i[i < j], j[i < j]
-        for p in range(0, len(i), _PAIRS):
-            x, y = i[p : p + _PAIRS], j[p : p + _PAIRS]
-            gap = (ra[x] - rb[y]) ** 2
-            good = (a[x] * b[y]).sum(axis=1) >= cosine
-            for other in range(block + 1):
-                within = gap[:, slices[other]].sum(axis=1) <= budget[other]
-                good &= within if other == block else ~within
-            if good.any():
-                yield x[good], y[good]
+    one = np.ones((1,), dtype=np.float32)
+    # squared distances less the budget, as one product
+    fa = np.concatenate([-2 * fa, (fa * fa).sum(axis=1, keepdims=True) - np.float32(budget[block] + 1e-4), np.broadcast_to(one, (len(fa), 1))], axis=1)
+    fb = np.concatenate([fb, np.broadcast_to(one, (len(fb), 1)), (fb * fb).sum(axis=1, keepdims=True)], axis=1).T.copy()
+    for k in range(0, len(a), _ROWS):
+        for m in range(k // _COLUMNS * _COLUMNS if own else 0, len(b), _COLUMNS):
+            i, j = (fa[k : k + _ROWS] @ fb[:, m : m + _COLUMNS] <= 0).nonzero()
+            i, j = i + k, j + m
+            if own:
+                i, j = i[i < j], j[i < j]
+            for p in range(0, len(i), _PAIRS):
+                x, y = i[p : p + _PAIRS], j[p : p + _PAIRS]
+                good = (a[x] * b[y]).sum(axis=1) >= cosine
+                x, y = x[good], y[good]
+                gap = (ra[x] - rb[y]) ** 2
+                first = np.ones(len(x), dtype=bool)
+                for other in range(block + 1):
+                    within = gap[:, slices[other]].sum(axis=1) <= budget[other]
+                    first &= within if other == block else ~within
+                if first.any():
+                    yield x[first], y[first]
 
 
 def _forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,9 +97,9 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
     those that are zero, hold nulls, NaN or infinities, or have another length than most, link with nothing. Rows of one vec_id are one vector (the
     least embedding counts); rows with a null vec_id link with nothing and have a null component.
 
-    Blocks of rotated coordinates are joined one by one. Vectors are laid in cells around pivots (a fixed number of the vectors); only
+    Blocks of rotated coordinates are joined one by one. Vectors are laid in cells around pivots (vectors, one for CHUNK of them, MOST_PIVOTS at most); only
     cells that can hold a pair within the block's budget meet, in chunks of at most about CHUNK vectors, so that neither a hot cell
-    nor a group of copies comes into one task. A task gives counts and a forest, never its pairs."""
+    nor a group of copies comes into one task. Each chunk is dealt out to its meetings, each meeting is one row of a join. A task gives counts and a forest, never its pairs."""
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "vec_id long, n long, other long")
     named = vectors.where("vec_id is not null and embedding is not null")
@@ -121,7 +129,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCK
 
 def _links(good: DataFrame, pivots: np.ndarray, turn: np.ndarray, slices: list[slice], cosine: float) -> DataFrame:
     """(vec_id, n, other): parts of the number of links of vec_id, or a link in a forest of each task's links."""
-    size = turn.shape[0]
+    spark, size = good.sparkSession, turn.shape[0]
+    dtype = "<f4" if good.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
 
     def placed(batches):
         for batch in batches:
@@ -130,15 +139,16 @@ def _links(good: DataFrame, pivots: np.ndarray, turn: np.ndarray, slices: list[s
             flat = batch.column("embedding").flatten().to_numpy(zero_copy_only=False)
             raw = np.ascontiguousarray(flat.reshape(batch.num_rows, size))
             r = unit(raw) @ turn
-            blobs = pa.array([x.tobytes() for x in raw.astype(np.float64)], pa.binary())
+            blobs = pa.array([x.tobytes() for x in raw.astype(dtype)], pa.binary())
             for k, s in enumerate(slices):
-                d = ((r[:, None, s] - pivots[None, :, s]) ** 2).sum(axis=2) if len(pivots) <= 8 else np.maximum(0, (r[:, s] ** 2).sum(axis=1)[:, None] + (pivots[:, s] ** 2).sum(axis=1)[None] - 2 * r[:, s] @ pivots[:, s].T)
+                d = np.maximum(0, (r[:, s] ** 2).sum(axis=1)[:, None] + (pivots[:, s] ** 2).sum(axis=1)[None] - 2 * r[:, s] @ pivots[:, s].T)
                 cell = d.argmin(axis=1)
                 far = np.sqrt(d[np.arange(len(d)), cell]) + 1e-6
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(np.full(len(d), k, dtype=np.int32)), pa.array(cell.astype(np.int32)), pa.array(far), blobs], names=["vec_id", "block", "cell", "far", "raw"])
 
-    laid = cut(good.mapInArrow(placed, "vec_id long, block int, cell int, far double, raw binary"))
+    laid = cut(batched(good).mapInArrow(placed, "vec_id long, block int, cell int, far double, raw binary"))
     cells = laid.groupBy("block", "cell").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect()  # blocks x MOST_PIVOTS at most
+    parts = {(c["block"], c["cell"]): -(-c["n"] // CHUNK) for c in cells}
     meets = []
     for x in cells:
         for y in cells:
@@ -146,29 +156,34 @@ def _links(good: DataFrame, pivots: np.ndarray, turn: np.ndarray, slices: list[s
                 s = slices[x["block"]]
                 gap = np.sqrt(((pivots[x["cell"], s] - pivots[y["cell"], s]) ** 2).sum())
                 if gap <= x["far"] + y["far"] + np.sqrt((2 - 2 * cosine) * (s.stop - s.start) / size) + 1e-6:
-                    meets.append((x["block"], x["cell"], y["cell"]))
-    spark = good.sparkSession
-    parts = spark.createDataFrame([(c["block"], c["cell"], -(-c["n"] // CHUNK)) for c in cells], "block int, cell int, parts int")
-    chunked = laid.join(F.broadcast(parts), ["block", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+                    meets.append((x["block"], x["cell"], y["cell"], parts[x["block"], x["cell"]], parts[y["block"], y["cell"]]))
+    known = spark.createDataFrame([(*k, n) for k, n in parts.items()], "block int, cell int, parts int")
+    chunked = laid.join(F.broadcast(known), ["block", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         head = frame.iloc[0]
         return pd.DataFrame({"block": [head["block"]], "cell": [head["cell"]], "chunk": [head["chunk"]], "ids": [frame["vec_id"].to_numpy().astype("<i8").tobytes()], "rows": [b"".join(frame["raw"])]})
 
     chunks = cut(chunked.groupBy("block", "cell", "chunk").applyInPandas(pack, "block int, cell int, chunk int, ids binary, rows binary"))
-    name = F.struct("cell", "chunk")
-    left = chunks.select("block", "cell", F.col("ids").alias("ids1"), F.col("rows").alias("rows1"), name.alias("x"))
-    right = chunks.select("block", F.col("cell").alias("cell2"), F.col("ids").alias("ids2"), F.col("rows").alias("rows2"), name.alias("y"))
-    meeting = spark.createDataFrame(meets, "block int, cell int, cell2 int")
-    pairs = left.join(F.broadcast(meeting), ["block", "cell"]).join(right, ["block", "cell2"]).where("x <= y")
-    dealt = pairs.select("block", "ids1", "rows1", "ids2", "rows2", (F.col("x") == F.col("y")).alias("own")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("x", "y", "block"))
+    meeting = F.broadcast(spark.createDataFrame(meets, "block int, x int, y int, px int, py int"))  # blocks x MOST_PIVOTS x MOST_PIVOTS at most
+    key = ["block", "x", "y", "cx", "cy"]
+    # a cell's chunks meet each other and themselves once
+    once = (F.col("x") < F.col("y")) | (F.col("cx") <= F.col("cy"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = chunks.select("block", F.col("cell").alias("x"), F.col("chunk").alias("cx"), F.col("ids").alias("ids1"), F.col("rows").alias("rows1"))
+    left = left.join(meeting, ["block", "x"]).select("*", upto("py").alias("cy")).where(once).select(*key, "ids1", "rows1")
+    right = chunks.select("block", F.col("cell").alias("y"), F.col("chunk").alias("cy"), F.col("ids").alias("ids2"), F.col("rows").alias("rows2"))
+    right = right.join(meeting, ["block", "y"]).select("*", upto("px").alias("cx")).where(once).select(*key, "ids2", "rows2")
+    total = sum(px * py for _, _, _, px, py in meets)
+    tasks = max(1, min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // _MEETINGS)))
+    own = (F.col("x") == F.col("y")) & (F.col("cx") == F.col("cy"))
+    dealt = batched(left.repartition(tasks, *key).join(right.repartition(tasks, *key), key).select("block", "ids1", "rows1", "ids2", "rows2", own.alias("own")))
 
     def compare(batches):
         for batch in batches:
             for block, ids1, rows1, ids2, rows2, own in zip(*(batch.column(c).to_pylist() for c in ("block", "ids1", "rows1", "ids2", "rows2", "own"))):
                 u, v = np.frombuffer(ids1, dtype="<i8"), np.frombuffer(ids2, dtype="<i8")
-                x = np.frombuffer(rows1).reshape(len(u), size)
-                y = np.frombuffer(rows2).reshape(len(v), size)
+                x, y = (np.frombuffer(rows, dtype=dtype).reshape(-1, size) for rows in (rows1, rows2))
                 n1, n2 = np.zeros(len(u), dtype=np.int64), np.zeros(len(v), dtype=np.int64)
                 edges: list[tuple[np.ndarray, np.ndarray]] = []
                 for i, j in linked(x, y, own, block, slices, turn, cosine):
