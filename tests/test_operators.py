@@ -132,6 +132,28 @@ def test_contraction_keeps_kept_nodes(spark):
     assert sorted(tuple(r) for r in graph.contracted(edges, kept).collect()) == [(0, 3, 30, 2), (3, 5, 20, 1)]
 
 
+def test_contraction_keeps_rings_and_edges_side_by_side(spark):
+    """As by taking out passed-through nodes one by one."""
+    rng = random.Random(8)
+    edges = [(0, 1, 1), (1, 2, 2), (2, 0, 4), (5, 5, 7), (6, 7, 1), (6, 7, 2), (8, 9, 1), (8, 9, 2), (9, 10, 3), (10, 8, 5), (11, 12, 1), (12, 12, 2)]
+    edges += [(20 + rng.randrange(40), 20 + rng.randrange(40), rng.randrange(1, 9)) for _ in range(45)]
+    left, done = [(a, b, m, 0) for a, b, m in edges], False
+    while not done:
+        done = True
+        for node in range(60, -1, -1):  # the least node of a ring stays
+            at = [e for e in left if node in e[:2]]
+            if len(at) == 2 and all(e[0] != e[1] for e in at):
+                for e in at:
+                    left.remove(e)
+                x, y = (e[0] if e[1] == node else e[1] for e in at)
+                left.append((x, y, at[0][2] + at[1][2], at[0][3] + at[1][3] + 1))
+                done = False
+                break
+    want = sorted((min(a, b), max(a, b), m, n) for a, b, m, n in left)
+    got = graph.contracted(spark.createDataFrame(edges, "a long, b long, metres long"))
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_rule_language(spark):
     text = "---context:global\nassign g 2\n---context:way\nassign a = if and highway=x|y not oneway= then multiply g 3 else max 1 v:maxspeed\nassign a2 sub a 1 # note\n"
     rows = spark.createDataFrame([({"highway": "x", "oneway": "no"},), ({"highway": "z", "maxspeed": "30 mph"},), ({},)], "tags map<string,string>")

@@ -83,8 +83,8 @@ def contracted(edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """Undirected edges(a, b, metres) with chains of nodes of degree two (and not in kept(node)) made one edge: (a, b, metres, inner).
 
     The chains are the components of the edges whose ends are both passed through; an end of a chain is where it meets another node.
-    Rings without any such end keep nothing but their inner nodes and drop out."""
-    sides = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a")).distinct()
+    Edges side by side are edges of their own, and a loop counts twice at its node. A ring that meets no other node is one edge from its least node to itself."""
+    sides = edges.select(F.col("a").alias("node")).union(edges.select("b"))
     degree = sides.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     through = degree.where("n = 2").select("node")
     if kept is not None:
@@ -99,8 +99,9 @@ def contracted(edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     made = part.groupBy("chain").agg(F.sum("metres").alias("metres"), F.array_sort(F.collect_list(outer)).alias("ends"))
     inner = chain.groupBy("chain").agg(F.count(F.lit(1)).alias("inner"))
     joined = made.where(F.size("ends") == 2).join(inner, "chain").select(F.col("ends")[0].alias("a"), F.col("ends")[1].alias("b"), "metres", "inner")
+    rings = made.where(F.size("ends") == 0).join(inner, "chain").select(F.col("chain").alias("a"), F.col("chain").alias("b"), "metres", F.col("inner") - 1)
     plain = marked.where("not ai and not bi").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "metres", F.lit(0).cast("long").alias("inner"))
-    return plain.union(joined)
+    return plain.union(joined).union(rings)
 
 
 def merged_links(links: DataFrame) -> DataFrame:
