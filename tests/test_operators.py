@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayloom.functions import names, tags
-from wayloom.operators import graph, regions, routing
+from wayloom.operators import graph, regions, routing, tracks
 from wayloom.plans import rules
 from wayloom.streaming import fusion
 
@@ -184,6 +184,47 @@ def test_names(spark):
     assert names.query_tokens('north-west "port*') == [["north", "west"], ["port"]]
 
 
+def test_route_progress(spark):
+    """As by walking along the route with all legs at hand: loops, stops, fixes off the route, a session without a route."""
+    rng = random.Random(4)
+    points, fixes = [], []
+    for s in range(4):
+        x = y = 0.0
+        for k in range(25):
+            points.append((s, k, x, y, k in (8, 9, 17), k % 4 == 3))
+            x, y = x + rng.choice([30.0, 60.0, 0.0, -20.0]), y + rng.choice([40.0, 0.0, -10.0])
+        fixes += [(s, 1000 * i, i, p[2] + rng.uniform(-9, 9) + (90 if i % 23 in (4, 5, 6, 7) else 0), p[3] + rng.uniform(-9, 9)) for i, p in enumerate(q for q in points if q[0] == s for _ in range(3))]
+    fixes.append((9, 0, 0, 0.0, 0.0))
+    want = []
+    for s in range(4):
+        route = [p for p in points if p[0] == s]
+        cum = [0.0]
+        for p, q in zip(route, route[1:]):
+            cum.append(cum[-1] + math.hypot(q[2] - p[2], q[3] - p[3]))
+        halts, turns = [k for k, p in enumerate(route) if p[4]], [cum[k] for k, p in enumerate(route) if p[5]]
+        done = turn = streak = 0
+        arrived = False
+        for _, ms, event, x, y in (f for f in fixes if f[0] == s):
+            best = None
+            for k in range(([0] + halts)[done], (halts + [24])[done]):
+                (ax, ay), (bx, by) = route[k][2:4], route[k + 1][2:4]
+                size = (bx - ax) ** 2 + (by - ay) ** 2
+                t = min(1, max(0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / size)) if size else 0
+                here = (math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)), cum[k] + t * math.sqrt(size))
+                best = here if best is None or here[0] < best[0] - 1e-9 else best
+            off, along = best
+            streak = streak + 1 if off > 40 else 0
+            turn = max(turn, sum(a - along <= 15 for a in turns))
+            while off <= 40 and done < len(halts) and along >= cum[halts[done]] - 15:
+                done += 1
+            now = off <= 40 and not arrived and done == len(halts) and cum[-1] - along <= 15
+            arrived |= now
+            want.append((s, ms, event, round(along, 4), round(off, 4), turn, done, streak, streak >= 3 and not arrived, now))
+    rows = tracks.route_progress(spark.createDataFrame(fixes, "session long, ms long, event_id long, x double, y double"), spark.createDataFrame(points, "route long, seq long, x double, y double, stop boolean, turn boolean")).collect()
+    got = sorted((r.session, r.ms, r.event_id, round(r.along, 4), round(r.off, 4), r.turn, r.stops, r.streak, r.recalc, r.arrived) for r in rows)
+    assert got == sorted(want) and any(r[-2] for r in got) and any(r[-1] for r in got)
+
+
 FIXES = "session long, ms long, x double, y double, speed double, accuracy double"
 
 

@@ -88,3 +88,11 @@ def fused(spark, sf_dir):
 @query("nav_ticks")
 def ticks(spark, sf_dir):
     return fusion.ticks(_fused(spark, sf_dir), 1000)
+
+
+@query("nav_route_progress")
+def route_progress(spark, sf_dir):
+    """Each session's route runs beside every fifth of its fixes, turns at every second point of it and stops at every ninth."""
+    at = tracks.positions(_fixes(spark, sf_dir)).withColumn("n", F.row_number().over(tracks.by("session", "ms", "event_id")))
+    points = at.where("n % 5 = 1").selectExpr("session as route", "n as seq", "x + 10.0D as x", "y - 7.0D as y", "n % 45 = 41 as stop", "n % 10 = 1 as turn")
+    return tracks.route_progress(at, points)
