@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -24,11 +26,19 @@ def round_trip(spark, sf_dir):
     cut = lambda f: F.floor((f - F.floor(f)) * 4096).cast("int")
     at = p.select("id", "name", F.col("rank").cast("long").alias("rank"), geo.tile_x(F.col("lon"), Z).alias("x"), geo.tile_y(F.col("lat"), Z).alias("y"), cut(fx).alias("px"), cut(fy).alias("py"))
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [(int(i), 1, {"name": n, "rank": int(k)}, [[(int(a), int(b))]]) for i, n, k, a, b in zip(*(frame[c] for c in ("id", "name", "rank", "px", "py")))]
-        return pd.DataFrame({"z": [Z], "x": [frame["x"].iloc[0]], "y": [frame["y"].iloc[0]], "data": [vector_tiles.encode("place", rows)]})
-
-    tiles = at.groupBy("x", "y").applyInPandas(pack, "z int, x long, y long, data binary")
-    point = F.col("paths")[0][0]
+    def pack(frames):
+        rows = (row for frame in frames for row in zip(*(frame[c] for c in ("x", "y", "id", "name", "rank", "px", "py"))))
+        done = []
+        for (x, y), run in itertools.groupby(rows, key=lambda row: row[:2]):
+            done.append((Z, x, y, vector_tiles.encode("place", [(int(i), 1, {"name": n, "rank": int(k)}, [[(int(a), int(b))]]) for _, _, i, n, k, a, b in run])))
+            if len(done) == 1000:
+                yield pd.DataFrame(done, columns=["z", "x", "y", "data"])
+                done = []
+        if done:
+            yield pd.DataFrame(done, columns=["z", "x", "y", "data"])
+
+    # tiles lie side by side in sorted partitions, so each is one run of rows
+    tiles = at.repartition("x", "y").sortWithinPartitions("x", "y", "id").mapInPandas(pack, "z int, x long, y long, data binary")
     found = vector_tiles.features(tiles).where("layer = 'place' and kind = 'POINT'")
+    point = F.col("paths")[0][0]
     return found.select(F.col("feature_id").alias("id"), "x", "y", point["x"].alias("px"), point["y"].alias("py"), F.col("props")["name"]["s"].alias("name"), F.col("props")["rank"]["l"].alias("rank"))
