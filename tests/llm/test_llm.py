@@ -246,6 +246,15 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
 # 6 sharding
 
 
+@pytest.mark.parametrize("most", [0, 4096])
+def test_ranks_are_gapless_with_and_without_a_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BROADCAST", most)
+    df = spark.range(300).selectExpr("id", "id % 3 as k")
+    got = common.ranked(df, ["k"], ["id"], F.xxhash64("id"), 10, 300, "r").collect()
+    assert all(sorted(r.r for r in got if r.k == k) == list(range(100)) for k in range(3))
+    assert sorted(r.r for r in common.ranked(df, [], ["id"], F.xxhash64("id"), 10, 300, "r").collect()) == list(range(300))
+
+
 def test_shards_are_even_and_keep_groups(spark):
     rng = random.Random(10)
     links = ["hot"] * 900 + [f"g{i // 3}" for i in range(600)] + [None] * 1003

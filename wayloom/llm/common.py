@@ -40,21 +40,25 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(_JAVA_WORD), F.lit(0))
 
 
+#: Buckets of a value whose sizes are broadcast.
+MOST_BROADCAST = 4096
+
+
 def ranked(df: DataFrame, by: list[str], order: list[str], spread: Column, per_bucket: int, rows: int, name: str) -> DataFrame:
     """Adds name: a gapless rank from 0 inside each value of `by`, without one task holding a value's rows.
 
     Rows are dealt to buckets by `spread` (a long); bucket sizes are summed up in a table of at most
-    (values of by) x buckets rows, and rows are numbered inside their bucket only. The order is that of
+    (values of by) x buckets rows, broadcast up to MOST_BROADCAST buckets, and rows are numbered inside their bucket only. The order is that of
     (bucket, order)."""
     from pyspark.sql import Window
 
-    n = max(1, min(4096, rows // per_bucket + 1))
+    n = max(1, rows // per_bucket + 1)
     df = df.withColumn("_bucket", F.pmod(spread, F.lit(n)).cast("int"))
     sizes = df.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order)
-    out = df.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(offsets), [*by, "_bucket"])
+    out = df.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(offsets) if n <= MOST_BROADCAST else offsets, [*by, "_bucket"])
     return out.withColumn(name, F.col("_offset") + F.col("_row") - 1).drop("_bucket", "_row", "_offset")
 
 
