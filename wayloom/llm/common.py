@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from wayloom.operators.shared import cut
 
-__all__ = ["WORD", "ascii_lower", "batched", "cut", "extended", "ranked", "table", "words"]
+__all__ = ["WORD", "ascii_lower", "batched", "cut", "extended", "ranked", "table", "unused", "words"]
 
 #: Words after lower-casing: runs of digits, a-z and every character beyond ASCII; and the same as Java reads it faster.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,6 +62,16 @@ def ranked(df: DataFrame, by: list[str], order: list[str], spread: Column, per_b
     return out.withColumn(name, F.col("_offset") + F.col("_row") - 1).drop("_bucket", "_row", "_offset")
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores put before it as it takes to differ from all columns (in any case of letters)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def extended(df: DataFrame, fields: str) -> StructType:
     """The schema of df with more fields, given as in a CREATE TABLE."""
     return StructType(df.schema.fields + StructType.fromDDL(fields).fields)

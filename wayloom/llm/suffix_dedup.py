@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import batched, cut, extended, table
+from wayloom.llm.common import batched, cut, extended, table, unused
 from wayloom.llm.word_hashes import mix, powers, text_pieces
 
 LENGTH, GRAM = 100, 24
@@ -378,10 +378,11 @@ def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
     returns; different texts of one doc_id are documents of their own, in the order of a hash. Rows with a null doc_id are not compared and stay whole. A string doesn't
     cross documents. Long texts are looked at in chunks; other columns stay, but for those of the names that are added; an empty table gives no rows."""
     made = ("raw", "n_bytes", "n_removed", "n_spans")
-    spans = repeated(docs.select("doc_id", F.col(text).alias("text"))).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
     kept = [c for c in docs.columns if c not in made]
-    own = docs.select(*kept, document_key(F.col(text)).alias("_hash"))
-    rows = own.join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col("_doc")) & (F.col("_hash") == F.col("_key")), "left").select(*kept, "_spans")
+    doc, key, own, found = unused(kept, "_doc", "_key", "_hash", "_spans")
+    spans = repeated(docs.select("doc_id", F.col(text).alias("text"))).select(F.col("doc").alias(doc), F.col("key").alias(key), F.col("spans").alias(found))
+    rows = docs.select(*kept, document_key(F.col(text)).alias(own))
+    rows = rows.join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(key)), "left").select(*kept, found)
     schema = extended(docs.select(*kept), "raw binary, n_bytes long, n_removed long, n_spans long")
     where = kept.index(text)
 

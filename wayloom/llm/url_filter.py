@@ -43,8 +43,8 @@ def with_rule(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
         return F.struct(u["h"].alias("host"), u["p"].alias("path"), F.get(fits, F.lit(0)).alias("r"))
 
     asked = F.array(F.struct(url_host(F.col("url")).alias("h"), url_path(F.col("url")).alias("p")))
-    out = df.select("*", F.inline(F.transform(asked, judged)))  # a generator, so that nothing is computed twice
-    return out.select(*df.columns, "host", "path", F.concat("r.h", "r.p").alias("rule"), F.col("r.v").alias("_verdict"))
+    out = df.select(F.struct(*df.columns).alias("_own"), F.inline(F.transform(asked, judged)))  # a generator, so that nothing is computed twice
+    return out.select("_own.*", "host", "path", F.concat("r.h", "r.p").alias("rule"), F.col("r.v").alias("_verdict"))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -85,8 +85,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], redirects:
     verdict = F.when((F.col("blocked") == 1) & (F.coalesce("allowed", F.lit(0)) == 0), "block").otherwise("allow")
     spread = cut(groups.join(judged, "component").where("allowed = 1 or blocked = 1").select(F.col("node").alias("_key"), verdict.alias("_group")))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    out = with_rule(pages.select(*kept), rules).withColumn("_key", url_key(F.col("url"))).join(spread, "_key", "left")
-    return out.select(*kept, "host", "path", "rule", F.coalesce("_verdict", "_group", F.lit("allow")).alias("verdict"))
+    out = with_rule(pages.select("url", F.struct(*kept).alias("_all")), rules).withColumn("_key", url_key(F.col("url"))).join(spread, "_key", "left")
+    return out.select("_all.*", "host", "path", "rule", F.coalesce("_verdict", "_group", F.lit("allow")).alias("verdict"))
 
 
 def op10_url_filter(spark, sf_dir):

@@ -93,7 +93,7 @@ def shingles(hashes: np.ndarray, lengths: np.ndarray, n: int) -> tuple[np.ndarra
     total = np.zeros(len(hashes), dtype=np.uint64)
     for k in range(n):
         part = np.zeros(len(hashes), dtype=np.uint64)
-        part[: len(hashes) - k] = hashes[k:]
+        part[: max(0, len(hashes) - k)] = hashes[k:]
         part[left <= k] = np.uint64(k + 1)
         total = mix(total + part)
     whole = (left >= n) | (np.arange(len(hashes)) == (ends - lengths)[doc])
