@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
-from wayloom.operators.shared import cut
+from wayloom.operators.shared import components, cut
 
 KEPT_MATCHES = 5
 
@@ -84,7 +84,7 @@ def search(edges: list[tuple], start: int, goal: int, turn_cost: float, forbidde
     return None
 
 
-def _leads_on(edges: DataFrame, restrictions: DataFrame | None) -> DataFrame:
+def leads_on(edges: DataFrame, restrictions: DataFrame | None) -> DataFrame:
     """edges with `on`: whether any edge leaves its end, and `banned`: the nodes that may not follow it (restrictions(from_n, via, to_n))."""
     starts = edges.select(F.col("a").alias("_s")).distinct().withColumn("on", F.lit(True))
     out = edges.join(starts, F.col("b") == F.col("_s"), "left").drop("_s").withColumn("on", F.coalesce("on", F.lit(False)))
@@ -102,8 +102,7 @@ def routes(requests: DataFrame, edges: DataFrame, margin: int, turn_cost: float
     the corridor's rim could be cheaper than what was found, so the result is that of the whole graph; one without a path gives no rows.
     Alternatives make the links of earlier ones cost half as much again. edges.cx, cy: the cell of the edge's start; every edge of a node has the same.
     coefficient: a cost that no edge undercuts for its length in the plane (0 is always right, more is faster)."""
-    box = lambda a, b, by: F.sequence(F.least(a, b) - by, F.greatest(a, b) + by)
-    led = cut(_leads_on(edges, restrictions).select("a", "b", "cost", "ax", "ay", "bx", "by", "cx", "cy", "on", "banned"))
+    led = cut(leads_on(edges, restrictions).select("a", "b", "cost", "ax", "ay", "bx", "by", "cx", "cy", "on", "banned"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rid, start, goal = (int(frame[c].iloc[0]) for c in ("rid", "start", "goal"))
@@ -129,12 +128,31 @@ def routes(requests: DataFrame, edges: DataFrame, margin: int, turn_cost: float
             rows = [(rid, -1, 0.0, -1, -1)]
         return pd.DataFrame(rows, columns=["rid", "alternative", "cost", "seq", "node"])
 
-    out, left = None, requests
+    return in_corridors(requests, led, margin, run, "rid long, alternative int, cost double, seq int, node long", "alternative")
+
+
+def in_corridors(requests: DataFrame, led: DataFrame, margin: int, run, schema: str, mark: str) -> DataFrame:
+    """What run(frame of one request and the edges led(a, b, cx, cy, ...) of its corridor) gives; requests(rid, start, goal, x1, y1, x2, y2).
+
+    Rows whose `mark` is below 0 say that the corridor didn't prove the result: their requests go on with one more than twice as wide. Corridors hold cells
+    with edges alone, so one is never larger than the graph, and a request whose goal no chain of edges connects to its start isn't searched."""
+    parts = components(led.select("a", "b"))
+    of = lambda end: parts.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    linked = requests.join(of("start"), "start").join(of("goal"), "goal").where("_start = _goal").select(*requests.columns)
+    left = cut(linked.union(requests.where("start = goal").join(parts.select(F.col("node").alias("start")), "start", "left_anti").select(*requests.columns)))
+    cells = cut(led.select("cx", "cy").distinct())
+    size = cells.agg(F.min("cx").alias("x1"), F.max("cx").alias("x2")).first()
+    out = None
     while out is None or left.head(1):
-        asked = left.select("rid", "start", "goal", F.explode(box("x1", "x2", margin)).alias("cx"), "y1", "y2").select("rid", "start", "goal", "cx", F.explode(box("y1", "y2", margin)).alias("cy"))
-        found = cut(asked.join(led, ["cx", "cy"], "left").groupBy("rid").applyInPandas(run, "rid long, alternative int, cost double, seq int, node long"))
-        out = found.where("alternative >= 0") if out is None else out.union(found.where("alternative >= 0"))
-        left = cut(requests.join(found.where("alternative < 0").select("rid"), "rid", "left_semi"))
+        low, high = F.least("x1", "x2") - margin, F.greatest("x1", "x2") + margin
+        columns = F.when((low <= size["x2"]) & (high >= size["x1"]), F.sequence(F.greatest(low, F.lit(size["x1"])), F.least(high, F.lit(size["x2"]))))
+        asked = left.select("rid", "start", "goal", "y1", "y2", F.explode_outer(columns).alias("cx"))
+        inside = (F.col("cy") >= F.least("y1", "y2") - margin) & (F.col("cy") <= F.greatest("y1", "y2") + margin)
+        dealt = asked.join(cells, "cx").where(inside).select("rid", "cx", "cy").join(led, ["cx", "cy"]).drop("cx", "cy")
+        found = cut(left.select("rid", "start", "goal").join(dealt, "rid", "left").groupBy("rid").applyInPandas(run, schema))
+        kept = found.where(F.col(mark) >= 0)
+        out = kept if out is None else out.union(kept)
+        left = cut(left.join(found.where(F.col(mark) < 0).select("rid"), "rid", "left_semi"))
         margin = 2 * margin + 1
     return out
 
