@@ -169,19 +169,6 @@ def ascend(altitudes: Column, band: float = 10.0) -> Column:
     return F.aggregate(altitudes, start, step, lambda a: F.floor(a["up"] + 0.5).cast("long"))
 
 
-def turn_command(angle: Column, lower: Column, higher: Column) -> Column:
-    """The command for a turn by its angle (right is positive) and the nearest other ways to the left and right (-181 and 181: none)."""
-    alone = (lower == -181) & (higher == 181)
-    c = F.when((F.abs(angle) >= 179) & (F.abs(angle) <= 180) & alone, "TU").when(angle < -159, "TLU").when(angle < -135, "TSHL")
-    c = c.when((angle < -45) & (angle < -95) & (higher < -30) & (lower < -180), "TSHL").when((angle < -45) & (angle > -85) & (lower > -180) & (higher > -10), "TSLL")
-    c = c.when(angle < -110, "TSHL").when((angle < -45) & (angle > -60), "TSLL").when(angle < -45, "TL").when(angle < -21, "TSLL")
-    c = c.when(angle < -5, F.when((lower < -100) & (higher < 45), "TSLL").when((lower >= -100) & (higher < 45), "KL").when((lower > -35) & (higher > 55), "KR").otherwise("C"))
-    c = c.when(angle < 5, F.when(lower > -30, "KR").when(higher < 30, "KL").otherwise("C"))
-    c = c.when(angle < 21, F.when((lower > -45) & (higher > 100), "TSLR").when((lower > -45) & (higher <= 100), "KR").when((lower < -55) & (higher < 35), "KL").otherwise("C"))
-    c = c.when(angle < 45, "TSLR").when((angle < 135) & (angle < 85) & (higher < 180) & (lower < 10), "TSLR").when((angle < 135) & (angle > 95) & (lower > 30) & (higher > 180), "TSHR")
-    return c.when((angle < 135) & (angle > 110), "TSHR").when((angle < 135) & (angle < 60), "TSLR").when(angle < 135, "TR").when(angle < 159, "TSHR").otherwise("TRU")
-
-
 # What each command is called for people.
 SHOWN = {
     "C": "STRAIGHT", "TL": "TURN_LEFT", "TSLL": "TURN_SLIGHT_LEFT", "TSHL": "TURN_SHARP_LEFT", "TR": "TURN_RIGHT", "TSLR": "TURN_SLIGHT_RIGHT", "TSHR": "TURN_SHARP_RIGHT", "KL": "KEEP_LEFT", "KR": "KEEP_RIGHT",

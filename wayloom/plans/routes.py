@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayloom.operators import graph, routing
+from wayloom.operators import graph, hints, routing
 from wayloom.plans.derived import cte, derived
 from wayloom.plans.registry import query
 
@@ -141,7 +141,7 @@ def elevation_fill(spark, sf_dir):
 @query("hint_commands", """SELECT o_orderkey AS id, CASE WHEN a < -159 THEN 'TLU' WHEN a < -135 THEN 'TSHL' WHEN a < -110 THEN 'TSHL' WHEN a < -60 THEN 'TL' WHEN a < -45 THEN CASE WHEN a > -60 THEN 'TSLL' ELSE 'TL' END WHEN a < -21 THEN 'TSLL' WHEN a < -5 THEN 'C' WHEN a < 5 THEN 'C' WHEN a < 21 THEN 'C' WHEN a < 45 THEN 'TSLR' WHEN a < 60 THEN 'TSLR' WHEN a <= 110 THEN 'TR' WHEN a < 135 THEN 'TSHR' WHEN a < 159 THEN 'TSHR' ELSE 'TRU' END AS command FROM (SELECT o_orderkey, o_orderkey % 357 - 178 AS a FROM orders)""")
 def hint_commands(spark, sf_dir):
     k = F.col("o_orderkey")
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"), routing.turn_command(k % 357 - 178, F.lit(-180.5), F.lit(180.5)).alias("command"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"), hints.turn_command(k % 357 - 178, F.lit(-180.5), F.lit(180.5)).alias("command"))
 
 
 @query("hint_shown", "SELECT o_orderkey AS id, CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'TURN_SLIGHT_LEFT' WHEN 1 THEN 'U_TURN' WHEN 2 THEN 'ARRIVE' END AS shown FROM orders")
