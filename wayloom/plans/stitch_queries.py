@@ -12,7 +12,7 @@ from wayloom.plans.registry import query
 def graph_stitched(spark, sf_dir):
     """Four nodes a fragment, in rows of 40 fragments whose ends come close to the next ones: its nodes after stitching."""
     c, k = F.col("c_custkey"), F.col("k")
-    nodes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(c, F.explode(F.sequence(F.lit(0), F.lit(3))).cast("long").alias("k"))
+    nodes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(c, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("k"))
     nodes = nodes.select(
         c.alias("fid"), k, (c * 4 + k).alias("nid"), (c % 40 * 60 + k * 25 + c * (k + 1) * 13 % 11).alias("x"), (F.floor(c / 40) * 40 + c * (k * 3 + 1) * 7 % 23).alias("y")
     )
