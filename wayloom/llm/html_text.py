@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,20 @@ _BLOCKY = frozenset("address article aside blockquote div dl fieldset footer for
 # Kinds of places, in the order of the feature columns.
 _KINDS = ("article", "menu", "header", "footer", "aside", "form", "advert", "comment", "notice")
 _BY_TAG = {"article": "article", "main": "article", "nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "dialog": "notice", "address": "footer"}
-_BY_NAME = [
-    ("comment", re.compile(r"(?:^|[^a-z])(?:user-?)?(?:comments?|replies|respond|disqus|discussion)(?:[^a-z]|$)")),
-    ("advert", re.compile(r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|adslot|banner|promo(?:tion)?s?|sponsor(?:ed)?|outbrain|taboola)(?:[^a-z]|$)")),
-    ("notice", re.compile(r"(?:^|[^a-z])(?:cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|paywall)(?:[^a-z]|$)")),
-    ("menu", re.compile(r"(?:^|[^a-z])(?:nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toc|tabs|skip)(?:[^a-z]|$)")),
-    ("aside", re.compile(r"(?:^|[^a-z])(?:sidebar|side|aside|related|recommended|widgets?|trending|popular|share|sharing|social|tags)(?:[^a-z]|$)")),
-    ("footer", re.compile(r"(?:^|[^a-z])(?:footer|foot|copyright|legal|colophon)(?:[^a-z]|$)")),
-    ("header", re.compile(r"(?:^|[^a-z])(?:header|masthead|topbar|branding|logo)(?:[^a-z]|$)")),
-    ("form", re.compile(r"(?:^|[^a-z])(?:form|search|login|signup)(?:[^a-z]|$)")),
-    ("article", re.compile(r"(?:^|[^a-z])(?:article|post|entry|content|story|main|body-?text|article-?body)(?:[^a-z]|$)")),
-]
+# What a part of a class, id or role may be called after, and what may follow that word: "share" and "share-buttons", but not "share-price".
+_PLACED = "list|lists|box|boxes|link|links|button|buttons|bar|widget|widgets|wrap|wrapper|wrapping|container|section|area|block|blocks|items?|inner|outer|top|bottom|left|right|header|body|title|text|content|slot|unit|form|row|col|column|panel|group|posts?|articles?|stories|thread|icons?|message|menu|nav|[0-9]+"
+_WORDS = {
+    "comment": "user-?comments?|comments?|replies|respond|disqus|discussion",
+    "advert": "ads?|adverts?|advertisements?|adslot|banner|promos?|promotions?|sponsor|sponsored|outbrain|taboola",
+    "notice": "cookies?|consent|gdpr|notices?|alerts?|popup|modal|newsletter|subscribe|paywall",
+    "menu": "nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|toc|tabs|skip",
+    "aside": "sidebar|side|aside|related|recommended|widgets?|trending|popular|share|sharing|social|tags",
+    "footer": "footer|foot|copyright|legal|colophon",
+    "header": "page-?header|site-?header|masthead|topbar|branding|logo",
+    "form": "form|search|login|signup",
+    "article": "article|post|entry|content|story|main|body-?text|article-?body",
+}
+_BY_NAME = [(kind, re.compile(rf"(?:[a-z0-9]+[-_]+)*(?:{words})(?:[-_]+(?:{_PLACED}))*")) for kind, words in _WORDS.items()]
 _NO_TAG = r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?"
 _TAG = r"<(/?)([A-Za-z][^\s/>]*)"
 # Comments and tags; a tag whose quotes don't close ends at the first >. Where no > is left, only the first kinds can be.
@@ -43,10 +47,14 @@ _TOKEN = re.compile(rf"""{_NO_TAG}|{_TAG}((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|{_T
 _LAST = re.compile(_NO_TAG, re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HIDE = re.compile(r"(?i)hidden|display\s*:\s*none")
 _NONE = re.compile(r"(?i)display\s*:\s*none")
 _ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 
+#: Inline elements inside each other that are told apart.
+_DEEP = 256
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", *_KINDS)
 
 
@@ -61,12 +69,11 @@ class Block:
 def _kind(tag: str, attrs: str) -> frozenset[str]:
     found = {_BY_TAG[tag]} if tag in _BY_TAG else set()
     if attrs and tag not in ("html", "body"):
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(attrs)).lower()
-        if names:
-            for kind, pattern in _BY_NAME:
-                if pattern.search(names):
-                    found.add(kind)
-                    break
+        names = [n for a, b, c in _NAMES.findall(attrs) for n in _HUMP.sub("-", a or b or c).lower().split()]
+        for kind, pattern in _BY_NAME if names else ():
+            if any(pattern.fullmatch(n) for n in names):
+                found.add(kind)
+                break
     return frozenset(found)
 
 
@@ -83,12 +90,15 @@ def _hides(attrs: str) -> bool:
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order: runs of text between tags that break lines, with character references decoded
-    and white space made single. Text in comments, scripts, styles and other hidden elements is none. Unclosed and
+    and white space made single. Text in comments, scripts, styles and other hidden elements is none. A block stands in the kinds of places that
+    all of its text stands in: an inline element inside a sentence neither ends its block nor places it. Unclosed and
     misnested tags are borne; a page without markup is one block."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []  # name, kinds of places inside it, hidden
+    stack: list[tuple[str, frozenset[str], bool, int]] = []  # name, kinds of places inside it, hidden, place of the last element here that breaks lines
+    open_: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
+    within: list[frozenset[str]] = []  # kinds of places of each part that isn't white space alone
     in_link, heading, kinds, hidden = 0, False, frozenset(), False
     pos = 0
 
@@ -96,17 +106,31 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(text, len(html.unescape(" ".join(linked)).split()), heading, kinds))
+                out.append(Block(text, len(html.unescape(" ".join(linked)).split()), heading, frozenset.intersection(*within) if within else kinds))
             parts.clear()
             linked.clear()
+            within.clear()
+
+    def push(tag: str, attrs: str) -> None:
+        above, was, base = stack[-1][1:] if stack else (frozenset(), False, -1)
+        stack.append((tag, above | _kind(tag, attrs), was or tag in _HIDDEN or _hides(attrs), base if tag in _INLINE else len(stack)))
+        open_[tag] += 1
+
+    def pop(at: int) -> None:
+        open_.subtract(x[0] for x in stack[at:])
+        del stack[at:]
+
+    def put(text: str) -> None:
+        parts.append(text)
+        if in_link:
+            linked.append(text)
+        if not text.isspace():
+            within.append(kinds)
 
     last = page.rfind(">")
     while m := (_TOKEN if pos <= last else _LAST).search(page, pos):
         if m.start() > pos and not hidden:
-            text = page[pos : m.start()]
-            parts.append(text)
-            if in_link:
-                linked.append(text)
+            put(page[pos : m.start()])
         pos = m.end()
         if m.re is _LAST or not (m[2] or m[5]):
             continue
@@ -128,41 +152,31 @@ def blocks(page: str) -> list[Block]:
             else:
                 in_link = 0
             continue
-        if tag in _INLINE and not hidden:
-            if not closing and tag not in _VOID and (_hides(attrs) or _kind(tag, attrs)):
-                stack.append((tag, kinds | _kind(tag, attrs), hidden or _hides(attrs)))
-                flush()
-                _, kinds, hidden = stack[-1]
-            elif closing and stack and stack[-1][0] == tag:
-                flush()
-                stack.pop()
-                _, kinds, hidden = stack[-1] if stack else ("", frozenset(), False)
+        base = stack[-1][3] if stack else -1
+        if tag in _INLINE:
+            if not closing and tag not in _VOID and not attrs.endswith("/") and (len(stack) - base < _DEEP or not hidden and _hides(attrs)):
+                push(tag, attrs)
+            elif closing and open_[tag] > 0:
+                at = next((i for i in range(len(stack) - 1, base, -1) if stack[i][0] == tag), -1)
+                if at >= 0:
+                    pop(at)
+            kinds, hidden = stack[-1][1:3] if stack else (frozenset(), False)
             continue
         flush()
         if tag in _VOID:
             continue
         in_link = 0 if tag in _BLOCKY else in_link
         if not closing:
-            for name in (_CLOSES.get(tag, ()) if tag in _CLOSES else ()):
-                if stack and stack[-1][0] == name:
-                    stack.pop()
-            while stack and tag in _BLOCKY and stack[-1][0] == "p":
-                stack.pop()
-            above, was = (stack[-1][1], stack[-1][2]) if stack else (frozenset(), False)
+            if base >= 0 and (stack[base][0] in _CLOSES.get(tag, ()) or stack[base][0] == "p" and tag in _BLOCKY):
+                pop(base)
             if not attrs.endswith("/"):
-                stack.append((tag, above | _kind(tag, attrs), was or tag in _HIDDEN or _hides(attrs)))
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-        _, kinds, hidden = stack[-1] if stack else ("", frozenset(), False)
+                push(tag, attrs)
+        elif open_[tag] > 0:
+            pop(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+        kinds, hidden = stack[-1][1:3] if stack else (frozenset(), False)
         heading = not closing and tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     if pos < len(page) and not hidden:
-        rest = page[pos:]
-        parts.append(rest)
-        if in_link:
-            linked.append(rest)
+        put(page[pos:])
     flush()
     return out
 
@@ -211,16 +225,36 @@ def judge(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
-_PROSE = ("the river rises in the northern hills and runs south for most of its length before it turns to the coast where three towns share a harbour " * 4).split()
+_PROSE = ("the river rises in the northern hills and runs south for most of its length before it turns to the coast where three towns share a harbour " * 8).split()
+
+
+def _plain_layouts() -> list[tuple[str, list[bool]]]:
+    """Pages of bare div, p and list elements, so that only words and links of a block and its neighbours tell text from the rest: menus, teasers and
+    lists of links before, between and after paragraphs of all lengths, with links inside them, and short lines at the end."""
+    out, say = [], lambda n, at=0: " ".join(_PROSE[at % 20 : at % 20 + n]).capitalize()
+    link = lambda n, at=0: f"<a href='/{at}'>{say(n, at)}</a>"
+    for i in range(48):
+        menu = [(f"<div>{link(1 + (i + k) % 3, k)}</div>", False) for k in range(3 + i % 4)]
+        teasers = [(f"<div>{link(5 + (i + 2 * k) % 8, k)}</div>", False) for k in range(2 + i % 3)]
+        bar = [(f"<div>{link(2, 1)} | {link(1, 2)} | {link(2, i)}</div>", False)]
+        long = [(f"<p>{say(25 + (i * 7 + 13 * k) % 70, k)}.</p>", True) for k in range(2 + i % 3)]
+        linked = [(f"<p>{say(12 + i % 9)} {link(2 + i % 4, i)} {say(14, i)}.</p>", True)]
+        short = [(f"<p>{say(3 + i % 6, i)}.</p>", True)]
+        heads = [(f"<h1>{say(3 + i % 7, i)}</h1>", True)] * (i % 3 > 0)
+        items = [(f"<li>{say(6 + (i + k) % 9, k)}.</li>", True) for k in range(2 + i % 2)]
+        end = [(f"<div>{say(2 + i % 5, i)}</div>", False), (f"<div>{link(1, i)} {link(2, i + 1)}</div>", False)]
+        middle = [long + short + linked, linked + long, long + items + linked, long[:1] + short + long[1:] + linked][i % 4]
+        for parts in (menu + heads + middle + bar + end, bar + teasers + heads + middle + teasers + end, menu + bar + heads + middle + teasers + end[:1], teasers + menu + heads + long + bar + end)[i % 2 :: 2]:
+            out.append(("".join(p for p, _ in parts), [y for _, y in parts]))
+    return out
 
 
 def labelled_pages() -> list[tuple[str, list[bool]]]:
-    """The small labelled table: pages, and whether each of their blocks is main text.
-
-    Its pages cross layouts with short and long texts in every place, so that lengths alone don't tell the places apart."""
+    """The small labelled table: pages, and whether each of their blocks is main text. Bare layouts, which words and links tell apart, and layouts
+    with texts of all lengths in places that are named."""
     lengths = [(1, 40, 2, 90), (30, 1, 12, 5), (3, 3, 60, 1), (100, 20, 1, 2)]
     say = lambda n, at=0: " ".join(_PROSE[at : at + n]).capitalize() + "."
-    out = []
+    out = _plain_layouts()
     for i, body in enumerate(lengths):
         for j, rest in enumerate(lengths):
             aside, fine, more = say(rest[0], i), say(rest[1], j), say(rest[3], i + j)

@@ -93,37 +93,43 @@ def _forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS) -> DataFrame:
     """vectors(vec_id, embedding array<float>) -> vec_id, n_links, component_id, kept: one row a row of vectors.
 
-    Two vectors are linked if their cosine in double precision is `cosine` at least. Null embeddings, and
-    those that are zero, hold nulls, NaN or infinities, or have another length than most, link with nothing. Rows of one vec_id are one vector (the
-    least embedding counts); rows with a null vec_id link with nothing and have a null component.
+    Two vectors are linked if they are of one length and their cosine in double precision is `cosine` at least. Null embeddings, and
+    those that are zero or hold nulls, NaN or infinities, link with nothing. Rows with equal vec_id and embedding are one vector, rows of one vec_id with
+    different embeddings are different ones (which may link with each other); component_id is the least vec_id that links reach. Rows with a null vec_id link
+    with nothing and have a null component. Vectors of each length are compared by themselves; lengths are taken to be few.
 
     Blocks of rotated coordinates are joined one by one. Vectors are laid in cells around pivots (vectors, one for CHUNK of them, MOST_PIVOTS at most); only
     cells that can hold a pair within the block's budget meet, in chunks of at most about CHUNK vectors, so that neither a hot cell
     nor a group of copies comes into one task. Each chunk is dealt out to its meetings, each meeting is one row of a join. A task gives counts and a forest, never its pairs."""
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "vec_id long, n long, other long")
-    named = vectors.where("vec_id is not null and embedding is not null")
-    sizes = named.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    size = sizes[0]["d"] if sizes else 0
+    rows = cut(vectors.select("vec_id", "embedding", F.monotonically_increasing_id().alias("row")))
     usable = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    good = named.where(F.size("embedding") == size).where(usable).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    found = empty
-    if size:
-        good = cut(good)
-        total = good.count()
-        turn, slices = rotation(size), block_slices(size, blocks)
-        wanted = max(1, min(MOST_PIVOTS, total // CHUNK))
-        chosen = good.orderBy(F.xxhash64("vec_id")).limit(wanted).collect()  # MOST_PIVOTS at most
-        pivots = unit(np.array([r["embedding"] for r in chosen])) @ turn if chosen else np.zeros((0, size))
-        if len(chosen):
-            found = _links(good, pivots, turn, slices, cosine)
+    good = rows.where("vec_id is not null and embedding is not null").where(usable)
+    often = cut(good.groupBy("vec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("vec_id"))
+    same = None
+    if often.head(1):  # equal rows are compared once
+        several = good.join(often, "vec_id", "left_semi")
+        first = several.groupBy(F.col("vec_id").alias("v"), F.col("embedding").alias("e")).agg(F.min("row").alias("first"))
+        same = cut(several.join(first, (F.col("vec_id") == F.col("v")) & (F.col("embedding") == F.col("e"))).where("row <> first").select("row", "first"))
+        good = good.join(same, "row", "left_anti")
+    good = cut(good.select(F.col("row").alias("vec_id"), F.col("vec_id").alias("id"), "embedding", F.size("embedding").alias("d")))
+    found = spark.createDataFrame([], "vec_id long, n long, other long")
+    for size, total in sorted((r["d"], r["n"]) for r in good.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row a length
+        if total > 1:
+            part = good.where(F.col("d") == size).select("vec_id", "embedding")
+            turn, slices = rotation(size), block_slices(size, blocks)
+            chosen = part.orderBy(F.xxhash64("vec_id")).limit(max(1, min(MOST_PIVOTS, total // CHUNK))).collect()  # MOST_PIVOTS at most
+            found = found.union(_links(part, unit(np.array([r["embedding"] for r in chosen])) @ turn, turn, slices, cosine))
     found = cut(found)
-    edges = found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b"))
-    groups = components(edges)
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    known = counts.join(groups.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumnRenamed("vec_id", "v")
-    out = vectors.select("vec_id").join(known, F.col("vec_id") == F.col("v"), "left")
-    component = F.coalesce("component", "vec_id")
+    groups = components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
+    named = groups.join(good.select(F.col("vec_id").alias("node"), "id"), "node")
+    least = named.groupBy("component").agg(F.min("id").alias("least"))
+    known = found.groupBy("vec_id").agg(F.sum("n").alias("n")).join(groups.join(least, "component").select(F.col("node").alias("vec_id"), "least"), "vec_id", "left").withColumnRenamed("vec_id", "_row")
+    asked = rows.select("vec_id", "row")
+    if same is not None:
+        asked = asked.join(same, "row", "left").select("vec_id", F.coalesce("first", "row").alias("row"))
+    out = asked.join(known, F.col("row") == F.col("_row"), "left")
+    component = F.coalesce("least", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id").eqNullSafe(component)).alias("kept"))
 
 
