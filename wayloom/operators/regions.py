@@ -94,6 +94,14 @@ def halo(corners: DataFrame) -> DataFrame:
     return around.join(corners, ["a", "b"], "left_anti").select(geo.bucket_name(F.col("a"), F.col("b")).alias("bucket"))
 
 
+def box_buckets(boxes: DataFrame) -> DataFrame:
+    """boxes(id, w, s, e, n in E6 from the corner of the world) -> (id, bucket): the 5-degree buckets that a box touches. Nulls touch none."""
+    steps = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / 5_000_000).cast("int"), F.floor(F.col(high) / 5_000_000).cast("int")))
+    columns = boxes.where("w <= e and s <= n").select("id", "s", "n", steps("w", "e").alias("a"))
+    cells = columns.select("id", "a", steps("s", "n").alias("b"))
+    return cells.select("id", geo.bucket_name(F.col("a") * 5 - 180, F.col("b") * 5 - 90).alias("bucket"))
+
+
 def grid(spark: SparkSession, west: float, south: float, east: float, north: float) -> DataFrame:
     """The names of all buckets that a bounding box touches."""
     a = spark.range(1).select(F.explode(F.sequence(geo.bucket_corner(F.lit(west), 180), geo.bucket_corner(F.lit(east), 180), F.lit(5))).alias("a"))

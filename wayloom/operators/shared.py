@@ -51,10 +51,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     for _ in range(most_rounds):
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).first()
-        if not seen["n"] or mark == (seen["n"], seen["h"]):
+        seen = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h"), F.sum(F.shiftright(F.xxhash64("b", "a"), 20)).alias("g")).first()
+        if not seen["n"] or mark == tuple(seen):
             break
-        mark = (seen["n"], seen["h"])
+        mark = tuple(seen)
         now = cut(_star(_star(now, large=True), large=False))
     else:
         raise RuntimeError(f"no fixed point after {most_rounds} rounds")

@@ -188,6 +188,11 @@ def needed(spark, sf_dir):
     return corner(derived(spark, sf_dir, "points")).join(corner(derived(spark, sf_dir, "places").where("id % 2 = 0")), "bucket", "left_anti")
 
 
-@query("archive_buckets", "SELECT CASE WHEN a < 0 THEN 'W' || -a ELSE 'E' || a END || '_' || CASE WHEN b < 0 THEN 'S' || -b ELSE 'N' || b END AS bucket FROM (SELECT unnest(range(-15, 41, 5)) AS a), (SELECT unnest(range(35, 71, 5)) AS b)")
+_BOXES = "b AS (SELECT id, greatest(ilon - (id % 7 + 1) * 1500000, 0) AS w, least(ilon + (id % 5 + 1) * 2500000, 359999999) AS e, greatest(ilat - (id % 4) * 3000000, 0) AS s, least(ilat + (id % 9) * 1000000, 179999999) AS n FROM anchors)"
+
+
+@query("archive_buckets", f"WITH {cte('anchors')}, {_BOXES}, x AS (SELECT id, unnest(range(w // 5000000, e // 5000000 + 1)) * 5 - 180 AS a, s, n FROM b), y AS (SELECT id, a, unnest(range(s // 5000000, n // 5000000 + 1)) * 5 - 90 AS b FROM x) SELECT id, CASE WHEN a < 0 THEN 'W' || -a ELSE 'E' || a END || '_' || CASE WHEN b < 0 THEN 'S' || -b ELSE 'N' || b END AS bucket FROM y")
 def archive_buckets(spark, sf_dir):
-    return regions.grid(spark, -12.3, 36.1, 41.0, 70.2)
+    """The buckets that the box of an archive around each anchor covers."""
+    boxes = spark.sql("WITH " + _BOXES.replace("FROM anchors", "FROM {anchors}") + " SELECT * FROM b", anchors=derived(spark, sf_dir, "anchors"))
+    return regions.box_buckets(boxes.select("id", *(F.col(c).cast("long").alias(c) for c in "wsen")))

@@ -85,10 +85,10 @@ def insert_or_ignore(spark, sf_dir):
 _REGION = "c{n} AS (SELECT id, name, rank, ilon, ilat FROM places WHERE id % 3 = {n} AND regexp_matches(lower(name), '(^| )red') ORDER BY rank, abs(ilon - 193400000) + abs(ilat - 142500000), id LIMIT 500)"
 
 
-@query("search_multi_region", f"WITH {cte('places')}, {_REGION.format(n=0)}, {_REGION.format(n=1)} SELECT id, name, rank, {_METRES} AS metres FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1) ORDER BY rank, metres, id LIMIT 20")
+@query("search_multi_region", f"WITH {cte('places')}, {_REGION.format(n=0)}, {_REGION.format(n=1)}, {_REGION.format(n=2)} SELECT id, name, rank, {_METRES} AS metres FROM (SELECT * FROM c0 UNION ALL SELECT * FROM c1 UNION ALL SELECT * FROM c2) ORDER BY rank, metres, id LIMIT 20")
 def multi_region(spark, sf_dir):
     places = derived(spark, sf_dir, "places").select("id", "name", "rank", "ilon", "ilat")
-    return search.search_regions([places.where("id % 3 = 0"), places.where("id % 3 = 1")], "red", LON, LAT).select("id", "name", "rank", "metres")
+    return search.search_regions([places.where(F.col("id") % 3 == n) for n in range(3)], "red", LON, LAT).select("id", "name", "rank", "metres")
 
 
 @query(
