@@ -19,6 +19,7 @@ from wayloom.functions import geo
 
 CHECK = "_check"
 STATE = "bucket string, state string, build string, nodes long, fingerprint string"
+ROWS_PER_FILE = 1_000_000
 #: States of a bucket. A bucket that was asked for and has no rows is empty, and has no build.
 BUILT, EMPTY = "built", "empty"
 
@@ -69,10 +70,12 @@ def publish(spark: SparkSession, root: str, frames: dict[str, DataFrame], asked:
         columns = [c for c in frame.columns if c != "bucket"]
         own = frame.join(F.broadcast(names), "bucket", "left_semi")  # bounded by the buckets of the world
         path = f"{root}/{kind}/build={build}"
-        own.withColumn(CHECK, F.xxhash64(*columns)).repartition("bucket", F.pmod(F.col(CHECK), F.lit(16))).write.partitionBy("bucket").parquet(path)
+        given = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("given"))
+        # a small bucket is one file, a large one is dealt out by its rows' checksums
+        dealt = own.join(F.broadcast(given), "bucket").withColumn(CHECK, F.xxhash64(*columns))
+        dealt.repartition("bucket", F.pmod(F.col(CHECK), F.ceil(F.col("given") / ROWS_PER_FILE))).drop("given").write.partitionBy("bucket").parquet(path)
         schema = own.select(*columns, F.lit(0).cast("long").alias(CHECK), F.lit("").alias("bucket")).schema
         staged[kind] = spark.read.schema(schema).parquet(path)
-        given = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("given"))
         met = given.join(_sound(staged[kind], columns), "bucket", "full")
         lost = F.when(F.coalesce("given", F.lit(0)) != F.coalesce("rows", F.lit(0)), f"{kind}: rows lost").when(F.col("broken") > 0, f"{kind}: rows broken")
         part = met.select("bucket", lost.alias("reason"), F.lit(kind).alias("kind"), F.coalesce("rows", F.lit(0)).cast("long").alias("rows"))
