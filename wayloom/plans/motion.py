@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayloom.operators import tracks
 from wayloom.plans.derived import cte, derived
 from wayloom.plans.registry import query
-from wayloom.streaming import fusion
+from wayloom.streaming import fusion, sensors
 
 _W = "WINDOW w AS (PARTITION BY session ORDER BY ms, event_id)"
 _SUM = "WINDOW w AS (PARTITION BY session ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING)"
@@ -96,3 +96,12 @@ def route_progress(spark, sf_dir):
     at = tracks.positions(_fixes(spark, sf_dir)).withColumn("n", F.row_number().over(tracks.by("session", "ms", "event_id")))
     points = at.where("n % 5 = 1").selectExpr("session as route", "n as seq", "x + 10.0D as x", "y - 7.0D as y", "n % 45 = 41 as stop", "n % 10 = 1 as turn")
     return tracks.route_progress(at, points)
+
+
+@query("nav_sensors")
+def sensed(spark, sf_dir):
+    """Every third event of a session is a compass reading and every fifth a step, the others are fixes: one ordered stream each. Traces by hand and a stream test it."""
+    at = tracks.positions(_fixes(spark, sf_dir))
+    kind = "CASE WHEN event_id % 3 = 1 THEN 'heading' WHEN event_id % 5 = 2 THEN 'step' ELSE 'fix' END AS kind"
+    events = at.selectExpr("session", "ms", kind, "cast(x as double) as x", "cast(y as double) as y", "cast(v as double) * 0.1 as speed", "10.0D as accuracy", "cast(event_id * 37 % 360 as double) as bearing")
+    return sensors.sensed(events)
