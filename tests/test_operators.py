@@ -309,3 +309,16 @@ def test_fusion_doubts_a_far_fix_once():
     assert not out[5] and out[1] == 0.0
     s, out = fusion.step(s, 2000, 500.0, 0.0, 1.0, 5.0)
     assert out[5] and out[1] == 500.0
+
+
+def test_nearest_chunks_first(spark):
+    tiles = spark.createDataFrame([(x, y) for x in range(60, 70) for y in range(30, 37)], "x long, y long")
+    seen = [(r.cx, r.cy, r.x, r.y) for r in regions.nearest_first(tiles, 7, (10.0, 80.0), 4).collect()]
+    assert len(set(seen)) == len(seen) == 70
+    chunks = list(dict.fromkeys((cx, cy) for cx, cy, *_ in seen))
+    # tile 64 begins at 0 degrees east; the anchor lies to the north of all
+    assert chunks[0][1] == 0 and {c[1] for c in chunks[:3]} == {0} and {c[1] for c in chunks[3:]} == {1}
+    assert [r[2:] for r in seen[:5]] == sorted(r[2:] for r in seen[:5])
+    plain = [(r.cx, r.cy) for r in regions.nearest_first(tiles, 7, None, 4).collect()]
+    assert plain == sorted(plain)
+    assert regions.nearest_first(tiles.limit(0), 7, (0.0, 0.0)).count() == 0

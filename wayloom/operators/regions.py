@@ -124,3 +124,24 @@ def tile_claims(tiles: DataFrame, boxes: DataFrame, zoom: int) -> DataFrame:
     across = F.exists(F.array(*(lon(F.col("x") + h) for h in half)), lambda v: inside(v, F.col("w"), F.col("e")))
     up = F.exists(F.array(*(lat(F.col("y") + h) for h in half)), lambda v: inside(v, F.col("s"), F.col("t")))
     return tiles.select("x", "y").distinct().join(laid, ["x", "y"]).where(across & up).select("x", "y", "rid")
+
+
+def nearest_first(tiles: DataFrame, zoom: int, anchor: tuple[float, float] | None = None, side: int = CHUNK_TILES) -> DataFrame:
+    """tiles(x, y, ...) of one zoom, each once, with the chunk (cx, cy) of side x side tiles that it lies in and that chunk's distance `far`, ordered: nearest chunks to the anchor (lon, lat) first.
+
+    Chunks are counted from the least x and y of the tiles, and cut off at the greatest. Near is the squared distance in degrees from a chunk's centre, with
+    longitudes shortened at the anchor's latitude and taken the short way round; equally near ones go by rows, tiles in a chunk by x, then y. Without an anchor
+    far is null and chunks go by columns. The order is a sort by ranges over all tasks."""
+    box = tiles.agg(*(f(c).alias(f"{n}{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max)))).first()
+    if box["lowx"] is None:
+        return tiles.select("*", *(F.lit(None).cast(t).alias(n) for n, t in (("cx", "long"), ("cy", "long"), ("far", "double"))))
+    low, high = ({c: F.lit(box[f"{n}{c}"]) for c in "xy"} for n in ("low", "high"))
+    dealt = tiles.withColumns({f"c{c}": F.floor((F.col(c) - low[c]) / side) for c in "xy"})
+    first = lambda c: low[c] + F.col(f"c{c}") * side
+    middle = lambda c: (first(c) + F.least(first(c) + side - 1, high[c]) + 1) / 2.0
+    if not anchor:
+        return dealt.withColumn("far", F.lit(None).cast("double")).orderBy("cx", "cy", "x", "y")
+    none = F.lit(0.0)
+    dx = geo.fold_lon(geo.tile_lon(middle("x"), none, 1, zoom) - anchor[0]) * math.cos(math.radians(anchor[1]))
+    dy = geo.tile_lat(middle("y"), none, 1, zoom) - anchor[1]
+    return dealt.withColumn("far", dx * dx + dy * dy).orderBy("far", "cy", "cx", "x", "y")

@@ -196,3 +196,15 @@ def archive_buckets(spark, sf_dir):
     """The buckets that the box of an archive around each anchor covers."""
     boxes = spark.sql("WITH " + _BOXES.replace("FROM anchors", "FROM {anchors}") + " SELECT * FROM b", anchors=derived(spark, sf_dir, "anchors"))
     return regions.box_buckets(boxes.select("id", *(F.col(c).cast("long").alias(c) for c in "wsen")))
+
+
+@query(
+    "tile_nearest_first",
+    f"""WITH {cte('places')}, t AS (SELECT DISTINCT {tx()} AS x, {ty()} AS y FROM places), b AS (SELECT min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM t),
+    c AS (SELECT x, y, (x - x1) // 64 AS cx, (y - y1) // 64 AS cy, x1, x2, y1, y2 FROM t, b), m AS (SELECT x, y, cx, cy, (x1 + cx * 64 + least(x1 + cx * 64 + 63, x2) + 1) / 2.0 AS mx, (y1 + cy * 64 + least(y1 + cy * 64 + 63, y2) + 1) / 2.0 AS my FROM c),
+    d AS (SELECT x, y, cx, cy, ((mx / {1 << Z} * 360 - 180 - 151.2 + 180) % 360 + 360) % 360 - 180 AS dlon, degrees(atan(sinh(pi() * (1 - 2 * my / {1 << Z})))) + 33.9 AS dlat FROM m)
+    SELECT x, y, cx, cy, CAST(floor(pow(dlon * cos(radians(-33.9)), 2) * 1000 + pow(dlat, 2) * 1000 + 0.5) AS BIGINT) AS far FROM d""".replace("sinh(pi() * (1 - 2 * my / 1024))", "(exp(pi() * (1 - 2 * my / 1024)) - exp(-pi() * (1 - 2 * my / 1024))) / 2"),
+)
+def tile_nearest_first(spark, sf_dir):
+    t = _places(spark, sf_dir).select(geo.tile_x(F.col("lon"), Z).alias("x"), geo.tile_y(F.col("lat"), Z).alias("y")).distinct()
+    return regions.nearest_first(t, Z, (151.2, -33.9)).select("x", "y", "cx", "cy", _r(F.col("far"), 3).alias("far"))
