@@ -322,3 +322,21 @@ def test_nearest_chunks_first(spark):
     plain = [(r.cx, r.cy) for r in regions.nearest_first(tiles, 7, None, 4).collect()]
     assert plain == sorted(plain)
     assert regions.nearest_first(tiles.limit(0), 7, (0.0, 0.0)).count() == 0
+
+
+def test_about_turns_fall_on_the_side_of_unscaled_steps(spark):
+    """Steps straight back: which side they count as is a matter of the last bits, which a scale by 1e-3 would change."""
+    import math
+
+    from wayloom.operators import tracks
+
+    steps = [(139950320, -1320, 1400, 3960, -4200), (140021160, -700, -900, 2100, 2700), (139974380, 1320, 440, -3960, -1320), (139944160, -1860, -1400, 5580, 4200), (139941500, 1320, 1260, -3960, -3780), (140026440, 1700, -1360, -5100, 4080)]
+    paths = [(t, [(190_000_000 - dx, y - dy), (190_000_000, y), (190_000_000 + ex, y + ey)]) for t, (y, dx, dy, ex, ey) in enumerate(steps)]
+    points = spark.createDataFrame([(t, k, x, y) for t, p in paths for k, (x, y) in enumerate(p, 1)], "track long, seq long, ilon long, ilat long")
+    got = {r.track: r.angle for r in tracks.segments(points).where("seq = 3").collect()}
+    for t, p in paths:
+        (x2, y2), (x1, y1), (x0, y0) = p
+        f = math.radians(math.floor(y1 / 100000) / 10 + 0.05 - 90)
+        kx, ky = 111.41513 * math.cos(f) - 0.09455 * math.cos(3 * f) + 0.00012 * math.cos(5 * f), 111.13209 - 0.56605 * math.cos(2 * f) + 0.0012 * math.cos(4 * f)
+        ux, uy, vx, vy = (x1 - x2) * kx, (y1 - y2) * ky, (x0 - x1) * kx, (y0 - y1) * ky
+        assert round(got[t]) == (-180 if uy * vx - ux * vy < 0 else 180), p

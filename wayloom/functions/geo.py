@@ -127,15 +127,21 @@ def segment_metres(px: Column, py: Column, ax: Column, ay: Column, bx: Column, b
     return local_metres(px, py, ax + (bx - ax) * t, ay + (by - ay) * t)
 
 
-def ruler(ilat: Column) -> tuple[Column, Column]:
-    """Metres of one E6 unit, along and across, in the latitude slot of ilat."""
+def ruler_degrees(ilat: Column) -> tuple[Column, Column]:
+    """Kilometres of one degree, along and across, in the latitude slot of ilat: enough where only proportions count, with one rounding less."""
     slot = F.least(F.greatest(F.floor(ilat / 100000), F.lit(0)), F.lit(1799))
     phi = F.radians(slot / 10.0 + 0.05 - 90)
-    kx = (111.41513 * F.cos(phi) - 0.09455 * F.cos(3 * phi) + 0.00012 * F.cos(5 * phi)) * 1e-3
-    ky = (111.13209 - 0.56605 * F.cos(2 * phi) + 0.0012 * F.cos(4 * phi)) * 1e-3
+    kx = 111.41513 * F.cos(phi) - 0.09455 * F.cos(3 * phi) + 0.00012 * F.cos(5 * phi)
+    ky = 111.13209 - 0.56605 * F.cos(2 * phi) + 0.0012 * F.cos(4 * phi)
     return kx, ky
 
 
+def ruler(ilat: Column) -> tuple[Column, Column]:
+    """Metres of one E6 unit, along and across, in the latitude slot of ilat."""
+    kx, ky = ruler_degrees(ilat)
+    return kx * 1e-3, ky * 1e-3
+
+
 def ruler_metres(ilon1: Column, ilat1: Column, ilon2: Column, ilat2: Column) -> Column:
     kx, ky = ruler(F.shiftright((ilat1 + ilat2).cast("long"), 1))
     x, y = (ilon1 - ilon2) * kx, (ilat1 - ilat2) * ky
