@@ -358,3 +358,24 @@ def test_matches_look_near_first_where_segments_are_dense(spark, monkeypatch):
     monkeypatch.setattr(routing, "PER_CELL", 2)
     assert sorted(map(tuple, routing.matches(p, s, 200).collect())) == whole
     assert sorted(map(tuple, routing.match_in_rings(p, s, [50, 200]).collect())) == rings
+
+
+def test_neighbouring_requests_share_the_edges_of_their_corridors(spark):
+    """An edge travels once a chunk of requests, not once a request; goals that can't be reached end after all."""
+    import pandas as pd
+
+    edges = spark.range(400).selectExpr("id as a", "id + 1 as b", "id div 10 as cx", "0 as cy", "true as on", "cast(null as array<long>) as banned")
+    asked = spark.range(40).selectExpr("id as rid", "id * 10 as start", "id * 10 + 5 as goal", "id as x1", "id as x2", "0 as y1", "0 as y2")
+
+    def run(chunk, frame):
+        return pd.DataFrame([(r, len(chunk), len(frame)) for r, _, _ in chunk], columns=["rid", "n", "edges"])
+
+    got = routing.in_corridors(asked, edges, 0, run, "rid long, n long, edges long", "edges").collect()
+    assert sorted(r.rid for r in got) == list(range(40)) and sum(r.edges / r.n for r in got) <= 800 and max(r.n for r in got) > 1
+
+    def never(chunk, frame):
+        return pd.DataFrame([(r, -1) for r, _, _ in chunk], columns=["rid", "edges"])
+
+    apart = edges.where("a <> 205")
+    far = spark.createDataFrame([(1, 200, 210, 20, 21, 0, 0)], "rid long, start long, goal long, x1 long, x2 long, y1 long, y2 long")
+    assert routing.in_corridors(far, apart, 0, never, "rid long, edges long", "edges").count() == 0

@@ -227,37 +227,38 @@ def fastest_path(out: dict, start: int, goal: int, banned: set, car: Vehicle, dr
 def kinematic_routes(requests: DataFrame, edges: DataFrame, margin: int, car: Vehicle = Vehicle(), restrictions: DataFrame | None = None, drop: float = 100.0, hasty: float = 1.5) -> DataFrame:
     """requests(rid, start, goal, x1, y1, x2, y2 as cells), edges as for `prepared` -> (rid, seq, node, cost, seconds, joules), up to each node.
 
-    Each request is searched in one task, over the edges of its corridor of cells, which grows until the result is that of the whole graph.
+    Requests are searched in chunks, over the edges of their corridors of cells, which grow until the result is that of the whole graph.
     A first pass towards the goal (hasty: what a metre of air distance counts; negative: none) bounds the exact one. Goals that nothing leads to give no rows."""
     led = cut(leads_on(prepared(edges, car), restrictions))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rid, start, goal = (int(frame[c].iloc[0]) for c in ("rid", "start", "goal"))
-        frame = frame[frame["a"].notna()]
-        out, places, heights, banned = {}, {}, {}, set()
-        for a, b, ax, ay, ah, bx, by, rule, sections, turns, ts in zip(*(frame[k] for k in ("a", "b", "ax", "ay", "ah", "bx", "by", "rule", "sections", "turns", "banned"))):
-            a, b = int(a), int(b)
+    def run(asked: list[tuple], frame: pd.DataFrame) -> pd.DataFrame:
+        out, places, heights, banned, ends = {}, {}, {}, set(), set()
+        for a, b, ax, ay, ah, bx, by, on, rule, sections, turns, ts in zip(*(frame[k].tolist() for k in ("a", "b", "ax", "ay", "ah", "bx", "by", "on", "rule", "sections", "turns", "banned"))):
             onward = {}
             for t in turns:
                 onward.setdefault(int(t["end"]), (t["angle"], t["speed"], t["seconds"]))
-            out.setdefault(a, []).append((b, [float(v) for v in rule], [float(v) for v in sections], onward))
+            out.setdefault(a, []).append((b, rule.tolist(), sections.tolist(), onward))
             places[a], places[b], heights[a] = (ax, ay), (bx, by), ah
-            banned |= {(a, b, int(t)) for t in (ts if ts is not None else ())}
-        beyond = frozenset(int(b) for b, on in zip(frame["b"], frame["on"]) if on) - set(out)
-        air = lambda node: math.dist(places[node], places[goal]) if node in places and goal in places else 0.0
-        height, rows = heights.get(start, math.nan), []
-        try:
-            first = fastest_path(out, start, goal, banned, car, drop, air, hasty, height=height) if hasty >= 0 else None
-            found = fastest_path(out, start, goal, banned, car, drop, limit=first[0].cost if first else math.inf, height=height, beyond=beyond) or first
-            if found:
-                state, turns = State(height=height), {}
-                rows.append((rid, 0, start, 0, 0.0, 0.0))
-                for k, (a, b) in enumerate(zip(found[1], found[1][1:]), 1):
-                    ways = [(driven(state, rule, sections, turns.get(b), car), onward) for end, rule, sections, onward in out[a] if end == b]
-                    state, turns = min((w for w in ways if w[0]), key=lambda w: w[0].cost)
-                    rows.append((rid, k, b, state.cost, state.seconds, state.spent))
-        except Unproven:
-            rows = [(rid, -1, -1, 0, 0.0, 0.0)]
+            if on:
+                ends.add(b)
+            if ts is not None:
+                banned.update((a, b, int(t)) for t in ts)
+        beyond, rows = frozenset(ends - out.keys()), []
+        for rid, start, goal in asked:
+            air = lambda node: math.dist(places[node], places[goal]) if node in places and goal in places else 0.0  # noqa: B023, E731
+            height = heights.get(start, math.nan)
+            try:
+                first = fastest_path(out, start, goal, banned, car, drop, air, hasty, height=height) if hasty >= 0 else None
+                found = fastest_path(out, start, goal, banned, car, drop, limit=first[0].cost if first else math.inf, height=height, beyond=beyond) or first
+                if found:
+                    state, turns = State(height=height), {}
+                    rows.append((rid, 0, start, 0, 0.0, 0.0))
+                    for k, (a, b) in enumerate(zip(found[1], found[1][1:]), 1):
+                        ways = [(driven(state, rule, sections, turns.get(b), car), onward) for end, rule, sections, onward in out[a] if end == b]
+                        state, turns = min((w for w in ways if w[0]), key=lambda w: w[0].cost)
+                        rows.append((rid, k, b, state.cost, state.seconds, state.spent))
+            except Unproven:
+                rows.append((rid, -1, -1, 0, 0.0, 0.0))
         return pd.DataFrame(rows, columns=["rid", "seq", "node", "cost", "seconds", "joules"])
 
     return in_corridors(requests, led, margin, run, "rid long, seq int, node long, cost long, seconds double, joules double", "seq")

@@ -192,35 +192,35 @@ def two_passes(out: dict, start: int, goal: int, banned: set, air: _Air, coeffic
 def path_routes(requests: DataFrame, edges: DataFrame, margin: int, restrictions: DataFrame | None = None, coefficients: tuple[float, float] = (1.5, 0.0), least: float = 0.0, buffers: Buffers = Buffers()) -> DataFrame:
     """requests(rid, start, goal, x1, y1, x2, y2 as cells), edges as for `prepared` -> (rid, seq, node, cost): the cheapest paths, cost up to each node.
 
-    Each request is searched in one task, over the edges of its corridor of cells, which grows until the result is that of the whole graph (see `in_corridors`).
+    Requests are searched in chunks, over the edges of their corridors of cells, which grow until the result is that of the whole graph (see `in_corridors`).
     coefficients: of the two passes; the second has to be one that no edge undercuts for its length, as has least, the one the bound goes by: 0 is always right.
     restrictions(from_n, via, to_n): turns that are forbidden. Goals that no link connects to their start give no rows."""
     led = cut(leads_on(prepared(edges), restrictions))
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        rid, start, goal = (int(frame[c].iloc[0]) for c in ("rid", "start", "goal"))
-        frame = frame[frame["a"].notna()]
-        out, places, heights, banned = {}, {}, {}, set()
-        for a, b, ax, ay, ah, bx, by, rule, sections, ts in zip(*(frame[k] for k in ("a", "b", "ax", "ay", "ah", "bx", "by", "rule", "sections", "banned"))):
-            a, b = int(a), int(b)
-            out.setdefault(a, []).append((b, np.asarray(rule), np.asarray(sections)))
+    def run(asked: list[tuple], frame: pd.DataFrame) -> pd.DataFrame:
+        out, places, heights, banned, ends = {}, {}, {}, set(), set()
+        for a, b, ax, ay, ah, bx, by, on, rule, sections, ts in zip(*(frame[k].tolist() for k in ("a", "b", "ax", "ay", "ah", "bx", "by", "on", "rule", "sections", "banned"))):
+            out.setdefault(a, []).append((b, rule.tolist(), sections.tolist()))
             places[a], places[b], heights[a] = (ax, ay), (bx, by), ah
-            banned |= {(a, b, int(t)) for t in (ts if ts is not None else ())}
-        beyond = frozenset(int(b) for b, on in zip(frame["b"], frame["on"]) if on) - set(out)
-        rows = []
-        try:
-            found = two_passes(out, start, goal, banned, _Air(places, heights, goal), coefficients, least, buffers, beyond)
-            if found:
-                # once more along the path, in detail
-                state, last = State(height=heights.get(start, math.nan)), None
-                for k, node in enumerate(found[1]):
-                    if last is not None:
-                        ways = [advanced(state, rule, sections, buffers) for b, rule, sections in out[last] if b == node]
-                        state = min((w for w in ways if w), key=lambda w: w.cost)
-                    rows.append((rid, k, node, state.cost))
-                    last = node
-        except Unproven:
-            rows = [(rid, -1, -1, 0)]
+            if on:
+                ends.add(b)
+            if ts is not None:
+                banned.update((a, b, int(t)) for t in ts)
+        beyond, rows = frozenset(ends - out.keys()), []
+        for rid, start, goal in asked:
+            try:
+                found = two_passes(out, start, goal, banned, _Air(places, heights, goal), coefficients, least, buffers, beyond)
+                if found:
+                    # once more along the path, in detail
+                    state, last = State(height=heights.get(start, math.nan)), None
+                    for k, node in enumerate(found[1]):
+                        if last is not None:
+                            ways = [advanced(state, rule, sections, buffers) for b, rule, sections in out[last] if b == node]
+                            state = min((w for w in ways if w), key=lambda w: w.cost)
+                        rows.append((rid, k, node, state.cost))
+                        last = node
+            except Unproven:
+                rows.append((rid, -1, -1, 0))
         return pd.DataFrame(rows, columns=["rid", "seq", "node", "cost"])
 
     return in_corridors(requests, led, margin, run, "rid long, seq int, node long, cost long", "seq")
