@@ -379,3 +379,20 @@ def test_neighbouring_requests_share_the_edges_of_their_corridors(spark):
     apart = edges.where("a <> 205")
     far = spark.createDataFrame([(1, 200, 210, 20, 21, 0, 0)], "rid long, start long, goal long, x1 long, x2 long, y1 long, y2 long")
     assert routing.in_corridors(far, apart, 0, never, "rid long, edges long", "edges").count() == 0
+
+
+def test_links_away_are_told_without_pairs_of_ways_and_links(spark):
+    import random
+
+    r = random.Random(7)
+    rows = sorted({(r.randint(0, 30), r.choice([1, 1, 1, r.randint(0, 12)]), r.randint(0, 12)) for _ in range(300)})
+    links = {(a, b) for _, a, b in rows}
+    want = []
+    for w in {w for w, _, _ in rows}:
+        own = {(a, b) for v, a, b in rows if v == w}
+        away = [b for a, b in links - own if a in {n for link in own for n in link}]
+        if away:
+            want.append((w, len(away), min(away), max(away)))
+    df = routing.links_away(spark.createDataFrame(rows, "wid long, a long, b long"))
+    assert sorted(map(tuple, df.select("wid", "detours", "first_b", "last_b").collect())) == sorted(want)
+    assert "LeftAnti" not in df._jdf.queryExecution().optimizedPlan().toString()

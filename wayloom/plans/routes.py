@@ -100,9 +100,7 @@ def route_detours(spark, sf_dir):
 
     e = derived(spark, sf_dir, "way_nodes").select("wid", F.col("nid").alias("a"), F.lead("nid").over(Window.partitionBy("wid").orderBy("pos", "nid")).alias("b")).where("b is not null")
     r = e.distinct()
-    nodes = r.select("wid", "a").union(r.select("wid", "b")).distinct()
-    away = nodes.join(r.select("a", "b").distinct(), "a").join(r, ["wid", "a", "b"], "left_anti")
-    return away.groupBy("wid").agg(F.count(F.lit(1)).alias("detours"), F.min("b").alias("first_b"), F.max("b").alias("last_b"))
+    return routing.links_away(r)
 
 
 @query("track_totals", "SELECT l_orderkey AS track, CAST(sum(floor(l_quantity)) AS BIGINT) AS metres, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS cost, count(*) AS links FROM lineitem GROUP BY 1")
