@@ -63,3 +63,26 @@ def test_points_lie_on_the_half_circle_ahead(spark):
     assert p[1][1] > p[2][1] > 0 > p[3][1] > p[4][1]
     back = round_trips.trip_points(starts, same_way_back=True).orderBy("seq").collect()
     assert len(back) == 2 and back[1].ilat == 90_000_000 and back[1].ilon > 5_013_000
+
+
+def test_directions_count_by_squares(spark, monkeypatch):
+    """Squares of many ways are split, borders of triangles count, and no row is a pair of a start and a way."""
+    r = random.Random(9)
+    starts = [(k, r.randrange(4_990_000, 5_010_000), r.randrange(59_990_000, 60_010_000), r.choice([0.0, 900.0, 1500.0]), float(r.randrange(300))) for k in range(12)]
+    ways = [(r.randrange(4_970_000, 5_030_000) // 500 * 500, r.randrange(59_970_000, 60_030_000) // 500 * 500, float(r.randrange(300)), r.random() < 0.3, r.random() < 0.3) for _ in range(400)] + [(s[1], s[2], s[4], True, False) for s in starts]
+    from pyspark.sql import functions as F
+    from wayloom.functions import geo
+    from wayloom.operators.areas import in_polygon
+
+    frame, around = spark.createDataFrame(starts, START), spark.createDataFrame(ways, WAY)
+    corner = lambda a: F.struct(*(c.alias(n) for n, c in zip("xy", geo.destination(F.col("a.ilon"), F.col("a.ilat"), F.col("radius") * 1.5, F.lit(float(a))))))
+    expected = {}
+    for d in (90, 180, 270, 360):
+        ring = F.array(F.struct(F.col("a.ilon").alias("x"), F.col("a.ilat").alias("y")), corner(d - 45), corner((d + 45) % 360))
+        pairs = frame.alias("a").crossJoin(around.alias("w")).where(in_polygon(F.col("w.ilon"), F.col("w.ilat"), ring))
+        for row in pairs.groupBy("id").agg((F.count_if(F.abs(F.col("w.height") - F.col("a.height")) < 50) * 100.0 / F.count(F.lit(1))).cast("int").alias("share")).collect():
+            expected.setdefault(row.id, {})[d] = row.share
+    monkeypatch.setattr(round_trips, "LOT", 7)
+    found = round_trips.directions(frame, around, "flat", 15_000)
+    assert {row.id: row.direction for row in found.collect()} == {k: max((90, 180, 270, 360), key=lambda d: (expected[k].get(d, 0), -d)) for k in range(12)}
+    assert "CoGroup" in found._jdf.queryExecution().toString()

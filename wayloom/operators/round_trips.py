@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
-from wayloom.operators.areas import area_profile, in_polygon
 
 # How far ways are looked for as a multiple of the radius, the spread of directions in degrees, and what is added to a circle.
 REACH, SPREAD, MARGIN, EXTRA_M = 1.5, 60, 1.001, 1.0
+DIRECTIONS = (90, 180, 270, 360)
+#: Ways of a square that one group holds, about.
+LOT = 100_000
 #: Shifts of a circle's centre; where they don't settle, the circle grows round the centre that was reached.
 MOST_SHIFTS = 1000
 
@@ -23,22 +25,58 @@ def directions(starts: DataFrame, ways: DataFrame, by: str, cell: int, seed: int
     """starts(id, ilon, ilat, radius in metres, height), ways(ilon, ilat, height, forest, river) -> (id, direction): the quarter with the largest share of ways that are
     `by`: flat (within 50 m of the start's height), forest or river. Of equal ones the first from the east on clockwise, also where no ways are.
 
-    Each quarter is a triangle from the start to two corners, 1.5 radii away. Triangles meet ways in an equi join on squares of `cell` units, which
-    should be about as large as a triangle: each lies in a few then. With a seed the direction is spread by up to 30 degrees, by a hash of the id."""
+    Each quarter is a triangle from the start to two corners, 1.5 radii away; the four share their corners. Starts meet the ways of a square of `cell` units, which
+    should be about as large as a triangle, in one group: what each square adds to a start's counts is worked out there, and no row is a pair of a start and a way. Squares with over LOT ways
+    are split by hashes of places. With a seed the direction is spread by up to 30 degrees, by a hash of the id."""
     corner = lambda a: F.struct(*(c.alias(n) for n, c in zip("xy", geo.destination(F.col("ilon"), F.col("ilat"), F.col("radius") * REACH, F.lit(float(a))))))
     own = F.struct(F.col("ilon").cast("long").alias("x"), F.col("ilat").cast("long").alias("y"))
-    quarter = lambda a: F.struct(F.lit(a).alias("direction"), F.array(own, corner(a - 45), corner((a + 45) % 360)).alias("ring"))
-    quarters = starts.select("id", F.col("height").alias("_h"), F.explode(F.array(*(quarter(a) for a in (90, 180, 270, 360)))).alias("q")).select("id", "_h", "q.*")
-    span = lambda c: F.sequence(*(F.floor(f(F.transform("ring", lambda p: p[c])) / cell) for f in (F.array_min, F.array_max)))
-    asked = quarters.select("*", F.explode(span("x")).alias("_cx")).select("*", F.explode(span("y")).alias("_cy"))
-    placed = ways.select("ilon", "ilat", "height", "forest", "river", F.floor(F.col("ilon") / cell).alias("_cx"), F.floor(F.col("ilat") / cell).alias("_cy"))
-    met = asked.join(placed, ["_cx", "_cy"]).where(in_polygon(F.col("ilon"), F.col("ilat"), F.col("ring")))
-    told = area_profile(met.select("id", "direction", (F.col("height") - F.col("_h")).alias("climb"), "forest", "river"), ["id", "direction"])
-    ranked = quarters.select("id", "direction").join(told, ["id", "direction"], "left")
+    laid = starts.select("id", F.col("height").cast("double").alias("_h"), F.array(own, *(corner(a) for a in (45, 135, 225, 315))).alias("ring"))
+    laid = laid.select("id", "_h", F.transform("ring", lambda p: p["x"]).alias("xs"), F.transform("ring", lambda p: p["y"]).alias("ys"))
+    span = lambda c: F.sequence(*(F.floor(f(c) / cell) for f in (F.array_min, F.array_max)))
+    asked = laid.where(~F.exists("xs", lambda v: v.isNull()) & ~F.exists("ys", lambda v: v.isNull())).select("*", F.explode(span("xs")).alias("_cx")).select("*", F.explode(span("ys")).alias("_cy"))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    placed = ways.where("ilon is not null and ilat is not null").select(F.col("ilon").cast("long").alias("ilon"), F.col("ilat").cast("long").alias("ilat"), F.col("height").cast("double").alias("height"), yes("forest"), yes("river"), F.floor(F.col("ilon") / cell).alias("_cx"), F.floor(F.col("ilat") / cell).alias("_cy"))
+    lots = placed.groupBy("_cx", "_cy").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("_lots"))
+    dealt = placed.join(lots, ["_cx", "_cy"]).withColumn("_lot", F.pmod(F.xxhash64("ilon", "ilat"), F.col("_lots")).cast("int")).drop("_lots")
+    asked = asked.join(lots, ["_cx", "_cy"]).select("id", "_h", "xs", "ys", "_cx", "_cy", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)).alias("_lot"))
+    by_square = ["_cx", "_cy", "_lot"]
+    key = starts.schema["id"].dataType.simpleString()
+    counted = asked.groupBy(*by_square).cogroup(dealt.groupBy(*by_square)).applyInPandas(_counted, f"id {key}, direction int, ways long, flat long, forest long, river long")
+    counted = counted.groupBy("id", "direction").agg(*(F.sum(c).alias(c) for c in ("ways", "flat", "forest", "river")))
+    share = (F.col(by) * 100.0 / F.col("ways")).cast("int").alias(by)
+    quarters = starts.select("id", F.explode(F.array(*(F.lit(a) for a in DIRECTIONS))).alias("direction"))
+    ranked = quarters.join(counted.select("id", "direction", share), ["id", "direction"], "left")
     best = ranked.groupBy("id").agg(F.max_by("direction", F.struct(F.coalesce(by, F.lit(0)), -F.col("direction"))).alias("direction"))
     return best if seed is None else best.withColumn("direction", F.col("direction") - SPREAD // 2 + F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(SPREAD)).cast("int"))
 
 
+def _counted(starts: pd.DataFrame, ways: pd.DataFrame) -> pd.DataFrame:
+    """Of every start and quarter: the ways of one square in it, and how many are flat, in forest, by a river. Borders of a triangle count as inside."""
+    ways = ways.sort_values("ilat", kind="stable")
+    x, y, height = (ways[c].to_numpy() for c in ("ilon", "ilat", "height"))
+    marks = ways["forest"].to_numpy(dtype=bool), ways["river"].to_numpy(dtype=bool)
+    rows = []
+    for key, h, xs, ys in zip(starts["id"], starts["_h"], starts["xs"], starts["ys"]):
+        part = slice(np.searchsorted(y, ys.min(), "left"), np.searchsorted(y, ys.max(), "right"))
+        held = np.flatnonzero((x[part] >= xs.min()) & (x[part] <= xs.max())) + part.start
+        if not len(held):
+            continue
+        px, py, flat = x[held], y[held], np.abs(height[held] - h) < 50
+        forest, river = marks[0][held], marks[1][held]
+        side = lambda i, j: (xs[j] - xs[i]) * (py - ys[i]) - (ys[j] - ys[i]) * (px - xs[i])
+        rays = [side(0, k) for k in (1, 2, 3, 4)]
+        for k, direction in enumerate(DIRECTIONS):
+            i, j = k + 1, (k + 1) % 4 + 1
+            a, b, c = rays[k], side(i, j), -rays[j - 1]
+            ring = [0, i, j]
+            # a triangle without area holds what lies on its line, between its ends
+            inside = (((a >= 0) & (b >= 0) & (c >= 0)) | ((a <= 0) & (b <= 0) & (c <= 0))) & (px >= xs[ring].min()) & (px <= xs[ring].max()) & (py >= ys[ring].min()) & (py <= ys[ring].max())
+            n = int(np.count_nonzero(inside))
+            if n:
+                rows.append((key, direction, n, *(int(np.count_nonzero(inside & m)) for m in (flat, forest, river))))
+    return pd.DataFrame(rows, columns=["id", "direction", "ways", "flat", "forest", "river"])
+
+
 def trip_points(starts: DataFrame, points: int = 5, same_way_back: bool = False) -> DataFrame:
     """starts(id, ilon, ilat, radius, direction) -> (id, seq, ilon, ilat): the start, points - 1 others spread over the half circle ahead, and the start again; or one straight ahead if the way back is to be the same."""
     at = lambda d: F.struct(*(c.alias(n) for n, c in zip(("ilon", "ilat"), geo.destination(F.col("ilon"), F.col("ilat"), F.col("radius").cast("double"), F.col("direction") + F.lit(d)))))
