@@ -112,7 +112,7 @@ def endpoint_pairs(spark, sf_dir):
 
 @query("graph_components", f"WITH RECURSIVE {_NEAR}, s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), c(node, r) AS (SELECT DISTINCT a, a FROM s UNION SELECT c.node, s.b FROM c JOIN s ON c.r = s.a) SELECT node, min(r) AS component FROM c GROUP BY 1")
 def components(spark, sf_dir):
-    return graph.components(graph.near_pairs(_points(spark, sf_dir), 300))
+    return graph.near_components(_points(spark, sf_dir), 300)
 
 
 @query("graph_contraction", """WITH z AS (SELECT max(o_orderkey) + 1 AS n FROM orders), g AS (SELECT o_orderkey AS k, n FROM orders, z), c AS (SELECT k AS a, k + 10 AS b, n FROM g WHERE k % 10 IN (0, 9) AND k + 10 < n)
