@@ -28,10 +28,14 @@ def _cells(low: Column, high: Column) -> Column:
 def first_region(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """points(id, ilon, ilat), boxes(rid, west, east, south, north) -> (id, rid): the first box in order of rid that holds a point.
 
-    Boxes are laid in grid cells, so this is an equi join on the cell with a check; a box over the date line is laid on both sides."""
+    Boxes are laid in grid cells, so this is an equi join on the cell with a check; a box over the date line is laid on both sides.
+    In a cell no box counts that comes after one which holds the whole cell."""
     turns = F.explode(F.array(*(F.lit(t).cast("long") for t in (-WORLD, 0, WORLD))))
     sides = boxes.withColumn("turn", turns).selectExpr("rid", "west + turn as west", "east + turn as east", "south", "north").where(f"east >= 0 and west < {WORLD}")
     laid = sides.select("*", F.explode(_cells(F.greatest("west", F.lit(0)), F.least("east", F.lit(WORLD)))).alias("cx")).select("*", F.explode(_cells(F.col("south"), F.col("north"))).alias("cy"))
+    whole = (F.col("west") <= F.col("cx") * CELL) & (F.col("east") >= (F.col("cx") + 1) * CELL) & (F.col("south") <= F.col("cy") * CELL) & (F.col("north") >= (F.col("cy") + 1) * CELL)
+    last = laid.groupBy("cx", "cy").agg(F.min(F.when(whole, F.col("rid"))).alias("_last"))
+    laid = cut(laid.join(last, ["cx", "cy"]).where("_last is null or rid <= _last").drop("_last"))
     at = points.select("id", "ilon", "ilat", F.floor(F.col("ilon") / CELL).alias("cx"), F.floor(F.col("ilat") / CELL).alias("cy"))
     held = at.join(laid, ["cx", "cy"]).where("ilon between west and east and ilat between south and north")
     return held.groupBy("id").agg(F.min("rid").alias("rid"))
