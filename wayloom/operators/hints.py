@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayloom.operators.shared import by_groups
+
 #: Where no other way lies to the left or right of the one taken.
 NO_LEFT, NO_RIGHT = -181.0, 181.0
 
@@ -95,9 +96,8 @@ def junctions(nodes: DataFrame, on_foot: bool = False) -> DataFrame:
     return made.select(*nodes.columns, "lower", "higher", "hint", (~F.col("_always") & (F.col("_command") == "C")).alias("real"), F.coalesce("_keeps", "_command").alias("command"), "worst")
 
 
-def _walked(frame: pd.DataFrame) -> pd.DataFrame:
+def _walked(rows: list[dict]) -> list[tuple]:
     """The hints of one route, worked out from its end to its start, as angles of bends ahead belong to the turn before them."""
-    rows = frame.sort_values("seq").to_dict("records")
     used, found, gap = set(), [], 0.0
     ring: list[int] = []  # nodes of the roundabout that the walk is in, last first
     turned, exits = 0.0, 0
@@ -157,8 +157,7 @@ def _walked(frame: pd.DataFrame) -> pd.DataFrame:
                 hint = other | {"angle": hint["angle"], "next": other["next"]}
                 break
         out.append(hint)
-    head = int(rows[0]["route"])
-    return pd.DataFrame([(head, int(rows[h["at"]]["seq"]), h["command"], float(h["angle"]), float(h["lower"]), float(h["higher"]), int(h["exit"]), float(h["next"])) for h in out], columns=["route", "seq", "was", "angle", "lower", "higher", "exit", "metres"])
+    return [(rows[0]["route"], rows[h["at"]]["seq"], h["command"], float(h["angle"]), float(h["lower"]), float(h["higher"]), h["exit"], float(h["next"])) for h in out]
 
 
 def route_hints(nodes: DataFrame, on_foot: bool = False) -> DataFrame:
@@ -166,7 +165,9 @@ def route_hints(nodes: DataFrame, on_foot: bool = False) -> DataFrame:
 
     A roundabout is one hint at the node before it: the number of its exit (negative where it is driven to the right), and the angle between the ways
     to and from it. Hints within 2 m are one; bends within 10 m after a turn count as part of it. A route is walked in one task."""
-    walked = junctions(nodes, on_foot).groupBy("route").applyInPandas(_walked, "route long, seq long, was string, angle double, lower double, higher double, exit int, metres double")
+    number = lambda c: F.coalesce(c, F.lit(float("nan"))).alias(c)
+    told = junctions(nodes, on_foot).select("route", "seq", number("angle"), number("metres"), "roundabout", "beeline", "hint", "real", "command", number("lower"), number("higher"), F.transform("bad", lambda b: F.struct(b["turn"].alias("turn"), b["oneway"].alias("oneway"), b["car"].alias("car"))).alias("bad"))
+    walked = by_groups(told, "route", ["seq"], _walked, "route long, seq long, was string, angle double, lower double, higher double, exit int, metres double")
     turn = turn_command(F.col("angle"), F.col("lower"), F.col("higher"), F.coalesce("was", F.lit("")))
     command = F.when(F.col("was") == "BL", "BL").when(F.col("exit") > 0, "RNDB").when(F.col("exit") < 0, "RNLB").otherwise(turn)
     return walked.select("route", "seq", command.alias("command"), "angle", "exit", "metres")

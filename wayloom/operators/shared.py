@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_groups(df: DataFrame, key: str, order: list[str], each: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
+    """each(rows of one group, sorted) -> rows as in schema ("name type, ..."), for all groups of df. Groups come one after the other in a sorted stream, so a small one costs no more than its rows; one group is held at a time."""
+    types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+
+    def run(batches):
+        held: list[dict] = []
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if held and held[0][key] != row[key]:
+                    out += each(held)
+                    held = []
+                held.append(row)
+            if out:
+                yield batch_of(out)
+        out = each(held) if held else []
+        if out:
+            yield batch_of(out)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Links each neighbour of a node to the least node around it: the larger neighbours, or else the smaller ones.
 
