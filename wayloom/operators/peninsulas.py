@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.operators.shared import by_groups
+
 
 def _cut_links(links: list[tuple[int, int]], gates: set[int], trees_only: bool) -> tuple[set[tuple[int, int]], set[int]]:
     """(links to cut, nodes that gates still reach) of a simple graph, by one walk in depth from the gates, which count as one node.
@@ -65,12 +66,12 @@ def peninsulas(links: DataFrame, cells: DataFrame, trees_only: bool = False) ->
     flag = lambda end: gates.select(F.col("gate").alias(end), F.lit(True).alias(f"{end}_gate"))
     inside = placed.where("_a = _b").join(flag("a"), "a", "left").join(flag("b"), "b", "left")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        pairs = list(zip(frame["a"].tolist(), frame["b"].tolist()))
-        at = set(frame["a"][frame["a_gate"]]) | set(frame["b"][frame["b_gate"]])
+    def run(rows: list[dict]) -> list[tuple]:
+        pairs = [(r["a"], r["b"]) for r in rows]
+        at = {r[end] for r in rows for end in "ab" if r[f"{end}_gate"]}
         cut, reached = _cut_links(pairs, at, trees_only)
-        return pd.DataFrame({"a": frame["a"], "b": frame["b"], "cut": [p in cut for p in pairs], "reached": [a in reached and b in reached for a, b in pairs]})
+        return [(a, b, (a, b) in cut, a in reached and b in reached) for a, b in pairs]
 
     no = F.lit(False)
-    found = inside.select(F.col("_a").alias("cell"), "a", "b", F.coalesce("a_gate", no).alias("a_gate"), F.coalesce("b_gate", no).alias("b_gate")).groupBy("cell").applyInPandas(run, "a long, b long, cut boolean, reached boolean")
+    found = by_groups(inside.select(F.col("_a").alias("cell"), "a", "b", F.coalesce("a_gate", no).alias("a_gate"), F.coalesce("b_gate", no).alias("b_gate")), "cell", [], run, "a long, b long, cut boolean, reached boolean")
     return found.union(away.select("a", "b", F.lit(False), F.lit(True)))
