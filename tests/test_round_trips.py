@@ -86,3 +86,15 @@ def test_directions_count_by_squares(spark, monkeypatch):
     found = round_trips.directions(frame, around, "flat", 15_000)
     assert {row.id: row.direction for row in found.collect()} == {k: max((90, 180, 270, 360), key=lambda d: (expected[k].get(d, 0), -d)) for k in range(12)}
     assert "CoGroup" in found._jdf.queryExecution().toString()
+
+
+def test_circles_side_by_side_are_those_one_by_one():
+    r = random.Random(11)
+    rings = []
+    for n in [1, 2, 3, 8, 40, 1, 7] * 40:
+        x0, y0, size = r.randrange(10**6, 3 * 10**8), r.randrange(2 * 10**7, 15 * 10**7), r.choice([1, 3, 500, 200_000])
+        rings.append([(x0 + r.randrange(-size, size + 1), y0 + r.randrange(-size, size + 1)) for _ in range(n)])
+    xs, ys = (np.array([p[i] for ring in rings for p in ring]) for i in (0, 1))
+    starts = np.cumsum([0] + [len(ring) for ring in rings[:-1]])
+    found = list(zip(*(v.tolist() for v in round_trips.circles_round(xs, ys, starts))))
+    assert found == [round_trips.circle_round(*(np.array([p[i] for p in ring]) for i in (0, 1))) for ring in rings]

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,18 +115,58 @@ def circle_round(xs: np.ndarray, ys: np.ndarray) -> tuple[int, int, float]:
     return x, y, radius * MARGIN + EXTRA_M
 
 
-def bounding_circles(polygons: DataFrame, ring: str = "ring") -> DataFrame:
-    """polygons(id, ring array<struct<x, y>> in E6 units) -> (id, x, y, radius). Rings that are null or empty give nulls."""
+_RULER = np.array([_metres_of_unit(k * 100000) for k in range(1800)])
+
+
+def circles_round(xs: np.ndarray, ys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`circle_round` of many rings side by side, none empty: ring k begins at starts[k] of xs and ys. Rings whose circle has settled drop out."""
+    sizes = np.diff(starts, append=len(xs))
+    most, least = np.maximum.reduceat, np.minimum.reduceat
+    cx, cy, radius = (least(xs, starts) + most(xs, starts)) // 2, (least(ys, starts) + most(ys, starts)) // 2, np.zeros(len(starts))
+    left, px, py, n, at, settled = np.arange(len(starts)), xs, ys, sizes, starts, np.zeros(len(starts), dtype=bool)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, xs, ys in zip(frame["id"], frame["xs"], frame["ys"]):
-                rows.append((key, *(circle_round(np.asarray(xs, dtype=np.int64), np.asarray(ys, dtype=np.int64)) if xs is not None and len(xs) else (None, None, None))))
-            yield pd.DataFrame(rows, columns=["id", "x", "y", "radius"]).astype({"x": "Int64", "y": "Int64", "radius": "float64"})
+    def away(x, y, px, py):
+        k = _RULER[np.clip(y // 100000, 0, 1799)]
+        return np.sqrt(((x - px) * k[:, 0]) ** 2 + ((y - py) * k[:, 1]) ** 2)
 
-    part = lambda c: F.transform(F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), lambda p: p[c].cast("long")).alias(f"{c}s")
-    return polygons.select("id", part("x"), part("y")).mapInPandas(run, f"id {polygons.schema['id'].dataType.simpleString()}, x long, y long, radius double")
+    for _ in range(MOST_SHIFTS):
+        far = away(np.repeat(cx[left], n), np.repeat(cy[left], n), px, py)
+        top = most(far, at)
+        out = top > radius[left]
+        settled[left[~out]] = True
+        row = np.where(far == np.repeat(top, n), np.arange(len(far)), len(far))
+        first = least(row, at)[out]
+        inner = np.repeat(out, n)
+        fx, fy, top, left, n = px[first], py[first], top[out], left[out], n[out]
+        if not len(left):
+            break
+        px, py, at = px[inner], py[inner], np.cumsum(n) - n
+        part = 0.5 * (1 - radius[left] / top)
+        cx[left] += np.trunc(part * (fx - cx[left]) + 0.5).astype(np.int64)
+        cy[left] += np.trunc(part * (fy - cy[left]) + 0.5).astype(np.int64)
+        radius[left] = away(cx[left], cy[left], fx, fy)
+    else:
+        radius[left] = np.maximum(radius[left], most(away(np.repeat(cx[left], n), np.repeat(cy[left], n), px, py), at))
+    return cx, cy, radius * MARGIN + EXTRA_M
+
+
+def bounding_circles(polygons: DataFrame, ring: str = "ring") -> DataFrame:
+    """polygons(id, ring array<struct<x, y>> in E6 units) -> (id, x, y, radius). Rings that are null or empty give nulls. All rings of an Arrow batch are worked out side by side."""
+    key_type = polygons.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n").to_numpy(zero_copy_only=False)
+            some = np.flatnonzero(sizes > 0)
+            values = [np.full(batch.num_rows, 0, dtype=np.int64) for _ in "xy"] + [np.zeros(batch.num_rows)]
+            if len(some):
+                xs, ys = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("xs", "ys"))
+                for value, found in zip(values, circles_round(xs, ys, (np.cumsum(sizes) - sizes)[some])):
+                    value[some] = found
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v, mask=sizes <= 0) for v in values)], names=["id", "x", "y", "radius"])
+
+    part = lambda c: F.coalesce(F.transform(F.filter(ring, lambda p: p["x"].isNotNull() & p["y"].isNotNull()), lambda p: p[c].cast("long")), F.array().cast("array<bigint>")).alias(f"{c}s")
+    return polygons.select("id", part("x"), part("y")).select("id", "xs", "ys", F.size("xs").cast("long").alias("n")).mapInArrow(run, f"id {key_type}, x long, y long, radius double")
 
 
 def inside(x: Column, y: Column, cx: Column, cy: Column, radius: Column) -> Column:
