@@ -54,3 +54,20 @@ def test_areas_on_edges_and_waypoints(spark):
     assert nogos.with_area_costs(df, nogo.limit(0), 50.0).where("areacost <> 0").count() == 0
     at = spark.createDataFrame([(15.0, 0.0), (104.0, 3.0), (200.0, 10.0), (600.0, 0.0), (None, 1.0)], "x double, y double")
     assert sorted(r.aid for r in nogos.usable_areas(nogo, at, 25.0).collect()) == [4, 5, 6, 7, 8]
+
+
+def test_ways_of_one_set_of_tags_stay_in_many_tasks(spark, monkeypatch):
+    from wayloom.plans import rules
+
+    kinds = F.element_at(F.array(*map(F.lit, ("primary", "secondary", "tertiary", "service"))), (F.when(F.col("id") < 3000, 0).otherwise(F.col("id") % 4) + 1).cast("int"))
+    ways = spark.range(0, 4000, 1, 8).select("id", F.when(F.col("id") % 100 < 98, F.create_map(F.lit("highway"), kinds)).alias("tags"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = rules.evaluate(ways, rules.CAR, ["costfactor"])
+        held = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(held) == 3920 and max(held) < 1000
+        want = sorted((r.id, r.costfactor, r.costfactor_back) for r in out.collect())
+        monkeypatch.setattr(rules, "FREQUENT", 2)
+        assert sorted((r.id, r.costfactor, r.costfactor_back) for r in rules.evaluate(ways, rules.CAR, ["costfactor"]).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

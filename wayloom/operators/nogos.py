@@ -81,8 +81,12 @@ def with_area_costs(edges: DataFrame, areas: DataFrame, size: float) -> DataFram
     i = F.col("_i")
     sections = sections.select("_edge", "_n", p(i, "x").alias("ax"), p(i, "y").alias("ay"), p(i + 1, "x").alias("bx"), p(i + 1, "y").alias("by"))
     boxed = sections.where("ax <> bx or ay <> by").withColumns({"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by")})
-    laid = _laid(_box(areas), size).select("aid", "points", "radius", "closed", "weight", "_cx", "_cy")
-    pairs = _laid(boxed, size).join(laid, ["_cx", "_cy"]).dropDuplicates(["_edge", "_n", "aid"])
+    box = {c: F.col(c).alias(f"_{c}") for c in ("x0", "x1", "y0", "y1")}
+    laid = _laid(_box(areas), size).select("aid", "points", "radius", "closed", "weight", "_cx", "_cy", *box.values())
+    # only where boxes meet, and there in the first cell that both touch: each pair once
+    first = lambda c: F.floor(F.greatest(f"{c}0", f"_{c}0") / size)
+    meet = (F.col("x0") <= F.col("_x1")) & (F.col("_x0") <= F.col("x1")) & (F.col("y0") <= F.col("_y1")) & (F.col("_y0") <= F.col("y1"))
+    pairs = _laid(boxed, size).join(laid, ["_cx", "_cy"]).where(meet & (F.col("_cx") == first("x")) & (F.col("_cy") == first("y")))
     a = [F.col(c) for c in ("ax", "ay", "bx", "by")]
     ring, one = F.col("points"), F.element_at("points", 1)
     inside = F.when(F.col("radius").isNotNull(), inside_circle(*a, one["x"], one["y"], F.col("radius"))).when(F.col("closed"), inside_polygon(*a, ring)).otherwise(_meets_line(*a, ring).cast("double"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayloom.operators import path_costs
+from wayloom.operators.shared import cut
 from wayloom.plans import rules
 from wayloom.plans.derived import cte, derived
 from wayloom.plans.registry import query
@@ -37,7 +38,11 @@ _LINKS = """n AS (SELECT id, id // 20 AS blk, id % 5 * 100 AS x, (id % 20) // 5
 
 def _links(spark, sf_dir):
     streets = derived(spark, sf_dir, "streets").select("id")
-    links = spark.sql("WITH " + _LINKS.replace('"by"', "by").replace("FROM streets", "FROM {streets}").replace("id // 20", "id div 20").replace("(id % 20) // 5", "((id % 20) div 5)") + " SELECT * FROM l", streets=streets)
+    text = _LINKS.replace('"by"', "by").replace("FROM streets", "FROM {streets}").replace("id // 20", "id div 20").replace("(id % 20) // 5", "((id % 20) div 5)")
+    # the same pairs by an equi join on the other end: a block's nodes need not all meet each other
+    text = text.replace("FROM n p", "FROM (SELECT *, explode(array_compact(array(id + 5, CASE WHEN id % 5 < 4 THEN id + 1 END))) AS there FROM n) p")
+    text = text.replace("JOIN n q ON q.blk = p.blk AND (q.id = p.id + 5 OR (q.id = p.id + 1 AND p.id % 5 < 4))", "JOIN n q ON q.id = p.there AND q.blk = p.blk")
+    links = cut(spark.sql(f"WITH {text} SELECT * FROM l", streets=streets))
     highway = F.element_at(F.array(*map(F.lit, ("primary", "secondary", "tertiary", "residential"))), (F.col("kind") + 1).cast("int"))
     point = lambda p: F.struct(F.col(f"{p}x").cast("double").alias("x"), F.col(f"{p}y").cast("double").alias("y"), F.col(f"{p}h").alias("h"))
     links = links.withColumn("tags", F.create_map(F.lit("highway"), highway)).withColumn("shape", F.array(point("a"), point("m"), point("b")))

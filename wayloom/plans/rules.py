@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions.tags import metric
+from wayloom.operators.shared import cut
 
 _TWO = {"or", "and", "xor", "add", "sub", "multiply", "divide", "max", "min", "equal", "greater", "lesser"}
 
@@ -141,17 +142,25 @@ def compile_rules(text: str, context: str, tags: Column, overrides: dict[str, fl
     return _Parser(parts.get(context, []), dict(globals_), set(globals_), tags, foreign or {}, left).assignments()
 
 
+#: So many sets of tags at most have their values broadcast; any other set has less than one in so many of the ways.
+FREQUENT = 1000
+
+
 def evaluate(ways: DataFrame, text: str, outputs: list[str], overrides: dict[str, float] | None = None) -> DataFrame:
     """ways(tags map, ...) with the outputs added for both directions (`name` and `name_back`): backwards, reversedirection=yes joins the tags.
 
-    Rules are evaluated once for each distinct set of tags, and joined back."""
+    Rules are evaluated once for each distinct set of tags, and joined back: the sets that most ways have by a broadcast, so that no task gets all ways of one set, the others by a shuffle."""
     entries = F.array_sort(F.map_entries("tags"))
     keyed = ways.withColumn("_tags", F.to_json(entries))
-    distinct = keyed.groupBy("_tags").agg(F.any_value(entries).alias("_e")).select("_tags", F.map_from_entries("_e").alias("tags"))
+    distinct = keyed.groupBy("_tags").agg(F.any_value(entries).alias("_e"), F.count(F.lit(1)).alias("_n")).select("_tags", "_n", F.map_from_entries("_e").alias("tags"))
     here = compile_rules(text, "way", F.col("tags"), overrides)
     back = compile_rules(text, "way", F.map_concat(F.map_filter("tags", lambda k, v: k != "reversedirection"), F.create_map(F.lit("reversedirection"), F.lit("yes"))), overrides)
-    values = distinct.select("_tags", *(here[o].alias(o) for o in outputs), *(back[o].alias(f"{o}_back") for o in outputs))
-    return keyed.join(values, "_tags").drop("_tags")
+    values = cut(distinct.select("_tags", "_n", *(here[o].alias(o) for o in outputs), *(back[o].alias(f"{o}_back") for o in outputs)))
+    if values.count() <= FREQUENT:
+        return keyed.join(F.broadcast(values.drop("_n")), "_tags").drop("_tags")
+    often = cut(values.orderBy(F.desc("_n"), "_tags").limit(FREQUENT).drop("_n"))
+    seldom = keyed.join(F.broadcast(often.select("_tags")), "_tags", "left_anti").join(values.drop("_n"), "_tags")
+    return keyed.join(F.broadcast(often), "_tags").unionByName(seldom).drop("_tags")
 
 
 #: A profile of our own, for cars.
