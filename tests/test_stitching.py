@@ -124,3 +124,25 @@ def test_stitched_query_equals_a_walk(spark):
     for fid, _, nid in want:
         nodes.setdefault(fid, []).append(str(nid))
     assert put and {r.fid: r.nodes for r in graph_stitched(spark, data).collect()} == {f: ",".join(n) for f, n in nodes.items()}
+
+
+def test_an_end_finds_what_is_near_in_its_own_cell(spark):
+    """Segments are laid once in each cell they come near, so that no end has to look around and no pair is met twice."""
+    rng = random.Random(8)
+    limit, size = 12, 48
+    segments = [(i, *(rng.randrange(-150, 150) for _ in range(4))) for i in range(150)] + [(150, 5, -90, 5, 70), (151, -90, 48, 96, 48), (152, 47, 47, 47, 47)]
+    cells = stitching._laid_near(spark.createDataFrame(segments, "i long, ax long, ay long, bx long, by long"), limit, size).select("i", "cx", "cy").collect()
+    laid = {tuple(r) for r in cells}
+    assert len(laid) == len(cells)
+    near = 0
+    for i, ax, ay, bx, by in segments:
+        for _ in range(60):
+            t = rng.random()
+            x, y = round(ax + t * (bx - ax)) + rng.randrange(-limit, limit + 1), round(ay + t * (by - ay)) + rng.randrange(-limit, limit + 1)
+            length = (bx - ax) ** 2 + (by - ay) ** 2
+            u = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / length)) if length else 0.0
+            if (ax + u * (bx - ax) - x) ** 2 + (ay + u * (by - ay) - y) ** 2 < limit**2:
+                near += 1
+                assert (i, x // size, y // size) in laid
+    assert near > 5000
+    assert max(sum(c[0] == i for c in laid) for i, *_ in segments) < 40

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayloom.operators.graph import segment_cells
 from wayloom.operators.shared import components, cut
 
 
@@ -53,6 +52,17 @@ def _near(x: Column, y: Column, px: Column, py: Column, limit: int) -> Column:
     return (x - px) * (x - px) + (y - py) * (y - py) < limit * limit
 
 
+def _laid_near(segments: DataFrame, limit: int, size: int) -> DataFrame:
+    """segments(ax, ay, bx, by, ...) a row a cell (cx, cy) of `size` that may hold points nearer than limit: column by column, where the segment runs in what is within limit of the column."""
+    ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size)))
+    columns = segments.select("*", cells(F.least(ax, bx) - limit, F.greatest(ax, bx) + limit).alias("cx"))
+    left, right = F.greatest(F.least(ax, bx), F.col("cx") * size - limit), F.least(F.greatest(ax, bx), (F.col("cx") + 1) * size + limit)
+    at = lambda x, upright: F.when(ax == bx, upright).otherwise(ay + (x - ax) / (bx - ax) * (by - ay))
+    y0, y1 = at(left, ay), at(right, by)
+    return columns.select("*", cells(F.least(y0, y1) - limit - 1, F.greatest(y0, y1) + limit + 1).alias("cy"))
+
+
 def stitched(fragments: DataFrame, positions: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """fragments(fid, k, nid), positions(nid, x, y in whole units) -> fragments joined at loose ends (fid, k, nid), and what was put in: (fid, k, t, nid).
 
@@ -62,7 +72,7 @@ def stitched(fragments: DataFrame, positions: DataFrame, limit: int) -> tuple[Da
       fragment by then has a node that is one with the end.
     Nodes that have become one have the least id of them; repeats in a row are dropped; places of several ends in a segment are in order of t.
     Decisions equal those of the walk from end to end, but are made at once: what is one is a graph of dated edges, and whether a fragment has a
-    node of its end at a date is asked of it (see `connected_before`). Segments meet ends by an equi join on cells of 2 x limit."""
+    node of its end at a date is asked of it (see `connected_before`). Segments are laid in the cells of 4 x limit that they come within limit of, and meet ends by an equi join on the end's own cell: each pair once."""
     place = lambda p: positions.select(F.col("nid").alias(p), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
     nodes = cut(fragments.select("fid", "k", "nid"))
     on = Window.partitionBy("fid").orderBy("k")
@@ -70,18 +80,19 @@ def stitched(fragments: DataFrame, positions: DataFrame, limit: int) -> tuple[Da
     ends = nodes.groupBy("fid").agg(F.min(F.struct("k", "nid")).alias("p"), F.max(F.struct("k", "nid")).alias("q"))
     ends = ends.select(F.explode(F.array(F.struct(F.col("p.nid").alias("nid"), (F.col("fid") * 2).alias("turn")), F.struct(F.col("q.nid").alias("nid"), (F.col("fid") * 2 + 1).alias("turn")))).alias("e"))
     ends = ends.groupBy("e.nid").agg(F.min("e.turn").alias("turn")).join(positions, "nid")
-    size = 2 * limit
-    laid = segments.select("*", F.inline(segment_cells(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), size)))
-    shift = F.array(*(F.lit(d) for d in (-1, 0, 1)))
-    asked = ends.select("*", F.explode(shift).alias("i")).select("*", F.explode(shift).alias("j"))
-    asked = asked.select("nid", "turn", "x", "y", (F.floor(F.col("x") / size) + F.col("i")).alias("cx"), (F.floor(F.col("y") / size) + F.col("j")).alias("cy"))
-    x, y, dx, dy = F.col("x"), F.col("y"), F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - F.col("ax")) * dx + (y - F.col("ay")) * dy).cast("double") / (dx * dx + dy * dy)))
-    near_a, near_b = _near(x, y, F.col("ax"), F.col("ay"), limit), _near(x, y, F.col("bx"), F.col("by"), limit)
-    met = asked.join(laid, ["cx", "cy"]).where("nid <> a and nid <> b").withColumn("t", F.when((dx != 0) | (dy != 0), t).otherwise(F.lit(0.0)))
-    inside = _near(x.cast("double"), y.cast("double"), F.col("ax") + F.col("t") * dx, F.col("ay") + F.col("t") * dy, limit)
+    size = 4 * limit
+    laid = _laid_near(segments, limit, size)
+    asked = ends.select("nid", "turn", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    x, y, ax, ay, bx, by, dx, dy = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by", "dx", "dy"))
+    around = lambda p, u, v: (p >= F.least(u, v) - limit) & (p <= F.greatest(u, v) + limit)
+    met = asked.join(laid, ["cx", "cy"]).where(around(x, ax, bx) & around(y, ay, by) & F.expr("nid <> a and nid <> b"))
+    # generators, so that no step is worked out again for each of its uses
+    met = met.select("nid", "turn", "fid", "k", "a", "b", "x", "y", "ax", "ay", "bx", "by", F.inline(F.array(F.struct((bx - ax).alias("dx"), (by - ay).alias("dy")))))
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy).cast("double") / (dx * dx + dy * dy)))
+    met = met.select("*", F.inline(F.array(F.struct(F.when((dx != 0) | (dy != 0), t).otherwise(F.lit(0.0)).alias("t")))))
+    near_a, near_b, inside = _near(x, y, ax, ay, limit), _near(x, y, bx, by, limit), _near(x.cast("double"), y.cast("double"), ax + F.col("t") * dx, ay + F.col("t") * dy, limit)
     found = F.when(near_a, F.col("a")).when(near_b, F.col("b"))
-    met = cut(met.where(near_a | near_b | inside).select("nid", "fid", "k", "t", F.struct("turn", "fid", "k").alias("time"), found.alias("to")).distinct())
+    met = cut(met.where(near_a | near_b | inside).select("nid", "fid", "k", "t", F.struct("turn", "fid", "k").alias("time"), found.alias("to")))
     dated = cut(met.where("to is not null").select(F.least("nid", "to").alias("a"), F.greatest("nid", "to").alias("b"), "time").groupBy("a", "b").agg(F.min("time").alias("time")))
     one = cut(components(dated).select(F.col("node").alias("nid"), F.col("component").alias("root")))
     # of each end and fragment, the first place counts alone: what a fragment shares once, it shares for good
