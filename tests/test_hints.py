@@ -86,3 +86,12 @@ def test_hints_of_no_routes(spark):
     assert hints.route_hints(spark.createDataFrame([], hints.NODES)).count() == 0
     nothing = spark.createDataFrame([(*node(0)[:-1], None), (*node(1, 180.0)[:-1], None)], hints.NODES)
     assert [r.command for r in hints.route_hints(nothing).collect()] == ["TU"]
+
+
+def test_routes_meet_the_ways_of_all_lines(spark, tmp_path):
+    from wayloom.plans.hint_queries import hint_routes
+
+    spark.createDataFrame([(10, 1)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(10, 1, 1, 5)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    angle = 10 * 37 % 359 - 179  # -168: only where there is another way does it need a hint
+    assert [(r.route, r.seq, r.angle) for r in hint_routes(spark, str(tmp_path)).collect()] == [(1, 10, float(angle))]

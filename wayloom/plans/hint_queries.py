@@ -8,6 +8,8 @@ from wayloom.operators import hints
 from wayloom.plans.registry import query
 
 _WAYS = """SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s, CAST(l_partkey * 53 % 357 - 178 AS DOUBLE) AS turn, CAST(18 + l_suppkey % 4 AS INT) AS prio, l_partkey % 7 = 0 AS link, l_partkey % 5 = 0 AS oneway, CAST(l_suppkey % 30 AS DOUBLE) AS factor FROM lineitem WHERE l_linenumber < 3"""
+#: Every line is a way not taken.
+_ALL_WAYS = _WAYS.removesuffix(" WHERE l_linenumber < 3")
 
 #: The angles of other ways are counted from the side of the turn (near, far), as for a turn to the right.
 _JUNCTIONS = f"""WITH b AS ({_WAYS}),
@@ -30,8 +32,8 @@ _JUNCTIONS = f"""WITH b AS ({_WAYS}),
 SELECT route, seq, always OR rival >= lesser AS hint, NOT always AND command = 'C' AS real, CASE WHEN s > 5 AND leftmost > a AND leftmost < a + 45 - least(a, 0) THEN 'KL' WHEN s > 5 AND rightmost < a AND rightmost > a - 45 - greatest(a, 0) THEN 'KR' ELSE command END AS command FROM c"""
 
 
-def _nodes(spark, sf_dir):
-    lines = spark.sql(_WAYS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+def _nodes(spark, sf_dir, lines: str = _WAYS):
+    lines = spark.sql(lines.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
     way = F.struct("n", "p", "s", F.struct("turn", "prio", "link", "oneway", "factor", (~F.col("oneway")).alias("car")).alias("way"))
     bad = lines.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(way)), lambda x: x["way"]).alias("bad"))
     k = F.col("o_orderkey")
@@ -49,4 +51,4 @@ def hint_junctions(spark, sf_dir):
 
 @query("hint_routes")
 def hint_routes(spark, sf_dir):
-    return hints.route_hints(_nodes(spark, sf_dir)).select("route", "seq", "command", F.round("angle", 6).alias("angle"), "exit", F.round("metres", 6).alias("metres"))
+    return hints.route_hints(_nodes(spark, sf_dir, _ALL_WAYS)).select("route", "seq", "command", F.round("angle", 6).alias("angle"), "exit", F.round("metres", 6).alias("metres"))
