@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from wayloom.functions.geo import turn, turn_angle
+from wayloom.operators import kinematics
 from wayloom.operators.kinematics import Vehicle, braking_speed, kinematic_routes, rolled
 
 CAR = Vehicle()
@@ -147,3 +149,24 @@ def test_closed_ways_and_nowhere(spark):
     requests = spark.createDataFrame([(1, 1, 2, 0, 0, 0, 0), (2, 1, 3, 0, 0, 0, 0), (3, 5, 6, 0, 0, 0, 0), (4, 1, 1, 0, 0, 0, 0)], "rid long, start long, goal long, x1 int, y1 int, x2 int, y2 int")
     got = kinematic_routes(requests, ways, 0).groupBy("rid").count().collect()
     assert {r["rid"]: r["count"] for r in got} == {1: 2, 4: 1}
+
+
+def test_turns_bound_once_equal_turns(spark):
+    steps = spark.range(3000).select(*(F.round(F.randn(k) * 2).alias(c) for k, c in enumerate("abcd")))
+    a, b, c, d = map(F.col, "abcd")
+    inside = F.element_at(F.transform(F.array("a"), lambda x: turn_angle(x, b, c, d)), 1)
+    got = steps.select(turn(a, b, c, d)[0].alias("plain"), inside.alias("inside"))
+    assert got.where("not (plain <=> inside)").count() == 0
+    # an expression in which each step is written once, not once for each of its uses
+    assert len(got.select("inside")._jdf.queryExecution().optimizedPlan().toString()) < 10_000
+
+
+def test_a_second_search_works_out_nothing_anew(monkeypatch):
+    calls, plain = [], kinematics.driven
+    monkeypatch.setattr(kinematics, "driven", lambda *args: calls.append(args) or plain(*args))
+    out = {n: [(m, [820 * 14.0**2, 820 * 10.0**2, 0.0, 0.0, 1e9], [(100.0, 0.0, math.nan)], {}) for m in (2 * n + 1, 2 * n + 2)] for n in range(7)}
+    begin = kinematics.Reached(0, kinematics.State(), {})
+    first = kinematics.fastest_path(out, begin, 9, set(), CAR)
+    n = len(calls)
+    assert first[1] == [0, 1, 4, 9] and n
+    assert kinematics.fastest_path(out, begin, 9, set(), CAR, limit=first[0].cost) == first and len(calls) == n

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -184,6 +186,27 @@ def turn(x10: Column, y10: Column, x21: Column, y21: Column) -> tuple[Column, Co
     return F.when(d == 0, 0.0).otherwise(angle), F.when(d == 0, 1.0).otherwise(c)
 
 
+def bound(use: Callable[..., Column], *made: Column) -> Column:
+    """use(*made) with each of made worked out once. Inside higher-order functions Spark works an expression out anew for each of its uses; there this is an element of an array of one."""
+    return F.element_at(F.transform(F.array(F.struct(*(c.alias(f"_{k}") for k, c in enumerate(made)))), lambda m: use(*(m[f"_{k}"] for k in range(len(made))))), 1)
+
+
+def turn_angle(x10: Column, y10: Column, x21: Column, y21: Column) -> Column:
+    """The angle of `turn`, for use inside higher-order functions."""
+
+    def of_ratios(s: Column, c: Column, d: Column) -> Column:
+        steep, low, back = s * s > 0.5, s < 0, c < 0
+        offset = F.when(steep & low, -90.0).when(steep, 90.0).when(back & low, -180.0).when(back, 180.0).otherwise(0.0)
+        v = F.when(steep & low, c).when(steep, -c).when(back, -s).otherwise(s)
+        return bound(lambda v, v2: F.when(d == 0, 0.0).otherwise(offset + v * (57.4539 + v2 * (9.57565 + v2 * (4.30904 + v2 * 2.56491)))), v, v * v)
+
+    def of_steps(x10: Column, y10: Column, x21: Column, y21: Column) -> Column:
+        length = F.sqrt((x10 * x10 + y10 * y10) * (x21 * x21 + y21 * y21))
+        return bound(lambda d, by: bound(of_ratios, (y10 * x21 - x10 * y21) / by, (y10 * y21 + x10 * x21) / by, d), length, F.nullif(length, F.lit(0.0)))  # null and not 0, by which nothing is divided
+
+    return bound(of_steps, x10, y10, x21, y21)
+
+
 def bucket_corner(degrees: Column, offset: int) -> Column:
     """The south-west corner of the five-degree bucket, in whole degrees: towards minus infinity."""
     return (F.floor((F.floor(degrees) + offset) / BUCKET_DEGREES) * BUCKET_DEGREES - offset).cast("int")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import heapq
 import math
 from dataclasses import dataclass
+from functools import cached_property
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.functions.geo import turn
+from wayloom.functions.geo import bound, turn_angle
 from wayloom.operators.path_costs import CLOSED_FACTOR, CLOSED_NODE
 from wayloom.operators.routing import Unproven, in_corridors, leads_on
 from wayloom.operators.shared import cut
@@ -37,12 +39,12 @@ class Vehicle:
     right: float = 12.0
     decay: float = 5.0
 
-    @property
+    @cached_property
     def balance(self) -> float:
         """The power a second is worth: at it, top speed is the cheapest speed."""
         return 2 * self.air * (self.top / 3.6) ** 3 - self.standby
 
-    @property
+    @cached_property
     def unit(self) -> float:
         """What a metre costs at the cheapest speed."""
         v = self.top / 3.6
@@ -68,12 +70,12 @@ def prepared(edges: DataFrame, car: Vehicle) -> DataFrame:
     limit = F.least(have("maxspeed", car.top), F.greatest(have("minspeed", 0.0), F.lit(car.top))) / 3.6
     open_ = (limit > 0) & (have("costfactor", 1.0) <= CLOSED_FACTOR) & (have("nodecost", 0.0) < CLOSED_NODE) & (F.size("shape") > 1)
     energy = lambda v: 0.5 * car.weight * v * v
-    rule = F.array(energy(limit), energy(braking_speed(limit, car)), have("destination", 0.0), F.floor(have("nodecost", 0.0)).cast("double"), energy(have("nodespeed", FREE)))
+    rule = F.array(energy(limit), bound(energy, braking_speed(limit, car)), have("destination", 0.0), F.floor(have("nodecost", 0.0)).cast("double"), energy(have("nodespeed", FREE)))
     way = lambda i, j: (p(j)["x"] - p(i)["x"], p(j)["y"] - p(i)["y"])
 
     def section(i: Column) -> Column:
         dx, dy = way(i, i + 1)
-        bend = F.when(i > 1, turn(*way(F.greatest(i - 1, F.lit(1)), i), dx, dy)[0]).otherwise(0.0)
+        bend = F.when(i > 1, turn_angle(*way(F.greatest(i - 1, F.lit(1)), i), dx, dy)).otherwise(0.0)
         return F.array(F.floor(F.sqrt(dx * dx + dy * dy)).cast("double"), bend, F.coalesce(p(i + 1)["h"].cast("double"), F.lit(float("nan"))))
 
     ends = [p(i)[c].cast("double").alias(n) for i, c, n in ((1, "x", "ax"), (1, "y", "ay"), (-1, "x", "bx"), (-1, "y", "by"))]
@@ -87,7 +89,7 @@ def prepared(edges: DataFrame, car: Vehicle) -> DataFrame:
     met = ways.join(ahead, F.col("b") == F.col("_n"), "left")
     bent = F.transform(
         F.filter(F.coalesce("_ahead", F.array().cast(ahead.schema["_ahead"].dataType)), lambda w: w["end"] != F.col("a")),
-        lambda w: F.struct(w["end"].alias("end"), turn(F.col("last.x"), F.col("last.y"), w["first"]["x"], w["first"]["y"])[0].alias("angle"), w["kind"].alias("kind")),
+        lambda w: F.struct(w["end"].alias("end"), turn_angle(F.col("last.x"), F.col("last.y"), w["first"]["x"], w["first"]["y"]).alias("angle"), w["kind"].alias("kind")),
     )
 
     def junction(w: Column) -> Column:
@@ -105,8 +107,7 @@ def prepared(edges: DataFrame, car: Vehicle) -> DataFrame:
     return met.withColumn("_bent", bent).withColumn("turns", F.transform("_bent", junction)).drop("_n", "_ahead", "_bent", "kind", "first", "last")
 
 
-@dataclass(slots=True)
-class State:
+class State(NamedTuple):
     """Where a path stands: cost, seconds, joules spent, kinetic energy, what is left of bends to both sides, height, whether on a destination way and free to leave it."""
 
     cost: int = 0
@@ -126,11 +127,14 @@ def rolled(moving: float, metres: float, slope: float, air: float, fastest: floa
 
     The limits are energies. Between them the energy follows dE/dx = force + 2 air / weight (E - E0), solved in closed form by steps of 50 m; a step's time is that of its first force."""
     seconds = lost = 0.0
-    growth, speed = 2 * air / car.weight, math.sqrt(2 * moving / car.weight)
+    weight, standby = car.weight, car.standby
+    growth, speed = 2 * air / weight, math.sqrt(2 * moving / weight)
     while metres > 0:
         fast, slow = moving >= fastest, moving < slowest
         drag = car.roll + air * speed * speed + slope
-        braked = max(0.0, -drag if fast else (car.recup if slow else 0.0) - slope)
+        braked = -drag if fast else (car.recup if slow else 0.0) - slope
+        if not braked > 0.0:
+            braked = 0.0
         force = drag + braked
         if fast:
             x, gained, moving = metres, metres * force, fastest
@@ -139,88 +143,126 @@ def rolled(moving: float, metres: float, slope: float, air: float, fastest: floa
             target = slowest if slow else fastest
             gained = target - moving
             x = math.log1p(gained * growth / force) / growth if growth else gained / force
-            if x >= min(STEP, metres):
-                x = min(STEP, metres)
+            step = metres if metres < STEP else STEP
+            if x >= step:
+                x = step
                 gained = force * math.expm1(x * growth) / growth if growth else force * x
                 moving += gained
             else:
                 moving = target
-            reached = math.sqrt(2 * moving / car.weight)
-            time, speed = (reached - speed) * car.weight / force, reached
+            reached = math.sqrt(2 * moving / weight)
+            time, speed = (reached - speed) * weight / force, reached
         metres -= x
         seconds += time
-        lost += gained - x * (slope + braked * car.efficiency) - 0.5 * max(x * braked * (1 - car.efficiency), time * car.standby)
-    return moving, seconds, lost + seconds * car.standby
+        idle = x * braked * (1 - car.efficiency)
+        if time * standby > idle:
+            idle = time * standby
+        lost += gained - x * (slope + braked * car.efficiency) - 0.5 * idle
+    return moving, seconds, lost + seconds * standby
 
 
 def driven(s: State, rule, sections, onto, car: Vehicle) -> State | None:
-    """The state behind a way that is entered by the turn `onto` (angle, speed, seconds; None at the start); None where it may not follow."""
+    """The state behind a way that is entered by the turn `onto` (angle, speed, seconds; None at the start); None where it may not follow. sections: (metres, bend, height) each."""
     fastest, slowest, destination, node_cost, node_energy = rule
-    may_leave = s.may_leave if s.started else destination > 0
-    if s.started and s.on and not destination:
+    cost, seconds, spent, moving, left, right, height, started, on, may_leave = s
+    if not started:
+        may_leave = destination > 0
+    elif on and not destination:
         if not may_leave:
             return None
         may_leave = False
-    cost, seconds, spent, moving, left, right, height = s.cost, s.seconds, s.spent, s.moving, s.left, s.right, s.height
-    for k in range(0, len(sections), 3):
-        metres, bend, h = sections[k : k + 3]
+    half, first = 0.5 * car.weight, True
+    for metres, bend, h in sections:
         extra = 0.0
-        if k or onto is not None:
+        if not first or onto is not None:
             speed = FREE
-            if not k:
+            if first:
                 bend, speed, extra = onto
             if car.decay:
-                left, right = (left - bend, right) if bend < 0 else (left, right + bend)
-                most = max(left, right)
+                if bend < 0:
+                    left -= bend
+                else:
+                    right += bend
+                most = right if right > left else left
                 curve = 200.0 / most if most > BEND_FROM else STRAIGHT
                 fades = math.exp(-metres / curve / car.decay)
                 left, right = left * fades, right * fades
-                speed = min(speed, curve) if curve < STRAIGHT else speed
-            moving = min(moving, 0.5 * car.weight * speed * speed)
-        h = height if math.isnan(h) else h
-        climb = 0.0 if math.isnan(height) or math.isnan(h) else h - height
-        air = car.air * (1 + (20 - car.outside) * 0.0035 - 0.0001375 * ((100.0 if math.isnan(h) else h) - 100))
+                if curve < STRAIGHT and curve < speed:
+                    speed = curve
+            most = half * speed * speed
+            if most < moving:
+                moving = most
+        first = False
+        if h != h:
+            h = height
+        climb = h - height
+        unknown = climb != climb  # without a height
+        air = car.air * (1 + (20 - car.outside) * 0.0035 - 0.0001375 * ((100.0 if h != h else h) - 100))
         time = lost = 0.0
         if metres:
-            slope = climb * car.weight * GRAVITY / metres
+            slope = (0.0 if unknown else climb) * car.weight * GRAVITY / metres
             moving, time, lost = rolled(moving, metres, slope, air, fastest, slowest, car)
             spent += lost + metres * slope
         step = (car.balance * (time + extra) + lost) / car.unit
         if step < 0:
             return None
         cost, seconds, height = cost + int(step), seconds + time + extra, h
-    return State(cost + int(node_cost), seconds, spent, min(moving, node_energy), left, right, height, True, destination > 0, may_leave)
+    return State(cost + int(node_cost), seconds, spent, node_energy if node_energy < moving else moving, left, right, height, True, destination > 0, may_leave)
 
 
-def fastest_path(out: dict, start: int, goal: int, banned: set, car: Vehicle, drop: float = 100.0, air=None, coefficient: float = 0.0, limit: float = math.inf, height: float = math.nan, beyond: frozenset = frozenset()):
+@dataclass(slots=True, eq=False)
+class Reached:
+    """A state at a node on a path: what turns lead on, and the states behind the ways on from here once they are worked out."""
+
+    node: int
+    state: State
+    turns: dict
+    ahead: list[Reached] | None = None
+
+
+def fastest_path(out: dict, begin: Reached, goal: int, banned: set, car: Vehicle, drop: float = 100.0, air=None, coefficient: float = 0.0, limit: float = math.inf, beyond: frozenset = frozenset()):
     """(state, nodes) of a path to goal, or None. out: {node: [(end, rule, sections, {next: turn})]}.
 
-    States on one edge that cost over `drop` more than another one there aren't followed, nor those equal to one in everything or beyond limit."""
-    if start == goal:
-        return State(), [start]
-    queue, seen, n = [(0, 0, start, -1, State(height=height), {}, None)], {}, 0
+    States on one edge that cost over `drop` more than another one there aren't followed, nor those equal to one in everything or beyond limit. What lies ahead of a state is kept with it, so a second search from begin works out only what the first one didn't."""
+    if begin.node == goal:
+        return State(), [goal]
+    # of each edge: the least cost of a state that is followed, and all of them
+    queue, seen, n = [(0, 0, begin, None)], {}, 0
     while queue:
-        _, _, node, before, state, turns, trail = heapq.heappop(queue)
+        _, _, at, trail = heapq.heappop(queue)
+        node, before = at.node, trail[0] if trail else -1
         if node == goal:
             path = [node]
             while trail:
                 path.append(trail[0])
                 trail = trail[1]
-            return state, path[::-1]
+            return at.state, path[::-1]
         if node in beyond:
             raise Unproven
-        for end, rule, sections, onward in out.get(node, ()):
-            if end == before or (before, node, end) in banned:
+        if at.ahead is None:
+            at.ahead = []
+            for end, rule, sections, onward in out.get(node, ()):
+                if end != before and (before, node, end) not in banned:
+                    state = driven(at.state, rule, sections, at.turns.get(end), car)
+                    if state is not None:
+                        at.ahead.append(Reached(end, state, onward))
+        trail = node, trail
+        for to in at.ahead:
+            new = to.state
+            if new.cost > limit:
                 continue
-            new = driven(state, rule, sections, turns.get(end), car)
-            if new is None or new.cost > limit:
+            key = node, to.node, new.on, new.may_leave
+            least, others = seen.get(key, (math.inf, None))
+            if others is None:
+                seen[key] = new.cost, {new}
+            elif new.cost > least + drop or new in others:
                 continue
-            others = seen.setdefault((node, end, new.on, new.may_leave), [])
-            if any(new.cost > o.cost + drop or new == o for o in others):
-                continue
-            others.append(new)
+            else:
+                others.add(new)
+                if new.cost < least:
+                    seen[key] = new.cost, others
             n += 1
-            heapq.heappush(queue, (new.cost + (int(air(end) * coefficient) if air and coefficient else 0), n, end, node, new, onward, (node, trail)))
+            heapq.heappush(queue, (new.cost + (int(air(to.node) * coefficient) if air and coefficient else 0), n, to, trail))
     return None
 
 
@@ -229,15 +271,19 @@ def kinematic_routes(requests: DataFrame, edges: DataFrame, margin: int, car: Ve
 
     Requests are searched in chunks, over the edges of their corridors of cells, which grow until the result is that of the whole graph.
     A first pass towards the goal (hasty: what a metre of air distance counts; negative: none) bounds the exact one. Goals that nothing leads to give no rows."""
-    led = cut(leads_on(prepared(edges, car), restrictions))
+    # numbers in plain arrays: an array of structs would become a dict a turn
+    numbers = F.flatten(F.transform("turns", lambda t: F.array(t["angle"], t["speed"], t["seconds"])))
+    ways = prepared(edges, car).select("*", F.transform("turns", lambda t: t["end"].cast("long")).alias("ends"), numbers.alias("onto")).drop("turns")
+    led = cut(leads_on(ways, restrictions))
 
     def run(asked: list[tuple], frame: pd.DataFrame) -> pd.DataFrame:
         out, places, heights, banned, ends = {}, {}, {}, set(), set()
-        for a, b, ax, ay, ah, bx, by, on, rule, sections, turns, ts in zip(*(frame[k].tolist() for k in ("a", "b", "ax", "ay", "ah", "bx", "by", "on", "rule", "sections", "turns", "banned"))):
+        threes = lambda numbers: list(zip(*[iter(numbers.tolist())] * 3))
+        for a, b, ax, ay, ah, bx, by, on, rule, sections, nexts, onto, ts in zip(*(frame[k].tolist() for k in ("a", "b", "ax", "ay", "ah", "bx", "by", "on", "rule", "sections", "ends", "onto", "banned"))):
             onward = {}
-            for t in turns:
-                onward.setdefault(int(t["end"]), (t["angle"], t["speed"], t["seconds"]))
-            out.setdefault(a, []).append((b, rule.tolist(), sections.tolist(), onward))
+            for end, turn in zip(nexts.tolist(), threes(onto)):
+                onward.setdefault(end, turn)  # the first of ways to one node
+            out.setdefault(a, []).append((b, rule.tolist(), threes(sections), onward))
             places[a], places[b], heights[a] = (ax, ay), (bx, by), ah
             if on:
                 ends.add(b)
@@ -246,12 +292,12 @@ def kinematic_routes(requests: DataFrame, edges: DataFrame, margin: int, car: Ve
         beyond, rows = frozenset(ends - out.keys()), []
         for rid, start, goal in asked:
             air = lambda node: math.dist(places[node], places[goal]) if node in places and goal in places else 0.0  # noqa: B023, E731
-            height = heights.get(start, math.nan)
+            begin = Reached(start, State(height=heights.get(start, math.nan)), {})
             try:
-                first = fastest_path(out, start, goal, banned, car, drop, air, hasty, height=height) if hasty >= 0 else None
-                found = fastest_path(out, start, goal, banned, car, drop, limit=first[0].cost if first else math.inf, height=height, beyond=beyond) or first
+                first = fastest_path(out, begin, goal, banned, car, drop, air, hasty) if hasty >= 0 else None
+                found = fastest_path(out, begin, goal, banned, car, drop, limit=first[0].cost if first else math.inf, beyond=beyond) or first
                 if found:
-                    state, turns = State(height=height), {}
+                    state, turns = begin.state, {}
                     rows.append((rid, 0, start, 0, 0.0, 0.0))
                     for k, (a, b) in enumerate(zip(found[1], found[1][1:]), 1):
                         ways = [(driven(state, rule, sections, turns.get(b), car), onward) for end, rule, sections, onward in out[a] if end == b]

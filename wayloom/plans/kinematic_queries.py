@@ -12,7 +12,7 @@ from wayloom.plans.registry import query
 @query("route_kinematic")
 def route_kinematic(spark, sf_dir):
     """Through each block from its first node to its last: cost, seconds and joules of a car. A road's class gives its speed and rank; SQL can't follow the energy, a step-by-step twin tests it."""
-    links = _links(spark, sf_dir)
+    links = _links(spark, sf_dir, ["costfactor", "initialclassifier"])
     of = lambda *v: F.element_at(F.array(*(F.lit(float(x)) for x in v)), F.col("initialclassifier").cast("int"))
     ways = links.select("a", "b", "shape", "cx", "cy", "blk", "nodecost", of(100, 70, 50).alias("maxspeed"), of(24, 20, 12).alias("priority"), (F.col("costfactor") == 2).alias("residential"))
     blocks = ways.groupBy(F.col("blk").alias("rid")).agg(F.min("a").alias("start"), F.max("b").alias("goal"))

@@ -36,7 +36,7 @@ _LINKS = """n AS (SELECT id, id // 20 AS blk, id % 5 * 100 AS x, (id % 20) // 5
     FROM n p JOIN w USING (blk) JOIN n q ON q.blk = p.blk AND (q.id = p.id + 5 OR (q.id = p.id + 1 AND p.id % 5 < 4)))"""
 
 
-def _links(spark, sf_dir):
+def _links(spark, sf_dir, outputs=OUTPUTS):
     streets = derived(spark, sf_dir, "streets").select("id")
     text = _LINKS.replace('"by"', "by").replace("FROM streets", "FROM {streets}").replace("id // 20", "id div 20").replace("(id % 20) // 5", "((id % 20) div 5)")
     # the same pairs by an equi join on the other end: a block's nodes need not all meet each other
@@ -46,7 +46,7 @@ def _links(spark, sf_dir):
     highway = F.element_at(F.array(*map(F.lit, ("primary", "secondary", "tertiary", "residential"))), (F.col("kind") + 1).cast("int"))
     point = lambda p: F.struct(F.col(f"{p}x").cast("double").alias("x"), F.col(f"{p}y").cast("double").alias("y"), F.col(f"{p}h").alias("h"))
     links = links.withColumn("tags", F.create_map(F.lit("highway"), highway)).withColumn("shape", F.array(point("a"), point("m"), point("b")))
-    return rules.evaluate(links, HILLS, OUTPUTS).select("a", "b", "shape", "nodecost", *OUTPUTS, F.col("blk").alias("cx"), F.lit(0).alias("cy"), "blk")
+    return rules.evaluate(links, HILLS, outputs).select("a", "b", "shape", "nodecost", *outputs, F.col("blk").alias("cx"), F.lit(0).alias("cy"), "blk")
 
 
 def _sql(banned: str) -> str:
