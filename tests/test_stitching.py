@@ -146,3 +146,15 @@ def test_an_end_finds_what_is_near_in_its_own_cell(spark):
                 assert (i, x // size, y // size) in laid
     assert near > 5000
     assert max(sum(c[0] == i for c in laid) for i, *_ in segments) < 40
+
+
+def test_what_grows_is_not_broadcast(spark, monkeypatch):
+    plans, plain = [], stitching.cut
+    told = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    monkeypatch.setattr(stitching, "cut", lambda df: told(df) or plain(df))
+    fragments, places = linework(random.Random(3), 6, 60, 12)
+    rows = [(f, k, n) for f, nodes in fragments.items() for k, n in enumerate(nodes)]
+    out, put = stitching.stitched(spark.createDataFrame(rows, "fid long, k long, nid long"), spark.createDataFrame([(n, *xy) for n, xy in places.items()], "nid long, x long, y long"), 12)
+    told(out)
+    # only the numbers of rows before each partition are (a row a partition)
+    assert len(plans) > 5 and [p for p in plans if "BroadcastHashJoin" in p and "_before" not in p] == []

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from wayloom.operators.shared import components, cut
 
 
+#: What grows with the graph is joined by a merge: a table's size tells nothing of the rows made of it, and as a broadcast they would all pass through the driver.
+GROWS = "merge"
 #: Parts that a span of dates is split into, a level.
 FAN = 16
 
@@ -37,11 +39,11 @@ def connected_before(edges: DataFrame, asked: DataFrame, fan: int = FAN) -> Data
         own = rows.withColumn("child", F.expr(f"pos div {part}"))
         wanted = own.where("q is not null").select("child").distinct()
         upto = F.expr(f"(pos div {span} + 1) * {fan} - 1")
-        ahead = own.where("q is null").withColumn("child", F.explode(F.when(F.col("child") < upto, F.sequence(F.col("child") + 1, upto)))).join(wanted, "child", "left_semi")
+        ahead = own.where("q is null").withColumn("child", F.explode(F.when(F.col("child") < upto, F.sequence(F.col("child") + 1, upto)))).join(wanted.hint(GROWS), "child", "left_semi")
         node = lambda c: F.struct("child", F.col(c).alias("node"))
         groups = components(ahead.select(node("a").alias("a"), node("b").alias("b"))).select("node.child", "node.node", F.col("component.node").alias("root"))
-        to = lambda c: groups.select("child", F.col("node").alias(c), F.col("root").alias(f"_{c}"))
-        moved = own.join(wanted, "child", "left_semi").join(to("a"), ["child", "a"], "left").join(to("b"), ["child", "b"], "left")
+        to = lambda c: groups.select("child", F.col("node").alias(c), F.col("root").alias(f"_{c}")).hint(GROWS)
+        moved = own.join(wanted.hint(GROWS), "child", "left_semi").join(to("a"), ["child", "a"], "left").join(to("b"), ["child", "b"], "left")
         moved = cut(moved.select("q", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "pos").distinct())
         out = out.union(moved.where("q is not null and a = b").select("q"))
         rows, span = moved.where("a <> b"), part
@@ -73,19 +75,19 @@ def stitched(fragments: DataFrame, positions: DataFrame, limit: int) -> tuple[Da
     Nodes that have become one have the least id of them; repeats in a row are dropped; places of several ends in a segment are in order of t.
     Decisions equal those of the walk from end to end, but are made at once: what is one is a graph of dated edges, and whether a fragment has a
     node of its end at a date is asked of it (see `connected_before`). Segments are laid in the cells of 4 x limit that they come within limit of, and meet ends by an equi join on the end's own cell: each pair once."""
-    place = lambda p: positions.select(F.col("nid").alias(p), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
+    place = lambda p: positions.select(F.col("nid").alias(p), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y")).hint(GROWS)
     nodes = cut(fragments.select("fid", "k", "nid"))
     on = Window.partitionBy("fid").orderBy("k")
     segments = nodes.select("fid", "k", F.col("nid").alias("a"), F.lead("nid").over(on).alias("b")).where("b is not null and a <> b").join(place("a"), "a").join(place("b"), "b")
     ends = nodes.groupBy("fid").agg(F.min(F.struct("k", "nid")).alias("p"), F.max(F.struct("k", "nid")).alias("q"))
     ends = ends.select(F.explode(F.array(F.struct(F.col("p.nid").alias("nid"), (F.col("fid") * 2).alias("turn")), F.struct(F.col("q.nid").alias("nid"), (F.col("fid") * 2 + 1).alias("turn")))).alias("e"))
-    ends = ends.groupBy("e.nid").agg(F.min("e.turn").alias("turn")).join(positions, "nid")
+    ends = ends.groupBy("e.nid").agg(F.min("e.turn").alias("turn")).join(positions.hint(GROWS), "nid")
     size = 4 * limit
     laid = _laid_near(segments, limit, size)
     asked = ends.select("nid", "turn", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
     x, y, ax, ay, bx, by, dx, dy = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by", "dx", "dy"))
     around = lambda p, u, v: (p >= F.least(u, v) - limit) & (p <= F.greatest(u, v) + limit)
-    met = asked.join(laid, ["cx", "cy"]).where(around(x, ax, bx) & around(y, ay, by) & F.expr("nid <> a and nid <> b"))
+    met = asked.join(laid.hint(GROWS), ["cx", "cy"]).where(around(x, ax, bx) & around(y, ay, by) & F.expr("nid <> a and nid <> b"))
     # generators, so that no step is worked out again for each of its uses
     met = met.select("nid", "turn", "fid", "k", "a", "b", "x", "y", "ax", "ay", "bx", "by", F.inline(F.array(F.struct((bx - ax).alias("dx"), (by - ay).alias("dy")))))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - ax) * dx + (y - ay) * dy).cast("double") / (dx * dx + dy * dy)))
@@ -97,12 +99,12 @@ def stitched(fragments: DataFrame, positions: DataFrame, limit: int) -> tuple[Da
     one = cut(components(dated).select(F.col("node").alias("nid"), F.col("component").alias("root")))
     # of each end and fragment, the first place counts alone: what a fragment shares once, it shares for good
     tried = met.where("to is null").groupBy("nid", "fid").agg(F.min(F.struct("time", "k", "t")).alias("m")).select("nid", "fid", "m.time", "m.k", "m.t")
-    tried = cut(tried.join(nodes.select("fid", "nid").distinct(), ["fid", "nid"], "left_anti"))
-    asks = tried.select(F.struct("nid", "fid").alias("q"), F.col("nid").alias("a"), "fid", "time").join(one.withColumnRenamed("nid", "a"), "a")
-    theirs = nodes.select("fid", F.col("nid").alias("b")).distinct().join(one.withColumnRenamed("nid", "b"), "b")
-    shared = connected_before(dated, asks.join(theirs, ["fid", "root"]).select("q", "a", "b", "time")).select("q.nid", "q.fid")
-    put = cut(tried.join(shared, ["nid", "fid"], "left_anti").select("fid", "k", "t", "nid"))
-    all_nodes = nodes.select("fid", "k", F.lit(-1.0).alias("t"), "nid").union(put).join(one, "nid", "left").select("fid", "k", "t", F.coalesce("root", "nid").alias("nid"))
+    tried = cut(tried.join(nodes.select("fid", "nid").distinct().hint(GROWS), ["fid", "nid"], "left_anti"))
+    asks = tried.select(F.struct("nid", "fid").alias("q"), F.col("nid").alias("a"), "fid", "time").join(one.withColumnRenamed("nid", "a").hint(GROWS), "a")
+    theirs = nodes.select("fid", F.col("nid").alias("b")).distinct().join(one.withColumnRenamed("nid", "b").hint(GROWS), "b")
+    shared = connected_before(dated, asks.join(theirs.hint(GROWS), ["fid", "root"]).select("q", "a", "b", "time")).select("q.nid", "q.fid")
+    put = cut(tried.join(shared.hint(GROWS), ["nid", "fid"], "left_anti").select("fid", "k", "t", "nid"))
+    all_nodes = nodes.select("fid", "k", F.lit(-1.0).alias("t"), "nid").union(put).join(one.hint(GROWS), "nid", "left").select("fid", "k", "t", F.coalesce("root", "nid").alias("nid"))
     order = Window.partitionBy("fid").orderBy("k", "t", "nid")
     kept = all_nodes.withColumn("_before", F.lag("nid").over(order)).where("_before is null or _before <> nid")
     return kept.select("fid", (F.row_number().over(order) - 1).cast("long").alias("k"), "nid"), put
