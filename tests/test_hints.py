@@ -95,3 +95,14 @@ def test_routes_meet_the_ways_of_all_lines(spark, tmp_path):
     spark.createDataFrame([(10, 1, 1, 5)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
     angle = 10 * 37 % 359 - 179  # -168: only where there is another way does it need a hint
     assert [(r.route, r.seq, r.angle) for r in hint_routes(spark, str(tmp_path)).collect()] == [(1, 10, float(angle))]
+
+
+def test_nested_columns_as_rows(spark):
+    import pyarrow as pa
+
+    from wayloom.operators.shared import plain
+
+    way = pa.struct([("turn", pa.float64()), ("car", pa.bool_())])
+    ways = [[{"turn": 1.5, "car": True}, {"turn": None, "car": False}], [], None, [None], [{"turn": -2.0, "car": None}]]
+    for column in (pa.array(ways, pa.list_(way)), pa.array(ways, pa.list_(way))[1:], pa.array([1, None, 3]), pa.array([1, 2]), pa.array(["a", None]), pa.array([True, False]), pa.array([[[1], []], None, [[2, 3]]], pa.list_(pa.list_(pa.int64()))), pa.array([], pa.list_(way))):
+        assert plain(column) == column.to_pylist()

@@ -28,6 +28,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def plain(column: pa.Array) -> list:
+    """What column.to_pylist() gives; nested values are taken apart by whole columns, as value by value they take many times longer."""
+    if pa.types.is_list(column.type):
+        values, out, at = plain(column.flatten()), [], 0
+        for n in column.value_lengths().to_pylist():
+            out.append(None if n is None else values[at : at + n])
+            at += n or 0
+        return out
+    if pa.types.is_struct(column.type):
+        names = [f.name for f in column.type]
+        rows = [dict(zip(names, values)) for values in zip(*map(plain, column.flatten()))]
+        return [row if here else None for row, here in zip(rows, column.is_valid().to_pylist())] if column.null_count else rows
+    fixed = pa.types.is_integer(column.type) or pa.types.is_floating(column.type) or pa.types.is_boolean(column.type)
+    return column.to_numpy(zero_copy_only=False).tolist() if fixed and not column.null_count else column.to_pylist()
+
+
 def by_groups(df: DataFrame, key: str, order: list[str], each: Callable[[list[dict]], list[tuple]], schema: str) -> DataFrame:
     """each(rows of one group, sorted) -> rows as in schema ("name type, ..."), for all groups of df. Groups come one after the other in a sorted stream, so a small one costs no more than its rows; one group is held at a time."""
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
@@ -40,7 +56,8 @@ def by_groups(df: DataFrame, key: str, order: list[str], each: Callable[[list[di
         held: list[dict] = []
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
+            for values in zip(*map(plain, batch.columns)):
+                row = dict(zip(batch.schema.names, values))
                 if held and held[0][key] != row[key]:
                     out += each(held)
                     held = []
